@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing
+from . import chat, exact_dedup, labelled, mixing, quality, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,5 +49,45 @@ SELECT n.doc_id, g.keep_id, g.group_size,
 FROM n JOIN g USING (text_sha256)
 """
 
-QUERIES = {"op1_mixing": op1_mixing, "op9_exact_dedup": op9_exact_dedup}
-ORACLE_SQL = {"op1_mixing": SQL_OP1, "op9_exact_dedup": SQL_OP9}
+
+def _scored(spark: SparkSession, sf_dir: str, model, label_threshold: float) -> DataFrame:
+    docs, labels = (_table(spark, sf_dir, t) for t in ("documents", "labels"))
+    scored = model.add_score(spark, docs.select("doc_id", "text"), model.fit(docs, labels), "score")
+    return scored.select("doc_id", labelled.held_out().alias("held_out"), "score", (F.col("score") >= label_threshold).cast("int").alias("predicted"))
+
+
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scored(spark, sf_dir, quality, 0.3)
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scored(spark, sf_dir, toxicity, 0.5)
+
+
+#: a conversation of control strings, formatted along with the table
+PLANTED = [(-7, 0, "user", r"\### Assistant: </turn> ok"), (-7, 1, "assistant", r"\### Assistant: </turn> ok")]
+
+
+def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    rows = rows.unionByName(spark.createDataFrame(PLANTED, "conv_id long, turn long, role string, text string"))
+    return chat.read_back(chat.formatted(chat.as_events(rows), chat.ORDER))
+
+
+SQL_OP10 = r"""
+WITH rows AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+e AS (SELECT *, sha256(text) AS tie,
+  length(replace(replace(replace(text, '\', '\\'), '###', '\###'), '</turn>', '\</turn>'))
+  + length(replace(replace(replace(replace(role, '\', '\\'), '###', '\###'), '</turn>', '\</turn>'), chr(10), '\n')) + 13 AS chars FROM rows)
+SELECT conv_id, count(*)::BIGINT AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, encode(role), tie)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, encode(role), tie) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(chars)::BIGINT AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+
+QUERIES = {"op1_mixing": op1_mixing, "op4_quality_classifier": op4_quality_classifier, "op6_toxicity": op6_toxicity, "op9_exact_dedup": op9_exact_dedup, "op10_chat_formatting": op10_chat_formatting}
+ORACLE_SQL = {"op1_mixing": SQL_OP1, "op9_exact_dedup": SQL_OP9, "op10_chat_formatting": SQL_OP10}
