@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, labelled, mixing, quality, toxicity
+from . import chat, exact_dedup, labelled, mixing, quality, sentencepiece_wfst, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,6 +60,14 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(spark, sf_dir, quality, 0.3)
 
 
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: its piece ids, their number, and the sha256 of the text decoded from them."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    coded = sentencepiece_wfst.add_pieces(spark, docs, decoded="decoded")
+    same = F.col("decoded") == F.translate(F.coalesce("text", F.lit("")), sentencepiece_wfst.META, " ")
+    return coded.select("doc_id", F.size("piece_ids").cast("long").alias("n_pieces"), "piece_ids", F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"), same.alias("round_trip"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(spark, sf_dir, toxicity, 0.5)
 
@@ -89,5 +97,5 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
 FROM e GROUP BY conv_id
 """
 
-QUERIES = {"op1_mixing": op1_mixing, "op4_quality_classifier": op4_quality_classifier, "op6_toxicity": op6_toxicity, "op9_exact_dedup": op9_exact_dedup, "op10_chat_formatting": op10_chat_formatting}
+QUERIES = {"op1_mixing": op1_mixing, "op4_quality_classifier": op4_quality_classifier, "op5_sentencepiece": op5_sentencepiece, "op6_toxicity": op6_toxicity, "op9_exact_dedup": op9_exact_dedup, "op10_chat_formatting": op10_chat_formatting}
 ORACLE_SQL = {"op1_mixing": SQL_OP1, "op9_exact_dedup": SQL_OP9, "op10_chat_formatting": SQL_OP10}
