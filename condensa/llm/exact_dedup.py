@@ -74,8 +74,16 @@ def bits_for(rows: int) -> int:
     return min(MAX_BITS, max(MIN_BITS, 1 << (max(rows, 1) * BITS_PER_ROW - 1).bit_length()))
 
 
-def repeated_filter(digests: DataFrame, rows: int) -> tuple[int, bytes]:
-    """digests: one binary column. The filter of cells reached at least twice: (bits, bytes)."""
+def member(digests: list[bytes], bits: int, table: bytes) -> np.ndarray:
+    """Whether each digest may be in a filter."""
+    if not digests:
+        return np.zeros(0, bool)
+    c = _cells(digests, bits)
+    return ((np.frombuffer(table, np.uint8)[c >> 3] >> (c & 7).astype(np.uint8)) & 1).astype(bool).all(axis=1)
+
+
+def bloom_filter(digests: DataFrame, rows: int, times: int = 2) -> tuple[int, bytes]:
+    """digests: one binary column. The filter of cells reached at least once or twice: (bits, bytes)."""
     bits = bits_for(rows)
 
     def gather(batches):
@@ -112,7 +120,7 @@ def repeated_filter(digests: DataFrame, rows: int) -> tuple[int, bytes]:
         seen, again = np.zeros(SEGMENT, bool), np.zeros(SEGMENT, bool)
         for cells, twice in zip(pdf["cells"], pdf["twice"]):
             c = np.frombuffer(cells, "<u2")
-            again[c] |= seen[c] | np.unpackbits(np.frombuffer(twice, np.uint8))[: len(c)].astype(bool)
+            again[c] |= seen[c] | (times == 1) | np.unpackbits(np.frombuffer(twice, np.uint8))[: len(c)].astype(bool)
             seen[c] = True
         return pd.DataFrame({"segment": [key[0]], "bits": [np.packbits(again, bitorder="little").tobytes()]})
 
@@ -132,13 +140,8 @@ def flag_repeated(spark: SparkSession, df: DataFrame, digest: str, name: str, bi
     where = df.columns.index(digest)
 
     def run(batches):
-        cells_set = np.frombuffer(shared.value, np.uint8)
         for b in batches:
-            if b.num_rows:
-                c = _cells(b.column(where).to_pylist(), bits)
-                hit = ((cells_set[c >> 3] >> (c & 7).astype(np.uint8)) & 1).all(axis=1)
-            else:
-                hit = np.zeros(0, bool)
+            hit = member(b.column(where).to_pylist(), bits, shared.value)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(hit)], names=[*b.schema.names, name])
 
     return df.mapInArrow(run, schema)
@@ -149,7 +152,7 @@ def duplicate_groups(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id
     scratch = Scratch(spark, "exact-dedup")
     hashed = scratch.table(with_digest(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "text", "sha", ["id"]), "hashed")
     rows = hashed.count()
-    bits, table = repeated_filter(hashed.select("sha"), rows)
+    bits, table = bloom_filter(hashed.select("sha"), rows)
     flagged = flag_repeated(spark, hashed, "sha", "maybe", bits, table)
     alone = flagged.where(~F.col("maybe")).select("id", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "sha")
     again = flagged.where("maybe").select("id", "sha")
@@ -170,7 +173,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", te
     scratch = Scratch(spark, "drop-copies")
     sha, maybe, keep = (fresh(docs, x) for x in ("sha", "maybe", "keep"))
     hashed = scratch.table(with_digest(docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")), "text", "sha", ["id"]), "hashed")
-    bits, table = repeated_filter(hashed.select("sha"), hashed.count())
+    bits, table = bloom_filter(hashed.select("sha"), hashed.count())
     stays = flag_repeated(spark, hashed, "sha", "maybe", bits, table).where("maybe").groupBy("sha").agg(F.max("id").alias("keep"))
     stays = scratch.table(stays.select(F.col("sha").alias(sha), F.col("keep").alias(keep)), "stays")
     flagged = flag_repeated(spark, with_digest(docs, text_col, sha), sha, maybe, bits, table)

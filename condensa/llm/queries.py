@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, labelled, mixing, quality, sentencepiece_wfst, toxicity
+from . import chat, exact_dedup, labelled, mixing, ngram_join, quality, sentencepiece_wfst, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +36,10 @@ SELECT doc_id, size, source_size, target, (epochs * size + greatest(0, least(siz
 """
 
 
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_groups(spark, _table(spark, sf_dir, "documents"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = exact_dedup.duplicate_groups(spark, _table(spark, sf_dir, "documents"))
     return groups.withColumn("text_sha256", F.lower(F.hex("text_sha256")))
@@ -97,5 +101,5 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
 FROM e GROUP BY conv_id
 """
 
-QUERIES = {"op1_mixing": op1_mixing, "op4_quality_classifier": op4_quality_classifier, "op5_sentencepiece": op5_sentencepiece, "op6_toxicity": op6_toxicity, "op9_exact_dedup": op9_exact_dedup, "op10_chat_formatting": op10_chat_formatting}
+QUERIES = {"op1_mixing": op1_mixing, "op4_quality_classifier": op4_quality_classifier, "op5_sentencepiece": op5_sentencepiece, "op6_toxicity": op6_toxicity, "op8_ngram_join": op8_ngram_join, "op9_exact_dedup": op9_exact_dedup, "op10_chat_formatting": op10_chat_formatting}
 ORACLE_SQL = {"op1_mixing": SQL_OP1, "op9_exact_dedup": SQL_OP9, "op10_chat_formatting": SQL_OP10}
