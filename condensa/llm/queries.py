@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, labelled, mixing, ngram_join, quality, sentencepiece_wfst, toxicity
+from . import chat, exact_dedup, labelled, media, mixing, ngram_join, quality, secret_scan, sentencepiece_wfst, toxicity, warc
+from .scratch import Scratch
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +37,14 @@ SELECT doc_id, size, source_size, target, (epochs * size + greatest(0, least(siz
 """
 
 
+def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch = Scratch(spark, "media")
+    uri = scratch.folder("archives")
+    scratch.table(media.write_archives(_table(spark, sf_dir, "documents"), "doc_id", "text", uri), "manifest")
+    found = media.features(media.read_archives(spark, uri, scratch.path("manifest")))
+    return found.select(F.when(F.col("key") != "", F.col("key")).cast("long").alias("doc_id"), *[c for c in media.FEATURES.names if c not in ("key", "error")])
+
+
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_groups(spark, _table(spark, sf_dir, "documents"))
 
@@ -54,6 +63,26 @@ FROM n JOIN g USING (text_sha256)
 """
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.add_spans(_table(spark, sf_dir, "documents"), keep=["doc_id"])
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base_spans", 256).alias("base_sha256"), "spans")
+
+
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(spark, _table(spark, sf_dir, "pages")).withColumnRenamed("key", "page_id")
+
+
+SQL_OP3 = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, octet_length(encode(html))::BIGINT AS payload_bytes, sha1(html) AS h FROM p),
+b AS (SELECT *, array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+  (((('0x' || substr(h, (i // 4) * 5 + 1, 5))::INT >> (15 - 5 * (i % 4))::INT) & 31) + 1)::BIGINT, 1)), '') AS payload_digest,
+  max(page_id) OVER (PARTITION BY h) AS last FROM d)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> last THEN last END AS refers_to FROM b
+"""
+
+
 def _scored(spark: SparkSession, sf_dir: str, model, label_threshold: float) -> DataFrame:
     docs, labels = (_table(spark, sf_dir, t) for t in ("documents", "labels"))
     scored = model.add_score(spark, docs.select("doc_id", "text"), model.fit(docs, labels), "score")
@@ -101,5 +130,5 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
 FROM e GROUP BY conv_id
 """
 
-QUERIES = {"op1_mixing": op1_mixing, "op4_quality_classifier": op4_quality_classifier, "op5_sentencepiece": op5_sentencepiece, "op6_toxicity": op6_toxicity, "op8_ngram_join": op8_ngram_join, "op9_exact_dedup": op9_exact_dedup, "op10_chat_formatting": op10_chat_formatting}
-ORACLE_SQL = {"op1_mixing": SQL_OP1, "op9_exact_dedup": SQL_OP9, "op10_chat_formatting": SQL_OP10}
+QUERIES = {"op1_mixing": op1_mixing, "op2_secret_scan": op2_secret_scan, "op3_warc": op3_warc, "op4_quality_classifier": op4_quality_classifier, "op5_sentencepiece": op5_sentencepiece, "op6_toxicity": op6_toxicity, "op7_media": op7_media, "op8_ngram_join": op8_ngram_join, "op9_exact_dedup": op9_exact_dedup, "op10_chat_formatting": op10_chat_formatting}
+ORACLE_SQL = {"op1_mixing": SQL_OP1, "op3_warc": SQL_OP3, "op9_exact_dedup": SQL_OP9, "op10_chat_formatting": SQL_OP10}
