@@ -36,7 +36,9 @@ def targets(sizes: DataFrame, weights: Sequence[float], share: float, ceiling: f
     ``share`` of all sizes is dealt by weight; a target stops at ``ceiling`` times
     its source's size, and the excess is dealt again by weight among the others
     until none is above. That fixed point gives every uncapped source the same
-    amount per weight, so one pass over sources sorted by cap per weight finds it.
+    amount per weight: over sources sorted by cap per weight, the level that is left
+    for a source and those after it rises while sources are capped and falls after
+    that, so the fixed point is its maximum.
     The frame has a row per source, not per document.
     """
     by_name = Window.orderBy(F.col("source").asc_nulls_last())
@@ -52,8 +54,7 @@ def targets(sizes: DataFrame, weights: Sequence[float], share: float, ceiling: f
         .withColumn("ratio", F.col("cap") / F.col("weight"))
         .withColumn("pool", F.sum("source_size").over(everything) * F.lit(float(share)))
         .withColumn("level", (F.col("pool") - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("weight").over(onward))
-        .withColumn("free_level", F.min(F.when(F.col("ratio") >= F.col("level"), F.col("level"))).over(everything))
-        .withColumn("target", F.when(F.col("free_level").isNull(), F.col("cap")).otherwise(F.least("cap", F.col("free_level") * F.col("weight"))))
+        .withColumn("target", F.least(F.col("cap"), F.max("level").over(everything) * F.col("weight")))
         .select("source", "source_size", "weight", "target")
     )
 
@@ -110,4 +111,8 @@ def repeated(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
     copies = taken.select("id", (F.col("epochs") + more.cast("long")).cast("int").alias("copies")).groupBy("id").agg(F.min("copies").alias("copies"))
     left, right = docs.alias("d"), copies.where("copies > 0").alias("c")
     # same-id rows of a repeated id each come back once per copy
-    return left.join(right, F.col(f"d.`{id_col}`").eqNullSafe(F.col("c.id"))).select("d.*", F.explode(F.expr("sequence(1, c.copies)")).alias("__copy")).drop("__copy")
+    copy = "copy"
+    while copy in docs.columns:
+        copy += "_"
+    both = left.join(right, F.col(f"d.`{id_col}`").eqNullSafe(F.col("c.id")))
+    return both.select("d.*", F.explode(F.sequence(F.lit(1), F.col("c.copies"))).alias(copy)).drop(copy)

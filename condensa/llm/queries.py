@@ -27,8 +27,8 @@ w AS (SELECT *, (CASE (rk - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END)::DOUB
 r AS (SELECT *, cap / weight AS ratio, (sum(source_size) OVER ())::DOUBLE * 1.5::DOUBLE AS pool FROM w),
 l AS (SELECT *, (pool - coalesce(sum(cap) OVER (ORDER BY ratio, rk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0))
       / sum(weight) OVER (ORDER BY ratio, rk ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM r),
-f AS (SELECT *, min(CASE WHEN ratio >= level THEN level END) OVER () AS fl FROM l),
-t AS (SELECT source, source_size, CASE WHEN fl IS NULL THEN cap ELSE least(cap, fl * weight) END AS target FROM f),
+f AS (SELECT *, max(level) OVER () AS fl FROM l),
+t AS (SELECT source, source_size, least(cap, fl * weight) AS target FROM f),
 b AS (SELECT *, CASE WHEN source_size > 0 THEN floor(floor(target) / source_size)::BIGINT ELSE 0 END AS epochs FROM t),
 c AS (SELECT slim.*, b.source_size, b.target, b.epochs, floor(b.target)::BIGINT - b.epochs * b.source_size AS rest,
       sum(size) OVER (PARTITION BY slim.source ORDER BY key, doc_id NULLS FIRST, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size AS cut_before
