@@ -44,6 +44,7 @@ HOT_TIMES, HOT_LEAST = 16, 4096
 HASH_BITS = 58
 BATCH_CHARS = 2_000_000
 RESULT_ROWS = 1 << 17
+MAX_BROADCAST_NODES = 500_000
 
 
 def _sets(batch: pa.RecordBatch, column: int = 1):
@@ -159,22 +160,20 @@ def index_rows(spark: SparkSession, docs: DataFrame, level: bytes) -> DataFrame:
 
 
 def shared_tokens(index: DataFrame, hot: int) -> DataFrame:
-    """Index rows of tokens that several nodes have, each once; of hot tokens all."""
-    magnitude = F.shiftright("token", HASH_BITS)
+    """Index rows of tokens that several nodes have, each once; of hot tokens, whose buckets are salted, all."""
+    names = ["token", "node", "n", "pos"]
 
     def run(batches):
-        kept, before = None, False  # the last row, and whether its token came before it too
-        names = ["token", "node", "n", "pos"]
+        kept, before = None, False  # the last row, and whether it stays whatever comes next
         for b in batches:
-            rows = np.column_stack([c.to_numpy(zero_copy_only=False) for c in b.columns])
+            rows = np.column_stack([c.to_numpy(zero_copy_only=False) for c in b.columns[:4]])
             if kept is not None:
                 rows = np.vstack([kept, rows])
             if not len(rows):
                 continue
-            new = np.concatenate([[True], (rows[1:, :2] != rows[:-1, :2]).any(axis=1)])
-            rows = rows[new]
+            rows = rows[np.concatenate([[True], (rows[1:, :2] != rows[:-1, :2]).any(axis=1)])]
             same = rows[1:, 0] == rows[:-1, 0]
-            keep = np.concatenate([[before], same]) | np.concatenate([same, [False]])
+            keep = np.concatenate([[before], same]) | np.concatenate([same, [False]]) | (rows[:, 0] >> HASH_BITS >= hot)
             before, kept = bool(keep[-1]), rows[-1:]
             out = rows[:-1][keep[:-1]]
             if len(out):
@@ -182,8 +181,26 @@ def shared_tokens(index: DataFrame, hot: int) -> DataFrame:
         if kept is not None and before:
             yield pa.RecordBatch.from_arrays([pa.array(kept[:, k]) for k in range(4)], names=names)
 
-    rare = index.where(magnitude < hot).repartition("token").sortWithinPartitions("token", "node").mapInArrow(run, "token long, node long, n long, pos long")
-    return rare.unionByName(index.where(magnitude >= hot).groupBy("token", "node").agg(F.first("n").alias("n"), F.first("pos").alias("pos")))
+    magnitude = F.shiftright("token", HASH_BITS)
+    parts = F.when(magnitude >= hot, F.pmod(F.xxhash64("node"), F.pow(F.lit(2.0), magnitude - hot + 4).cast("long"))).otherwise(0)
+    dealt = index.withColumn("salt", parts).repartition("token", "salt").sortWithinPartitions("token", "node")
+    return dealt.mapInArrow(run, "token long, node long, n long, pos long")
+
+
+def plausible(index: DataFrame) -> DataFrame:
+    """Index rows that may link with some other row of their token, by the sizes and positions in its bucket.
+
+    Buckets are summed up by classes of sizes a factor of 1.25 wide; a partner is in
+    the same class or next to it.
+    """
+    size_class = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / PERCENT))).cast("int")
+    rows = index.withColumn("class", size_class)
+    classes = rows.groupBy("token", "class").agg(F.max(F.col("n") - F.col("pos")).alias("room"), F.min("n").alias("least"), F.count("*").alias("rows"))
+    near = rows.withColumn("own", F.col("class")).withColumn("class", F.explode(F.array(F.col("class") - 1, F.col("class"), F.col("class") + 1)))
+    least = needed(F.col("n"), F.greatest(F.col("least"), F.ceil(F.col("n") * PERCENT / 100)))
+    ok = (F.col("n") - F.col("pos") >= least) & (F.col("room") >= least) & ((F.col("class") != F.col("own")) | (F.col("rows") > 1))
+    met = near.join(classes, ["token", "class"]).where(ok)
+    return met.groupBy("token", "node").agg(F.first("n").alias("n"), F.first("pos").alias("pos"))
 
 
 def segments(spark: SparkSession, docs: DataFrame, level: bytes, pivots: list[int], bits: int, wanted: bytes) -> DataFrame:
@@ -236,11 +253,16 @@ def may_link(a: str, b: str) -> Column:
     return (F.least(na, nb) * 100 >= F.greatest(na, nb) * PERCENT) & (F.least(na - pa_, nb - pb) >= needed(na, nb))
 
 
-def verified(pairs: DataFrame, parts: DataFrame) -> DataFrame:
+def verified(pairs: DataFrame, parts: DataFrame, heads: DataFrame) -> DataFrame:
     """Of pairs (a, b, na, nb) those that link: overlaps counted per fragment, then summed per pair."""
-    first = pairs.join(parts.select(F.col("node").alias("a"), "fragment", F.col("tokens").alias("left")), "a")
-    both = first.join(parts.select(F.col("node").alias("b"), "fragment", F.col("tokens").alias("right")), ["b", "fragment"])
-    counted = both.select("a", "b", "na", "nb", F.size(F.array_intersect("left", "right")).alias("common"))
+    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct().join(heads, "node")
+    # only segments of nodes in the pairs move; their list is broadcast while it is small
+    small = nodes.count() <= MAX_BROADCAST_NODES
+    own = parts.join(F.broadcast(nodes) if small else nodes, ["node", "id"], "left_semi").select("node", "fragment", "tokens")
+    first = pairs.join(own.select(F.col("node").alias("a"), "fragment", F.col("tokens").alias("left")), "a")
+    both = first.join(own.select(F.col("node").alias("b"), "fragment", F.col("tokens").alias("right")), ["b", "fragment"])
+    # a repeated row of a document brings its segments again, with the same count
+    counted = both.select("a", "b", "na", "nb", "fragment", F.size(F.array_intersect("left", "right")).alias("common")).groupBy("a", "b", "na", "nb", "fragment").agg(F.max("common").alias("common"))
     summed = counted.groupBy("a", "b", "na", "nb").agg(F.sum("common").alias("common"))
     return summed.where(F.col("common") * 100 >= (F.col("na") + F.col("nb") - F.col("common")) * PERCENT)
 
@@ -289,18 +311,18 @@ def near_groups(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", te
     first = scratch.table(first_pass(slim), "first")
     sized = first.where("segment is null").select("id", "n", "node")
     level, pivots, hot = sketch(first.where("segment is not null"))
-    index = scratch.table(shared_tokens(index_rows(spark, slim, level), hot), "index")
+    shared = scratch.table(shared_tokens(index_rows(spark, slim, level), hot), "shared")
+    index = scratch.table(plausible(shared), "index")
     heads = scratch.table(sized.where("node is not null").groupBy("node").agg(F.min("id").alias("head")), "heads")
-    wanted = heads.join(index.select("node").distinct(), "node", "left_semi")
-    wanted = scratch.table(wanted, "wanted")
-    bits, table = exact_dedup.bloom_filter(wanted.select(_id_digest(F.col("head"))), wanted.count(), 1)
-    # one document stands for a node: only its rows are kept
-    parts = segments(spark, slim, level, pivots, bits, table).join(wanted.withColumnRenamed("head", "id"), ["node", "id"], "left_semi")
-    parts = scratch.table(parts.dropDuplicates(["node", "fragment"]).select("node", "fragment", "tokens"), "segments")
+    # one document stands for a node
+    wanted = scratch.table(heads.join(index.select("node").distinct(), "node", "left_semi").withColumnRenamed("head", "id"), "wanted")
+    bits, table = exact_dedup.bloom_filter(wanted.select(_id_digest(F.col("id"))), wanted.count(), 1)
+    parts = scratch.table(segments(spark, slim, level, pivots, bits, table), "segments")
     labels, links = None, None
     for k in range(ROUNDS + 1):
         pairs = _chain(index, labels, k) if k < ROUNDS else _rest(index, labels)
-        found = scratch.table(verified(pairs, parts).select(F.col("a").alias("u"), F.col("b").alias("v")), f"links-{k}")
+        pairs = scratch.table(pairs, f"pairs-{k}")
+        found = scratch.table(verified(pairs, parts, wanted).select(F.col("a").alias("u"), F.col("b").alias("v")), f"links-{k}")
         links = found if links is None else links.unionByName(found)
         last = {} if k == ROUNDS else {"rounds": 3}
         labels = scratch.table(components(scratch, links, f"components-{k}", **last), f"labels-{k}")
