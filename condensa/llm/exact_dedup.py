@@ -48,19 +48,27 @@ def normalised_digest(text: str | None) -> bytes:
     return hashlib.sha256((text or "").encode("utf-8", "surrogatepass").lower()).digest()
 
 
-def with_digest(df: DataFrame, text_col: str, name: str, keep: list[str] | None = None) -> DataFrame:
-    """Adds the 32-byte digest of the normalised text; keep: the columns to carry (default all)."""
+def with_digest(spark: SparkSession, df: DataFrame, text_col: str, name: str, keep: list[str] | None = None, flag: tuple[str, int, bytes] | None = None) -> DataFrame:
+    """Adds the 32-byte digest of the normalised text, and on request whether a filter has it: (column, bits, table).
+
+    keep: the columns to carry (default all). Both are computed in one pass, by one Python worker a task.
+    """
     carried = df.columns if keep is None else keep
     at = text_col if text_col in carried else None
     src = df.select(*[F.col(f"`{c}`") for c in carried], *([] if at else [F.col(f"`{text_col}`").alias(name)]))
-    schema = T.StructType([*[df.schema[c] for c in carried], T.StructField(name, T.BinaryType())])
+    added = [T.StructField(name, T.BinaryType())] + ([T.StructField(flag[0], T.BooleanType())] if flag else [])
+    schema = T.StructType([*[df.schema[c] for c in carried], *added])
     n = len(carried)
     where = carried.index(at) if at else n
+    shared = spark.sparkContext.broadcast(flag[2]) if flag else None
 
     def run(batches):
         for b in batches:
-            digests = pa.array([normalised_digest(t) for t in b.column(where).to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([*b.columns[:n], digests], names=[*b.schema.names[:n], name])
+            digests = [normalised_digest(t.as_py()) for t in b.column(where)]
+            columns = [*b.columns[:n], pa.array(digests, pa.binary())]
+            if flag:
+                columns.append(pa.array(member(digests, flag[1], shared.value)))
+            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     return src.mapInArrow(run, schema)
 
@@ -150,7 +158,7 @@ def flag_repeated(spark: SparkSession, df: DataFrame, digest: str, name: str, bi
 def duplicate_groups(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: the id, keep_id, group_size, kept and text_sha256 (32 bytes)."""
     scratch = Scratch(spark, "exact-dedup")
-    hashed = scratch.table(with_digest(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "text", "sha", ["id"]), "hashed")
+    hashed = scratch.table(with_digest(spark, docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")), "text", "sha", ["id"]), "hashed")
     rows = hashed.count()
     bits, table = bloom_filter(hashed.select("sha"), rows)
     flagged = flag_repeated(spark, hashed, "sha", "maybe", bits, table)
@@ -172,11 +180,11 @@ def drop_copies(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", te
     """docs without all but one row of each group of equal texts; the columns stay as they are."""
     scratch = Scratch(spark, "drop-copies")
     sha, maybe, keep = (fresh(docs, x) for x in ("sha", "maybe", "keep"))
-    hashed = scratch.table(with_digest(docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")), "text", "sha", ["id"]), "hashed")
+    hashed = scratch.table(with_digest(spark, docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")), "text", "sha", ["id"]), "hashed")
     bits, table = bloom_filter(hashed.select("sha"), hashed.count())
     stays = flag_repeated(spark, hashed, "sha", "maybe", bits, table).where("maybe").groupBy("sha").agg(F.max("id").alias("keep"))
     stays = scratch.table(stays.select(F.col("sha").alias(sha), F.col("keep").alias(keep)), "stays")
-    flagged = flag_repeated(spark, with_digest(docs, text_col, sha), sha, maybe, bits, table)
+    flagged = with_digest(spark, docs, text_col, sha, flag=(maybe, bits, table))
     again, last = flagged.where(F.col(maybe)).alias("a"), stays.alias("b")
     # the key has the id too: one row of a group matches, however large the group is
     won = again.join(last, (F.col(f"a.{sha}") == F.col(f"b.{sha}")) & F.col(f"a.`{id_col}`").eqNullSafe(F.col(f"b.{keep}")), "left_semi")

@@ -27,6 +27,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,7 +43,7 @@ ROUNDS = 2
 #: an n-gram is hot if the sketch has so many times the mean count, and at least HOT_LEAST
 HOT_TIMES, HOT_LEAST = 16, 4096
 HASH_BITS = 58
-BATCH_CHARS = 2_000_000
+BATCH_CHARS = 500_000
 RESULT_ROWS = 1 << 17
 MAX_BROADCAST_NODES = 500_000
 
@@ -50,7 +51,7 @@ MAX_BROADCAST_NODES = 500_000
 def _sets(batch: pa.RecordBatch, column: int = 1):
     """(row number, sorted set) of the batch's texts."""
     texts = batch.column(column)
-    lengths = [len(texts[i].as_py() or "") if texts[i].is_valid else 0 for i in range(len(texts))]
+    lengths = [n or 0 for n in pc.utf8_length(texts).to_pylist()]
     rows = list(range(len(texts)))
     for a, b in textvec.chunks(rows, lengths, BATCH_CHARS):
         for i, s in enumerate(textvec.shingle_sets(texts[a : b].to_pylist(), WORDS)):
@@ -78,7 +79,7 @@ def first_pass(docs: DataFrame) -> DataFrame:
                     nodes[i] = _node(s)
                     held.append(s >> np.uint64(64 - SKETCH_BITS))
                     total += len(s)
-                if total > 1 << 20:
+                if total > 1 << 19:
                     counts += np.bincount(np.concatenate(held).astype(np.int64), minlength=len(counts)).astype(np.uint32)
                     held, total = [], 0
             if held:
