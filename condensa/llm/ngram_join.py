@@ -9,10 +9,10 @@ counted fragment by fragment, and the partial counts are summed per pair.
 
 Documents with equal sets form one node. Candidates share an n-gram in their
 prefixes and pass the length and position bounds, so no link is lost. Groups of
-near copies are not expanded into pairs: two rounds verify neighbours in a
-random order within each n-gram's bucket and join what is linked; then only
-pairs of still separate groups are candidates, of which the bucket's largest
-group is never paired with itself. Counts from the sketch are never too low:
+near copies are not expanded into pairs: a round verifies neighbours by size
+within each n-gram's bucket, one more every row with the bucket's purest one,
+and what links is joined; then only pairs of still separate groups are
+candidates, of which the bucket's largest group is never paired with itself. Counts from the sketch are never too low:
 n-grams below its threshold have bounded buckets, those above are salted.
 
 Nodes are 64-bit digests of sets and n-grams 58-bit hashes of their words.
@@ -28,7 +28,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import exact_dedup, textvec
@@ -268,23 +268,27 @@ def verified(pairs: DataFrame, parts: DataFrame, heads: DataFrame) -> DataFrame:
     return summed.where(F.col("common") * 100 >= (F.col("na") + F.col("nb") - F.col("common")) * PERCENT)
 
 
-def _chain(index: DataFrame, labels: DataFrame | None, seed: int) -> DataFrame:
-    """Neighbours in a random order inside each token's bucket that are in separate groups and may link."""
-    from pyspark.sql import Window
+def _chain(index: DataFrame) -> DataFrame:
+    """Neighbours by size inside each token's bucket that may link."""
+    salt = F.pmod(F.xxhash64("node"), F.greatest(F.lit(1), F.pow(F.lit(2.0), F.shiftright("token", HASH_BITS) - 12).cast("long")))
+    w = Window.partitionBy("token", "salt").orderBy("n", "node")
+    here, last = F.struct("node", "n", "pos"), "last"
+    rows = index.withColumn("salt", salt).select(here.alias("x"), F.lag(here).over(w).alias(last))
+    return _pairs(rows.where(F.col("last.node").isNotNull() & may_link("x", last)), "x", last)
 
+
+def _star(index: DataFrame, labels: DataFrame) -> DataFrame:
+    """Each row of a token's bucket with the bucket's purest row, if that is in another group: the one with the most
+    n-grams after the token, that is the fewest rare ones of its own. Near copies link with it if with any.
+    """
     rows = _labelled(index, labels)
-    draw = F.xxhash64(F.col("node"), F.lit(seed))
-    salt = F.pmod(draw, F.greatest(F.lit(1), F.pow(F.lit(2.0), F.shiftright("token", HASH_BITS) - 12).cast("long")))
-    order = [F.col("n"), F.col("draw"), F.col("node")] if seed == 0 else [F.col("draw"), F.col("node")]
-    w = Window.partitionBy("token", "salt").orderBy(*order)
-    here, last = F.struct("node", "n", "pos", "label"), "last"
-    rows = rows.withColumn("draw", draw).withColumn("salt", salt).select(here.alias("x"), F.lag(here).over(w).alias(last))
-    return _pairs(rows.where((F.col("x.label") != F.col("last.label")) & may_link("x", last)), "x", last)
-
-
-def _labelled(index: DataFrame, labels: DataFrame | None) -> DataFrame:
-    if labels is None:
-        return index.withColumn("label", F.col("node"))
+    pure = F.max_by(F.struct("node", "n", "pos", "label"), F.struct(F.col("n") - F.col("pos"), F.col("node"))).alias("center")
+    centers = rows.groupBy("token").agg(pure)
+    met = rows.join(centers, "token").select(F.struct("node", "n", "pos", "label").alias("x"), "center")
+    return _pairs(met.where((F.col("x.label") != F.col("center.label")) & may_link("x", "center")), "x", "center")
+
+
+def _labelled(index: DataFrame, labels: DataFrame) -> DataFrame:
     return index.join(labels, "node", "left").select(*index.columns, F.coalesce("component", "node").alias("label"))
 
 
@@ -321,7 +325,7 @@ def near_groups(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", te
     parts = scratch.table(segments(spark, slim, level, pivots, bits, table), "segments")
     labels, links = None, None
     for k in range(ROUNDS + 1):
-        pairs = _chain(index, labels, k) if k < ROUNDS else _rest(index, labels)
+        pairs = _chain(index) if k == 0 else _star(index, labels) if k < ROUNDS else _rest(index, labels)
         pairs = scratch.table(pairs, f"pairs-{k}")
         found = scratch.table(verified(pairs, parts, wanted).select(F.col("a").alias("u"), F.col("b").alias("v")), f"links-{k}")
         links = found if links is None else links.unionByName(found)
