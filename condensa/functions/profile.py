@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import lexicons as lx
-from .text import any_sub_token, avg_words, clamp, col, ltoks, n_sub, ngrams, nocc, nocc_all, rcount, sentences, share, toks, total, trimmed
+from .text import any_sub_token, avg_words, clamp, col, let, ltoks, n_sub, ngrams, nocc, nocc_all, rcount, sentences, share, toks, total, trimmed
 
 CAMEL, ACRONYM, SNAKE, KEBAB, VERSION = r"[A-Za-z0-9_]+[A-Z][A-Za-z0-9_]*", "[A-Z]{2,}", "[A-Za-z0-9]+_[A-Za-z0-9]+", "[A-Za-z0-9]+-[A-Za-z0-9]+", r"v?[0-9]+\.[0-9]+"
 
@@ -41,13 +41,12 @@ def redundancy(x) -> Column:
 
 def repeated_ngrams(x, sizes=(2, 3, 4)) -> Column:
     """n for every n-gram that occurs more than once."""
-    t = ltoks(x)
-    out = []
-    for n in sizes:
-        g = F.array_sort(ngrams(t, n))
-        # in sorted order a gram's second occurrence equals the one before it and not the one two before
-        out.append(F.size(F.filter(g, lambda v, i: (i > 0) & (v == F.get(g, i - 1)) & ((i == 1) | (v != F.get(g, i - 2))))) * n)
-    return total(out).cast("long")
+    return total([let(ltoks(x), lambda t: seen_again(ngrams(t, n))) * n for n in sizes]).cast("long")
+
+
+def seen_again(values: Column) -> Column:
+    """How many distinct values occur more than once: in sorted order a second occurrence equals the one before it, not the one two before."""
+    return let(F.array_sort(values), lambda g: F.size(F.filter(g, lambda v, i: (i > 0) & (v == F.get(g, i - 1)) & ((i == 1) | (v != F.get(g, i - 2))))))
 
 
 def verbose_count(x, verbose=lx.VERBOSE) -> Column:
@@ -124,9 +123,7 @@ def complexity(x) -> Column:
 
 def readiness(x) -> Column:
     t = ltoks(x)
-    sorted_words = F.array_sort(t)
-    again = F.size(F.filter(sorted_words, lambda w, i: (i > 0) & (w == F.get(sorted_words, i - 1)) & ((i == 1) | (w != F.get(sorted_words, i - 2)))))
-    repeated = share(F.least(F.lit(10), again), F.size(F.array_distinct(t)))
+    repeated = share(F.least(F.lit(10), seen_again(t)), F.size(F.array_distinct(t)))
     verbose = F.least(F.lit(1.0), share(verbose_count(x), F.size(t)) * 10)
     pairs = rcount(x, r"[A-Za-z0-9_]{8,}\s+[A-Za-z0-9_]{8,}")
     short = F.least(F.lit(1.0), share(pairs, F.greatest(F.lit(1), F.floor(F.size(t) / 10))))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import lexicons as lx
 from .segment import entities, key_concepts
-from .text import avg_words, clamp, col, ltoks, n_sub, rcount, sentences, share, toks, trimmed, word_jaccard
+from .text import LEFT, RIGHT, avg_words, clamp, col, let, ltoks, n_sub, rcount, sentences, share, toks, trimmed, word_jaccard
 
 WEIGHTS = {"semantic": 0.35, "density": 0.20, "efficiency": 0.15, "interpretability": 0.15, "structure": 0.10, "coherence": 0.03, "entities": 0.02}
 
@@ -35,8 +35,8 @@ def sentence_structure(o, c) -> Column:
 
 def semantic(o, c) -> Column:
     """Word overlap, key concepts still contained, and like sentences."""
-    concepts, low = key_concepts(o), F.lower(col(c))
-    kept = F.when(F.size(concepts) == 0, 1.0).otherwise(share(F.size(F.filter(concepts, lambda k: F.contains(low, k))), F.size(concepts)))
+    of = lambda s: F.when(F.size(s["k"]) == 0, 1.0).otherwise(share(F.size(F.filter(s["k"], lambda k: F.contains(s["low"], k))), F.size(s["k"])))
+    kept = let(F.struct(key_concepts(o).alias("k"), F.lower(col(c)).alias("low")), of)
     return F.when(F.size(ltoks(o)) == 0, 1.0).otherwise(F.least(F.lit(1.0), 0.4 * word_jaccard(o, c) + 0.4 * kept + 0.2 * sentence_structure(o, c)))
 
 
@@ -55,7 +55,7 @@ def efficiency(o, c) -> Column:
 
 def interpretability(c, terms: list[str] | None = None) -> Column:
     x = col(c)
-    caps = share(rcount(x, r"\b[A-Z]{2,}\b"), F.size(toks(c)))
+    caps = share(rcount(x, LEFT + "[A-Z]{2,}" + RIGHT), F.size(toks(c)))
     score = 0.8 - F.when(caps > 0.3, 0.2).otherwise(0.0) + n_sub(c, lx.CLUES) / len(lx.CLUES) * 0.1
     if terms:
         score = score + n_sub(c, terms) / len(terms) * 0.1

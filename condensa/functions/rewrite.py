@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import lexicons as lx
-from .text import LEFT, RIGHT, col, quoted, replacement, toks
+from .text import LEFT, RIGHT, col, let, quoted, replacement, toks
 
 
 def _words(alternatives: list[str]) -> str:
@@ -22,12 +22,12 @@ def _fold(x, rules, pattern=lambda s: f"(?iu){LEFT}{quoted(s)}{RIGHT}") -> Colum
 
 def drop_function_words(x, droppable=lx.DROPPABLE, kept_before=lx.KEPT_BEFORE) -> Column:
     """Tokens but those in the list; the first stays, as does one before certain words."""
-    t = toks(x)
-    essential = lambda w, i: F.exists(
+    essential = lambda t, w, i: F.exists(
         F.array(*[F.struct(F.lit(k).alias("k"), F.array(*map(F.lit, v)).alias("v")) for k, v in kept_before.items()]),
         lambda e: (e["k"] == F.lower(w)) & F.coalesce(F.array_contains(e["v"], F.lower(F.get(t, i + 1))), F.lit(False)),
     )
-    return F.array_join(F.filter(t, lambda w, i: (i == 0) | ~F.lower(w).isin(droppable) | essential(w, i)), " ")
+    kept = let(toks(x), lambda t: F.filter(t, lambda w, i: (i == 0) | ~F.lower(w).isin(droppable) | essential(t, w, i)))
+    return F.array_join(kept, " ")
 
 
 def shorten_phrases(x, phrases=lx.PHRASES) -> Column:
@@ -53,8 +53,8 @@ def squeeze_long_words(x, clusters=lx.CLUSTERS) -> Column:
 
 def drop_adjacent_repeats(x) -> Column:
     """A token equal (in lower case) to the one before it in the text goes."""
-    t = toks(x)
-    return F.array_join(F.filter(t, lambda w, i: (i == 0) | (F.lower(w) != F.lower(F.get(t, i - 1)))), " ")
+    kept = let(toks(x), lambda t: F.filter(t, lambda w, i: (i == 0) | (F.lower(w) != F.lower(F.get(t, i - 1)))))
+    return F.array_join(kept, " ")
 
 
 def reduce_passive(x, rules=lx.PASSIVE) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import lexicons as lx
-from .text import any_sub, any_sub_token, col, ltoks, n_sub, ngrams, trimmed
+from .text import LEFT, RIGHT, any_sub, any_sub_token, col, let, ltoks, n_sub, ngrams, trimmed
 
 SEGMENT = "array<struct<idx:int,text:string,type:string,compressible:boolean>>"
 STATE = f"struct<held:array<string>,code:boolean,out:{SEGMENT}>"
@@ -94,13 +94,12 @@ def key_concepts(x, stop=lx.STOP, stems=lx.STEMS) -> Column:
 
 
 def entities(x) -> Column:
-    return F.array_distinct(F.regexp_extract_all(col(x), F.lit(r"\b([A-Z][a-z]+|[0-9]+)\b"), 1))
+    return F.array_distinct(F.regexp_extract_all(col(x), F.lit(f"{LEFT}([A-Z][a-z]+|[0-9]+){RIGHT}"), 1))
 
 
 def repeated_phrase(x) -> Column:
     """The first three-word phrase that occurs again, of texts of over ten words."""
-    grams = ngrams(ltoks(x), 3)
-    again = F.filter(grams, lambda g, i: F.array_position(grams, g) <= i)
+    again = let(ngrams(ltoks(x), 3), lambda grams: F.filter(grams, lambda g, i: F.array_position(grams, g) <= i))
     return F.when(F.size(ltoks(x)) > 10, F.get(again, F.lit(0)))
 
 

@@ -33,6 +33,11 @@ def ltoks(x) -> Column:
     return toks(F.lower(col(x)))
 
 
+def let(value: Column, f) -> Column:
+    """f(value) with the value computed once, also where f uses it inside lambdas (these compute expressions anew for every element)."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def share(a, b) -> Column:
     """a / b, 0 where b is 0."""
     return F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0))
@@ -78,7 +83,8 @@ def any_sub_token(t: Column, literals: Sequence[str]) -> Column:
 
 def jaccard(a: Column, b: Column) -> Column:
     """Of two token arrays as sets; both empty 1, one empty 0."""
-    return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0)).otherwise(F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b)))
+    of = lambda u, v: F.when((F.size(u) == 0) & (F.size(v) == 0), F.lit(1.0)).when((F.size(u) == 0) | (F.size(v) == 0), F.lit(0.0)).otherwise(F.size(F.array_intersect(u, v)) / F.size(F.array_union(u, v)))
+    return let(F.struct(a.alias("a"), b.alias("b")), lambda s: of(s["a"], s["b"]))
 
 
 def word_jaccard(x, y) -> Column:
@@ -86,7 +92,8 @@ def word_jaccard(x, y) -> Column:
 
 
 def ngrams(tokens: Column, n: int) -> Column:
-    return F.when(F.size(tokens) < n, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), F.size(tokens) - (n - 1)), lambda i: F.array_join(F.slice(tokens, i, F.lit(n)), " ")))
+    grams = lambda t: F.transform(F.sequence(F.lit(1), F.size(t) - (n - 1)), lambda i: F.array_join(F.slice(t, i, F.lit(n)), " "))
+    return let(tokens, lambda t: F.when(F.size(t) < n, F.array().cast("array<string>")).otherwise(grams(t)))
 
 
 def sentences(x) -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import lexicons as lx
-from ..functions.text import any_sub, quoted
+from ..functions.text import any_sub, let, quoted
 
 MAX_BROADCAST_RULES = 5_000
 MATCH = "array<struct<position:int,priority:int,id:int,size:int,original_text:string,compressed_text:string,confidence:double,success_rate:double>>"
@@ -20,7 +20,10 @@ MATCH = "array<struct<position:int,priority:int,id:int,size:int,original_text:st
 
 def positions(text: Column, original: Column) -> Column:
     """0-based places where the rule's original occurs, letter case aside, overlapping ones too."""
-    low, key = F.lower(text), F.lower(original)
+    return let(F.struct(F.lower(text).alias("low"), F.lower(original).alias("key")), lambda s: _positions(s["low"], s["key"]))
+
+
+def _positions(low: Column, key: Column) -> Column:
     n = F.length(key)
     parts = F.split(low, F.concat(F.lit(r"\Q"), F.replace(key, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E")), F.lit(-1))
     places = F.aggregate(
@@ -109,7 +112,7 @@ def resolve(matches: Column) -> Column:
 
     def step(taken, m):
         met = F.filter(taken, lambda o: overlaps(m, o))
-        best = F.element_at(F.array_sort(met, lambda a, b: (b["priority"] - a["priority"]).cast("int")), 1)
+        best = F.try_element_at(F.array_sort(met, lambda a, b: (b["priority"] - a["priority"]).cast("int")), F.lit(1))
         better = (m["priority"] > best["priority"] * 1.2) | (m["confidence"] > best["confidence"] + 0.2)
         return F.when(F.size(met) == 0, F.concat(taken, F.array(m))).when(better, F.concat(F.filter(taken, lambda o: ~overlaps(m, o)), F.array(m))).otherwise(taken)
 
@@ -128,12 +131,16 @@ def resolved(matches: DataFrame) -> DataFrame:
 
 def splice(text: Column, matches: Column) -> Column:
     """The text with resolved (disjoint, sorted) matches replaced."""
+    return let(F.struct(text.alias("text"), matches.alias("matches")), lambda s: _splice(s["text"], s["matches"]))
+
+
+def _splice(text: Column, matches: Column) -> Column:
     folded = F.aggregate(
         matches,
         F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")),
         lambda s, m: F.struct((m["position"] + m["size"]).alias("at"), F.concat(s["out"], F.array(text.substr(s["at"] + 1, m["position"] - s["at"]), m["compressed_text"])).alias("out")),
     )
-    return F.concat(F.array_join(folded["out"], ""), text.substr(folded["at"] + 1, F.length(text)))
+    return let(folded, lambda f: F.concat(F.array_join(f["out"], ""), text.substr(f["at"] + 1, F.length(text))))
 
 
 def overlap_groups(matches: DataFrame) -> DataFrame:
@@ -185,7 +192,7 @@ def matches_in(text: Column, rules: list[dict]) -> Column:
 
 
 def rewrite(text: Column, rules: list[dict]) -> Column:
-    return splice(text, resolve(matches_in(text, rules)))
+    return let(text, lambda t: _splice(t, resolve(matches_in(t, rules))))
 
 
 def words_pattern(originals: list[str]) -> str:
