@@ -24,18 +24,16 @@ def positions(text: Column, original: Column) -> Column:
 
 
 def _positions(low: Column, key: Column) -> Column:
-    n = F.length(key)
-    parts = F.split(low, F.concat(F.lit(r"\Q"), F.replace(key, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E")), F.lit(-1))
-    places = F.aggregate(
-        F.slice(parts, F.lit(1), F.size(parts) - 1),
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("found")),
-        lambda s, p: F.struct((s["at"] + F.length(p) + n).alias("at"), F.concat(s["found"], F.array(s["at"] + F.length(p))).alias("found")),
+    # split before each occurrence: a zero-width match, so occurrences may overlap; one at the very beginning gives no part
+    parts = F.split(low, F.concat(F.lit(r"(?=\Q"), F.replace(key, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E)")), F.lit(-1))
+    empty = F.array().cast("array<int>")
+    places = lambda p: F.aggregate(
+        F.slice(p, F.lit(1), F.size(p) - 1),
+        F.struct(F.lit(0).alias("at"), F.when(F.startswith(low, key), F.array(F.lit(0))).otherwise(empty).alias("found")),
+        lambda s, x: F.struct((s["at"] + F.length(x)).alias("at"), F.concat(s["found"], F.array(s["at"] + F.length(x))).alias("found")),
         lambda s: s["found"],
     )
-    # only a rule with a border can occur again inside its own occurrence
-    borders = F.exists(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda k: (k < n) & (F.left(key, k) == F.right(key, k)))
-    slow = F.filter(F.sequence(F.lit(0), F.greatest(F.length(low) - n, F.lit(0))), lambda i: low.substr(i + 1, n) == key)
-    return F.when((n == 0) | ~F.contains(low, key), F.array().cast("array<int>")).when(borders, slow).otherwise(places)
+    return F.when((F.length(key) == 0) | ~F.contains(low, key), empty).otherwise(let(parts, places))
 
 
 def whole_word(text: Column, position: Column, size: Column) -> Column:
@@ -108,15 +106,14 @@ def resolve(matches: Column) -> Column:
     or its confidence over that one's by more than 0.2. Ties go by rule id.
     """
     order = F.array_sort(matches, lambda a, b: F.when(a["position"] != b["position"], a["position"] - b["position"]).when(a["priority"] != b["priority"], b["priority"] - a["priority"]).otherwise(a["id"] - b["id"]).cast("int"))
-    overlaps = lambda m, o: (o["position"] < m["position"] + m["size"]) & (m["position"] < o["position"] + o["size"])
-
+    # matches come by position and taken ones are disjoint, so a match can overlap the last taken one only
     def step(taken, m):
-        met = F.filter(taken, lambda o: overlaps(m, o))
-        best = F.try_element_at(F.array_sort(met, lambda a, b: (b["priority"] - a["priority"]).cast("int")), F.lit(1))
-        better = (m["priority"] > best["priority"] * 1.2) | (m["confidence"] > best["confidence"] + 0.2)
-        return F.when(F.size(met) == 0, F.concat(taken, F.array(m))).when(better, F.concat(F.filter(taken, lambda o: ~overlaps(m, o)), F.array(m))).otherwise(taken)
+        last = F.try_element_at(taken, F.lit(-1))
+        free = (F.size(taken) == 0) | (last["position"] + last["size"] <= m["position"])
+        better = (m["priority"] > last["priority"] * 1.2) | (m["confidence"] > last["confidence"] + 0.2)
+        return F.when(free, F.concat(taken, F.array(m))).when(better, F.concat(F.slice(taken, F.lit(1), F.size(taken) - 1), F.array(m))).otherwise(taken)
 
-    return F.array_sort(F.aggregate(order, F.array().cast(MATCH), step), lambda a, b: (a["position"] - b["position"]).cast("int"))
+    return F.aggregate(order, F.array().cast(MATCH), step)
 
 
 def as_array(matches: DataFrame) -> DataFrame:
@@ -161,12 +158,19 @@ def best_of_groups(matches: DataFrame, strategy: str = "hybrid") -> DataFrame:
     return scored.withColumn("_rank", F.row_number().over(w)).where("_rank = 1").drop("_rank")
 
 
+#: matches meet in bins of so many characters, so a long document isn't paired with itself
+BIN = 64
+
+
 def pairwise_elimination(matches: DataFrame) -> DataFrame:
     """Matches that no overlapping better one (by priority, then length, then id) beats."""
-    m, o = matches.alias("m"), matches.alias("o")
-    over = (F.col("m.doc_id") == F.col("o.doc_id")) & (F.col("o.position") < F.col("m.position") + F.col("m.size")) & (F.col("m.position") < F.col("o.position") + F.col("o.size"))
+    bins = F.sequence(F.floor(F.col("position") / BIN), F.floor((F.col("position") + F.col("size") - 1) / BIN))
+    binned = matches.withColumn("_bin", F.explode(bins))
+    m, o = binned.alias("m"), binned.alias("o")
+    over = (F.col("m.doc_id") == F.col("o.doc_id")) & (F.col("m._bin") == F.col("o._bin")) & (F.col("o.position") < F.col("m.position") + F.col("m.size")) & (F.col("m.position") < F.col("o.position") + F.col("o.size"))
     better = F.struct(F.col("o.priority"), F.col("o.size"), -F.col("o.id"), -F.col("o.position")) > F.struct(F.col("m.priority"), F.col("m.size"), -F.col("m.id"), -F.col("m.position"))
-    return m.join(o, over & better, "left_anti")
+    losers = m.join(o, over & better, "left_semi").select("doc_id", "id", "position").distinct()
+    return matches.join(losers, ["doc_id", "id", "position"], "left_anti")
 
 
 # --- inside an engine: a fold over literal rules, no shuffle ----------------------------

@@ -514,8 +514,10 @@ def match_counts(spark, sf_dir):
     return mt.counts(docs(spark, sf_dir), rl.starter_rules(spark))
 
 
-S_MATCHES = rf"""m0 AS (SELECT doc_id, r.*, text, unnest(range(1, len(parts))) AS k, parts FROM (SELECT doc_id, r.*, text, string_split(lower(text), lower(original)) AS parts FROM documents JOIN {RULE_VALUES} ON contains(lower(text), lower(original))) r),
-    m1 AS (SELECT doc_id, id, pattern_type, priority, success_rate, domain, text, compressed, length(original) AS size, (list_sum(list_transform(parts[1:k], lambda p: length(p))) + (k - 1) * length(original))::INT AS position FROM m0),
+S_MATCHES = rf"""c0 AS (SELECT doc_id, r.*, text, string_split(lower(text), lower(original)) AS parts, len(list_filter(range(1, length(original)), lambda k: left(lower(original), k) = right(lower(original), k))) > 0 AS border FROM documents JOIN {RULE_VALUES} ON contains(lower(text), lower(original))),
+    p0 AS (SELECT doc_id, id, pattern_type, priority, success_rate, domain, text, compressed, original, list_sum(list_transform(parts[1:k], lambda p: length(p))) + (k - 1) * length(original) AS position FROM (SELECT *, unnest(range(1, len(parts))) AS k FROM c0 WHERE NOT border)
+      UNION ALL SELECT doc_id, id, pattern_type, priority, success_rate, domain, text, compressed, original, unnest(list_filter(range(0, length(text)), lambda i: substr(lower(text), i + 1, length(original)) = lower(original))) FROM c0 WHERE border),
+    m1 AS (SELECT doc_id, id, pattern_type, priority, success_rate, domain, text, compressed, length(original) AS size, position::INT AS position FROM p0),
     m AS (SELECT *, substr(text, position + 1, size) AS original_text, least(1e0, 0.8e0 + least(0.2e0, priority / 5e3) + success_rate * 0.1e0 + CASE WHEN domain = 'general' AND {s_any('lower(substr(text, greatest(0, position - 20) + 1, position + size + 20 - greatest(0, position - 20)))', lx.TECH_CONTEXT)} THEN 0.1e0 ELSE 0e0 END) AS confidence
       FROM m1 WHERE pattern_type <> 'word' OR (NOT regexp_matches(substr(text, position, CASE WHEN position > 0 THEN 1 ELSE 0 END), '[\p{{L}}\p{{N}}]') AND NOT regexp_matches(substr(text, position + size + 1, 1), '[\p{{L}}\p{{N}}]')))"""
 
