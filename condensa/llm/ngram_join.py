@@ -9,9 +9,9 @@ counted fragment by fragment, and the partial counts are summed per pair.
 
 Documents with equal sets form one node. Candidates share an n-gram in their
 prefixes and pass the length and position bounds, so no link is lost. Groups of
-near copies are not expanded into pairs: a round verifies neighbours by size
-within each n-gram's bucket, one more every row with the bucket's purest one,
-and what links is joined; then only pairs of still separate groups are
+near copies are not expanded into pairs: a round verifies every row of an
+n-gram's bucket with the purest one, another neighbours by size that are still
+apart, and what links is joined; then only pairs of still separate groups are
 candidates, of which the bucket's largest group is never paired with itself. Counts from the sketch are never too low:
 n-grams below its threshold have bounded buckets, those above are salted.
 
@@ -45,7 +45,7 @@ HOT_TIMES, HOT_LEAST = 16, 4096
 HASH_BITS = 58
 BATCH_CHARS = 500_000
 RESULT_ROWS = 1 << 17
-MAX_BROADCAST_NODES = 500_000
+MAX_BROADCAST_PAIRS = 200_000
 
 
 def _sets(batch: pa.RecordBatch, column: int = 1):
@@ -161,7 +161,10 @@ def index_rows(spark: SparkSession, docs: DataFrame, level: bytes) -> DataFrame:
 
 
 def shared_tokens(index: DataFrame, hot: int) -> DataFrame:
-    """Index rows of tokens that several nodes have, each once; of hot tokens, whose buckets are salted, all."""
+    """Index rows of tokens that several nodes have, each once; of hot tokens, whose buckets are salted, all.
+
+    Rows come by token and size, so a row whose neighbours in size are too far from it has no partner in its bucket.
+    """
     names = ["token", "node", "n", "pos"]
 
     def run(batches):
@@ -173,7 +176,7 @@ def shared_tokens(index: DataFrame, hot: int) -> DataFrame:
             if not len(rows):
                 continue
             rows = rows[np.concatenate([[True], (rows[1:, :2] != rows[:-1, :2]).any(axis=1)])]
-            same = rows[1:, 0] == rows[:-1, 0]
+            same = (rows[1:, 0] == rows[:-1, 0]) & (rows[:-1, 2] * 100 >= rows[1:, 2] * PERCENT)
             keep = np.concatenate([[before], same]) | np.concatenate([same, [False]]) | (rows[:, 0] >> HASH_BITS >= hot)
             before, kept = bool(keep[-1]), rows[-1:]
             out = rows[:-1][keep[:-1]]
@@ -184,7 +187,7 @@ def shared_tokens(index: DataFrame, hot: int) -> DataFrame:
 
     magnitude = F.shiftright("token", HASH_BITS)
     parts = F.when(magnitude >= hot, F.pmod(F.xxhash64("node"), F.pow(F.lit(2.0), magnitude - hot + 4).cast("long"))).otherwise(0)
-    dealt = index.withColumn("salt", parts).repartition("token", "salt").sortWithinPartitions("token", "node")
+    dealt = index.withColumn("salt", parts).repartition("token", "salt").sortWithinPartitions("token", "n", "node")
     return dealt.mapInArrow(run, "token long, node long, n long, pos long")
 
 
@@ -197,11 +200,15 @@ def plausible(index: DataFrame) -> DataFrame:
     size_class = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / PERCENT))).cast("int")
     rows = index.withColumn("class", size_class)
     classes = rows.groupBy("token", "class").agg(F.max(F.col("n") - F.col("pos")).alias("room"), F.min("n").alias("least"), F.count("*").alias("rows"))
-    near = rows.withColumn("own", F.col("class")).withColumn("class", F.explode(F.array(F.col("class") - 1, F.col("class"), F.col("class") + 1)))
-    least = needed(F.col("n"), F.greatest(F.col("least"), F.ceil(F.col("n") * PERCENT / 100)))
-    ok = (F.col("n") - F.col("pos") >= least) & (F.col("room") >= least) & ((F.col("class") != F.col("own")) | (F.col("rows") > 1))
-    met = near.join(classes, ["token", "class"]).where(ok)
-    return met.groupBy("token", "node").agg(F.first("n").alias("n"), F.first("pos").alias("pos"))
+    # sizes up to 2 ** 63 make under 200 classes
+    summed = classes.groupBy("token").agg(F.collect_list(F.struct("class", "room", "least", "rows")).alias("classes"))
+
+    def ok(c: Column) -> Column:
+        least = needed(F.col("n"), F.greatest(c["least"], F.ceil(F.col("n") * PERCENT / 100)))
+        near = (F.abs(c["class"] - F.col("class")) <= 1) & ((c["class"] != F.col("class")) | (c["rows"] > 1))
+        return near & (F.col("n") - F.col("pos") >= least) & (c["room"] >= least)
+
+    return rows.join(summed, "token").where(F.exists("classes", ok)).select("token", "node", "n", "pos")
 
 
 def segments(spark: SparkSession, docs: DataFrame, level: bytes, pivots: list[int], bits: int, wanted: bytes) -> DataFrame:
@@ -256,28 +263,27 @@ def may_link(a: str, b: str) -> Column:
 
 def verified(pairs: DataFrame, parts: DataFrame, heads: DataFrame) -> DataFrame:
     """Of pairs (a, b, na, nb) those that link: overlaps counted per fragment, then summed per pair."""
-    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct().join(heads, "node")
-    # only segments of nodes in the pairs move; their list is broadcast while it is small
-    small = nodes.count() <= MAX_BROADCAST_NODES
-    own = parts.join(F.broadcast(nodes) if small else nodes, ["node", "id"], "left_semi").select("node", "fragment", "tokens")
-    first = pairs.join(own.select(F.col("node").alias("a"), "fragment", F.col("tokens").alias("left")), "a")
-    both = first.join(own.select(F.col("node").alias("b"), "fragment", F.col("tokens").alias("right")), ["b", "fragment"])
+    known = pairs.join(heads.select(F.col("node").alias("a"), F.col("id").alias("id_a")), "a").join(heads.select(F.col("node").alias("b"), F.col("id").alias("id_b")), "b")
+    # pairs go to the segments while their list is small enough to broadcast, so that only segments that they name move
+    asked = F.broadcast(known) if pairs.count() <= MAX_BROADCAST_PAIRS else known
+    sides = [parts.join(asked, (F.col("node") == F.col(k)) & (F.col("id") == F.col(f"id_{k}"))).select("a", "b", "na", "nb", "fragment", F.col("tokens").alias(k + "_tokens")) for k in ("a", "b")]
+    both = sides[0].join(sides[1].select("a", "b", "fragment", "b_tokens"), ["a", "b", "fragment"])
     # a repeated row of a document brings its segments again, with the same count
-    counted = both.select("a", "b", "na", "nb", "fragment", F.size(F.array_intersect("left", "right")).alias("common")).groupBy("a", "b", "na", "nb", "fragment").agg(F.max("common").alias("common"))
+    counted = both.select("a", "b", "na", "nb", "fragment", F.size(F.array_intersect("a_tokens", "b_tokens")).alias("common")).groupBy("a", "b", "na", "nb", "fragment").agg(F.max("common").alias("common"))
     summed = counted.groupBy("a", "b", "na", "nb").agg(F.sum("common").alias("common"))
     return summed.where(F.col("common") * 100 >= (F.col("na") + F.col("nb") - F.col("common")) * PERCENT)
 
 
-def _chain(index: DataFrame) -> DataFrame:
-    """Neighbours by size inside each token's bucket that may link."""
+def _chain(index: DataFrame, labels: DataFrame) -> DataFrame:
+    """Neighbours by size inside each token's bucket that are in separate groups and may link."""
     salt = F.pmod(F.xxhash64("node"), F.greatest(F.lit(1), F.pow(F.lit(2.0), F.shiftright("token", HASH_BITS) - 12).cast("long")))
     w = Window.partitionBy("token", "salt").orderBy("n", "node")
-    here, last = F.struct("node", "n", "pos"), "last"
-    rows = index.withColumn("salt", salt).select(here.alias("x"), F.lag(here).over(w).alias(last))
-    return _pairs(rows.where(F.col("last.node").isNotNull() & may_link("x", last)), "x", last)
+    here, last = F.struct("node", "n", "pos", "label"), "last"
+    rows = _labelled(index, labels).withColumn("salt", salt).select(here.alias("x"), F.lag(here).over(w).alias(last))
+    return _pairs(rows.where((F.col("x.label") != F.col("last.label")) & may_link("x", last)), "x", last)
 
 
-def _star(index: DataFrame, labels: DataFrame) -> DataFrame:
+def _star(index: DataFrame, labels: DataFrame | None) -> DataFrame:
     """Each row of a token's bucket with the bucket's purest row, if that is in another group: the one with the most
     n-grams after the token, that is the fewest rare ones of its own. Near copies link with it if with any.
     """
@@ -288,7 +294,9 @@ def _star(index: DataFrame, labels: DataFrame) -> DataFrame:
     return _pairs(met.where((F.col("x.label") != F.col("center.label")) & may_link("x", "center")), "x", "center")
 
 
-def _labelled(index: DataFrame, labels: DataFrame) -> DataFrame:
+def _labelled(index: DataFrame, labels: DataFrame | None) -> DataFrame:
+    if labels is None:
+        return index.withColumn("label", F.col("node"))
     return index.join(labels, "node", "left").select(*index.columns, F.coalesce("component", "node").alias("label"))
 
 
@@ -323,10 +331,13 @@ def near_groups(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", te
     wanted = scratch.table(heads.join(index.select("node").distinct(), "node", "left_semi").withColumnRenamed("head", "id"), "wanted")
     bits, table = exact_dedup.bloom_filter(wanted.select(_id_digest(F.col("id"))), wanted.count(), 1)
     parts = scratch.table(segments(spark, slim, level, pivots, bits, table), "segments")
-    labels, links = None, None
+    labels = links = tried = None
     for k in range(ROUNDS + 1):
-        pairs = _chain(index) if k == 0 else _star(index, labels) if k < ROUNDS else _rest(index, labels)
+        pairs = (_star, _chain, _rest)[k](index, labels)
+        if tried is not None:
+            pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = scratch.table(pairs, f"pairs-{k}")
+        tried = pairs.select("a", "b") if tried is None else tried.unionByName(pairs.select("a", "b"))
         found = scratch.table(verified(pairs, parts, wanted).select(F.col("a").alias("u"), F.col("b").alias("v")), f"links-{k}")
         links = found if links is None else links.unionByName(found)
         last = {} if k == ROUNDS else {"rounds": 3}
