@@ -49,5 +49,5 @@ def learn_rules(docs: DataFrame, least: int = 3, sizes=(2, 3)) -> DataFrame:
         g = docs.select("doc_id", F.explode(ngrams(ltoks("text"), n)).alias("original")).groupBy("doc_id", "original").agg(F.count("*").alias("n"))
         out = g if out is None else out.unionByName(g)
     found = out.groupBy("original").agg(F.sum("n").alias("frequency"), F.count("*").alias("documents")).where(F.col("frequency") >= least)
-    initials = F.upper(F.array_join(F.transform(F.split("original", " "), lambda w: F.left(w, F.lit(1))), ""))
+    initials = F.array_join(F.transform(F.split("original", " "), lambda w: F.left(w, F.lit(1))), "")
     return found.withColumn("compressed", initials).withColumn("chars_saved", F.col("frequency") * (F.length("original") - F.length("compressed"))).where("chars_saved > 0")

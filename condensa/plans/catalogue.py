@@ -829,7 +829,7 @@ def key_phrases(spark, sf_dir):
     BASE
     + f""", g AS (SELECT doc_id, unnest(list_concat({s_grams('lt', 2)}, {s_grams('lt', 3)})) AS original FROM d), c AS (SELECT doc_id, original, count(*) AS n FROM g GROUP BY doc_id, original),
     f AS (SELECT original, sum(n)::BIGINT AS frequency, count(*)::BIGINT AS documents FROM c GROUP BY original HAVING sum(n) >= 3),
-    s AS (SELECT *, upper(array_to_string(list_transform(string_split(original, ' '), lambda w: left(w, 1)), '')) AS compressed FROM f)
+    s AS (SELECT *, array_to_string(list_transform(string_split(original, ' '), lambda w: left(w, 1)), '') AS compressed FROM f)
     SELECT original, compressed, frequency, documents, (frequency * (length(original) - length(compressed)))::BIGINT AS chars_saved FROM s WHERE frequency * (length(original) - length(compressed)) > 0"""
 )
 def learn_rules(spark, sf_dir):
