@@ -263,11 +263,17 @@ def may_link(a: str, b: str) -> Column:
 
 def verified(pairs: DataFrame, parts: DataFrame, heads: DataFrame) -> DataFrame:
     """Of pairs (a, b, na, nb) those that link: overlaps counted per fragment, then summed per pair."""
-    known = pairs.join(heads.select(F.col("node").alias("a"), F.col("id").alias("id_a")), "a").join(heads.select(F.col("node").alias("b"), F.col("id").alias("id_b")), "b")
+    # b becomes the node with more pairs: a's segments move once per pair, b's once per node
+    degree = pairs.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("pairs")).join(heads, "node")
+    ends = [degree.select(F.col("node").alias(k), F.struct("pairs", F.col("node").alias("node"), "id").alias(f"end_{k}")) for k in ("a", "b")]
+    turn = F.col("end_a.pairs") > F.col("end_b.pairs")
+    pick = lambda x, y: F.when(turn, F.col(y)).otherwise(F.col(x))
+    known = pairs.join(ends[0], "a").join(ends[1], "b").select(pick("a", "b").alias("a"), pick("b", "a").alias("b"), pick("na", "nb").alias("na"), pick("nb", "na").alias("nb"), pick("end_a.id", "end_b.id").alias("id_a"), pick("end_b.id", "end_a.id").alias("id_b"))
     # pairs go to the segments while their list is small enough to broadcast, so that only segments that they name move
-    asked = F.broadcast(known) if pairs.count() <= MAX_BROADCAST_PAIRS else known
-    sides = [parts.join(asked, (F.col("node") == F.col(k)) & (F.col("id") == F.col(f"id_{k}"))).select("a", "b", "na", "nb", "fragment", F.col("tokens").alias(k + "_tokens")) for k in ("a", "b")]
-    both = sides[0].join(sides[1].select("a", "b", "fragment", "b_tokens"), ["a", "b", "fragment"])
+    near = F.broadcast if pairs.count() <= MAX_BROADCAST_PAIRS else lambda df: df
+    left = parts.join(near(known), (F.col("node") == F.col("a")) & (F.col("id") == F.col("id_a"))).select("a", "b", "na", "nb", "fragment", F.col("tokens").alias("a_tokens"))
+    right = parts.join(near(known.select(F.col("b").alias("node"), F.col("id_b").alias("id")).distinct()), ["node", "id"], "left_semi").select(F.col("node").alias("b"), "fragment", F.col("tokens").alias("b_tokens"))
+    both = left.join(right, ["b", "fragment"])
     # a repeated row of a document brings its segments again, with the same count
     counted = both.select("a", "b", "na", "nb", "fragment", F.size(F.array_intersect("a_tokens", "b_tokens")).alias("common")).groupBy("a", "b", "na", "nb", "fragment").agg(F.max("common").alias("common"))
     summed = counted.groupBy("a", "b", "na", "nb").agg(F.sum("common").alias("common"))
@@ -322,10 +328,14 @@ def near_groups(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", te
     scratch = Scratch(spark, "ngram-join")
     slim = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
     first = scratch.table(first_pass(slim), "first")
-    sized = first.where("segment is null").select("id", "n", "node")
+    sized = scratch.table(first.where("segment is null").select("id", "n", "node"), "sized")
     level, pivots, hot = sketch(first.where("segment is not null"))
+    scratch.drop("first")
     shared = scratch.table(shared_tokens(index_rows(spark, slim, level), hot), "shared")
+    scratch.release()
     index = scratch.table(plausible(shared), "index")
+    scratch.drop("shared")
+    scratch.release()
     heads = scratch.table(sized.where("node is not null").groupBy("node").agg(F.min("id").alias("head")), "heads")
     # one document stands for a node
     wanted = scratch.table(heads.join(index.select("node").distinct(), "node", "left_semi").withColumnRenamed("head", "id"), "wanted")
@@ -339,9 +349,11 @@ def near_groups(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", te
         pairs = scratch.table(pairs, f"pairs-{k}")
         tried = pairs.select("a", "b") if tried is None else tried.unionByName(pairs.select("a", "b"))
         found = scratch.table(verified(pairs, parts, wanted).select(F.col("a").alias("u"), F.col("b").alias("v")), f"links-{k}")
+        scratch.release()
         links = found if links is None else links.unionByName(found)
         last = {} if k == ROUNDS else {"rounds": 3}
         labels = scratch.table(components(scratch, links, f"components-{k}", **last), f"labels-{k}")
+    scratch.drop("segments")
     grouped = heads.join(labels, "node", "left").select("node", "head", F.coalesce("component", "node").alias("label"))
     least = grouped.groupBy("label").agg(F.min("head").alias("component_id"))
     named = scratch.table(grouped.join(least, "label").select("node", "component_id"), "named")

@@ -8,11 +8,13 @@ Everything written there is removed when the driver process ends.
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import re
 import time
 import uuid
 
+from py4j.protocol import Py4JError
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
@@ -55,17 +57,23 @@ class Scratch:
         return self.path(name)
 
     def drop(self, name: str) -> None:
-        handle, path = filesystem(self.path(name))
-        handle.delete_dir(path, missing_dir_ok=True)
+        self._delete(self.path(name))
+
+    def _delete(self, uri: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(uri)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+    def release(self) -> None:
+        """Lets Spark drop the shuffle files of finished jobs now rather than at the driver's next garbage collection."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
 
     def remove(self) -> None:
         atexit.unregister(self.remove)
         try:
-            handle, path = filesystem(self.uri)
-            if handle.get_file_info(path).type != pafs.FileType.NotFound:
-                handle.delete_dir(path)
-        except OSError:
-            pass  # the session's shared folder is already gone
+            self._delete(self.uri)
+        except (OSError, AttributeError, TypeError, Py4JError):
+            pass  # the session has ended; its shared folder goes with the cluster's
 
 
 def read_with_retries(action, attempts: int = 3, pause: float = 0.2):
