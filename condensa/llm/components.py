@@ -2,7 +2,8 @@
 
 Nodes are longs; a component is named by its smallest node. Edges are first
 thinned inside each task to spanning forests of bounded chunks, so a task's
-memory doesn't grow with a component. Nothing is collected but two counts.
+memory doesn't grow with a component; if no more than a chunk is left (the count
+is checked), one task ends the work, else the star steps do. Nothing is collected but two counts.
 """
 
 from __future__ import annotations
@@ -76,9 +77,10 @@ def components(scratch: Scratch, edges: DataFrame, name: str, rounds: int = MAX_
     now = scratch.table(spanning_forests(edges).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), f"{name}-0")
     sign = lambda e: e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     mark = sign(now)
+    if mark[0] <= CHUNK_EDGES:
+        # what is left is as small as the chunks above: one more of them finishes the components
+        now, rounds = scratch.table(spanning_forests(now.repartition(1)), f"{name}-last"), 0
     for k in range(1, rounds + 1):
-        if not mark[0]:
-            break
         now = _stars(scratch, _stars(scratch, now, f"{name}-{k}-large", True), f"{name}-{k}-small", False)
         if (new := sign(now)) == mark:
             break

@@ -111,7 +111,9 @@ def test_empty_tables(spark):
     assert secret_scan.add_spans(df).count() == 0
 
 
-def test_components(spark):
+@pytest.mark.parametrize("chunk", [300_000, 50])
+def test_components(spark, monkeypatch, chunk):
+    monkeypatch.setattr("condensa.llm.components.CHUNK_EDGES", chunk)
     rng = random.Random(1)
     edges = [(rng.randint(0, 400), rng.randint(0, 400)) for _ in range(300)] + [(k, k + 1) for k in range(1000, 1200)]
     df = spark.createDataFrame(edges, "u long, v long").repartition(7)
