@@ -20,7 +20,7 @@ from ..functions import quality as q
 from ..functions import rewrite as rw
 from ..functions import segment as sg
 from ..functions import tokens as tk
-from ..functions.text import word_jaccard
+from ..functions.text import let, word_jaccard
 from . import matching as mt
 from . import rules as rl
 
@@ -55,14 +55,12 @@ def semantic_text(x: Column, rules: list[dict], threshold: float) -> Column:
         alone = F.filter(ordered, lambda m: word_jaccard(s, rw.replace_first(s, m["original_text"], m["compressed_text"])) >= threshold)
 
         def step(now, m):
-            new = rw.replace_first(now, m["original_text"], m["compressed_text"])
-            return F.when(word_jaccard(s, new) >= threshold, new).otherwise(now)
+            return let(rw.replace_first(now, m["original_text"], m["compressed_text"]), lambda new: F.when(word_jaccard(s, new) >= threshold, new).otherwise(now))
 
         return F.aggregate(alone, s, step)
 
     conservative = mt.splice(x, F.filter(mt.resolve(mt.matches_in(x, safe)), lambda m: m["confidence"] >= 0.9)) if safe else x
-    out = joined(x, segment)
-    return F.when(word_jaccard(x, out) >= threshold, out).otherwise(conservative)
+    return let(joined(x, segment), lambda out: F.when(word_jaccard(x, out) >= threshold, out).otherwise(conservative))
 
 
 def extreme_stages(s: Column, rules: list[dict]) -> Column:

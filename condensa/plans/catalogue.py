@@ -570,14 +570,7 @@ def _engine(level: str):
     return run
 
 
-for _level, _name in (("light", "semantic_compress"), ("balanced", "hybrid_compress"), ("aggressive", "extreme_compress")):
-    QUERIES[_name] = _engine(_level)
-
-
-@query()
-def advanced_compress(spark, sf_dir):
-    out = en.advanced(docs(spark, sf_dir), rl.starter_rules(spark))
-    return out.select("doc_id", "compressed_text", r6(F.col("compression_ratio")).alias("compression_ratio"))
+QUERIES["extreme_compress"] = _engine("aggressive")
 
 
 _X1 = BASE + f", a1 AS (SELECT doc_id, text, {S_DROP} AS x FROM d), a2 AS (SELECT doc_id, text, {s_toks(s_unpad(s_fold(s_pad('x'), lx.PHRASES)))} AS t FROM a1), "
@@ -605,33 +598,6 @@ def quality_final(spark, sf_dir):
     return out.select("doc_id", r6(q.final(q.ratio("text", "c"), 0.6, F.lit(None).cast("double"))).alias("final"), r6(q.extreme_estimate("text", "c")).alias("estimate"), r6(q.simple("text", "c")).alias("simple"))
 
 
-def _s_concepts(x: str) -> str:
-    t = s_toks(f"lower({x})")
-    return f"list_concat(list_filter({t}, lambda w: length(w) > 3 AND w NOT IN {s_in(lx.STOP)}), list_filter({s_grams(t, 2)}, lambda g: {s_any('g', lx.STEMS)}))"
-
-
-S_SENT_SIM = f"CASE WHEN len(so) = 0 THEN 1e0 ELSE greatest(0.2e0, least(1e0, (len(sc)::DOUBLE / len(so) + CASE WHEN len(sc) > 0 AND {s_avg_words('so')} > 0 THEN {s_avg_words('sc')} / {s_avg_words('so')} ELSE 1e0 END) / 2)) END"
-
-
-@query(
-    S_EXTREME
-    + rf""", v AS MATERIALIZED (SELECT doc_id, text, c, {s_toks('lower(text)')} AS a, {s_toks('lower(c)')} AS b, {s_toks('c')} AS tc, {_s_concepts('text')} AS ko, {_s_concepts('c')} AS kc, {s_sentences('text')} AS so, {s_sentences('c')} AS sc, length(c)::DOUBLE / nullif(length(text), 0) AS r,
-    list_distinct(regexp_extract_all({s_pad('text')}, '\b([A-Z][a-z]+|[0-9]+)\b', 1)) AS eo, list_distinct(regexp_extract_all({s_pad('c')}, '\b([A-Z][a-z]+|[0-9]+)\b', 1)) AS ec FROM out),
-    w AS (SELECT *, CASE WHEN len(list_distinct(ko)) = 0 THEN 1e0 ELSE len(list_intersect(list_distinct(ko), list_distinct(kc)))::DOUBLE / len(list_distinct(ko)) END AS info FROM v)
-    SELECT doc_id, round(CASE WHEN len(a) = 0 THEN 1e0 ELSE least(1e0, 0.4e0 * {s_jaccard('a', 'b')} + 0.4e0 * CASE WHEN len(ko) = 0 THEN 1e0 ELSE len(list_filter(ko, lambda k: contains(lower(c), k)))::DOUBLE / len(ko) END + 0.2e0 * {S_SENT_SIM}) END, 6) AS semantic,
-    round(CASE WHEN length(c) = 0 THEN 0e0 ELSE least(1e0, CASE WHEN r < 1 THEN info / r ELSE info END) END, 6) AS density,
-    round(CASE WHEN length(text) = 0 THEN 1e0 ELSE greatest(0e0, least(1e0, CASE WHEN r >= 0.3e0 AND r <= 0.7e0 THEN 1 - 2 * abs(r - 0.5e0) WHEN r < 0.3e0 THEN 0.5e0 - (0.3e0 - r) ELSE 1 - 2 * (r - 0.7e0) END)) END, 6) AS efficiency,
-    round(greatest(0e0, least(1e0, 0.8e0 - CASE WHEN {s_share(s_count(s_pad('c'), r'\b[A-Z]{2,}\b'), 'len(tc)')} > 0.3e0 THEN 0.2e0 ELSE 0e0 END + {s_nsub('lower(c)', lx.CLUES)}::DOUBLE / {len(lx.CLUES)} * 0.1e0
-      - CASE WHEN {s_share(s_count('c', r'[^\p{L}\p{N}_\s]'), 'length(c)')} > 0.2e0 THEN ({s_share(s_count('c', r'[^\p{L}\p{N}_\s]'), 'length(c)')} - 0.2e0) * 0.5e0 ELSE 0e0 END)), 6) AS interpretability,
-    round(CASE WHEN len(eo) = 0 THEN 1e0 ELSE len(list_intersect(eo, ec))::DOUBLE / len(eo) END, 6) AS entities FROM w"""
-)
-def quality_components(spark, sf_dir):
-    # a column of its own, read by several scores: kept as a stage of the plan
-    out = docs(spark, sf_dir).withColumn("c", en.plain_extreme("text"))
-    parts = {"semantic": q.semantic("text", "c"), "density": q.density("text", "c"), "efficiency": q.efficiency("text", "c"), "interpretability": q.interpretability("c"), "entities": q.entity_preservation("text", "c")}
-    return out.select("doc_id", *[r6(v).alias(k) for k, v in parts.items()])
-
-
 # --- similarity --------------------------------------------------------------------------------------
 
 
