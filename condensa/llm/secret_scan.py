@@ -5,7 +5,10 @@ and long hex strings. Each text is then a layer of a worklist: regions that are
 percent-encoded, written with Unicode escapes or character references, base64
 or compressed inside base64 are decoded to new layers, which are scanned and
 unwrapped in turn until no new layer appears. A layer seen before in the same
-place (a cycle) is not opened again. Every layer keeps a map from its
+place (a cycle) is not opened again. Percent codes and escapes are decoded in
+place, so a layer of theirs is the whole text and key, separator and value are
+scanned together; the part between blanks around codes is scanned alone as well,
+as a short match before it may take its key. Every layer keeps a map from its
 characters to the spans of the text they come from, so findings in it are
 reported as spans of the text: exact for escapes, of the groups of four
 characters for base64, of the whole region for compressed data.
@@ -22,6 +25,7 @@ import binascii
 import hashlib
 import re
 import zlib
+from bisect import bisect_right
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -36,6 +40,8 @@ WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
 PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 ESCAPE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\u\{([0-9A-Fa-f]{1,6})\}|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|&#([0-9]{1,7});|&#[xX]([0-9A-Fa-f]{1,6});")
+#: marks a run of characters that are not decoded
+LITERAL = -1
 #: an encoded region reaches to the next blank or control character on both sides
 BORDER = re.compile(r"[\x00-\x20\x7f]")
 #: the shortest secret has 16 characters, so its base64 form has at least 22
@@ -55,22 +61,40 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 class Layer:
-    """A decoded text, and for each of its characters the span of the root text that it comes from."""
+    """A decoded text in runs of characters: run k starts at at[k] and comes from begin[k] to end[k] of its parent,
+    all its characters from all of that, or, where end[k] is LITERAL, each from its own.
+    """
 
-    def __init__(self, text: str, begin: list[int], end: list[int]):
-        self.text, self.begin, self.end = text, begin, end
+    def __init__(self, text: str, parent, at: list[int], begin: list[int], end: list[int]):
+        self.text, self.parent, self.at, self.begin, self.end = text, parent, at, begin, end
+        # the span of all of it, without a walk through all layers where it is all of its parent
+        a, b = self.up(0, len(text)) if text else (0, 0)
+        self.whole = parent.whole if (a, b) == (0, len(parent.text)) else parent.span(a, b)
+
+    def up(self, start: int, end: int) -> tuple[int, int]:
+        i, j = bisect_right(self.at, start) - 1, bisect_right(self.at, end - 1) - 1
+        first = self.begin[i] + (start - self.at[i] if self.end[i] == LITERAL else 0)
+        return first, self.begin[j] + end - self.at[j] if self.end[j] == LITERAL else self.end[j]
 
     def span(self, start: int, end: int) -> tuple[int, int]:
-        return self.begin[start], self.end[end - 1]
+        layer = self
+        while layer is not None:
+            start, end = layer.up(start, end)
+            layer = layer.parent
+        return start, end
 
 
 class Root:
+    parent = None
+
     def __init__(self, text: str):
-        self.text = text
+        self.text, self.whole = text, (0, len(text))
 
-    def span(self, start: int, end: int) -> tuple[int, int]:
+    def up(self, start: int, end: int) -> tuple[int, int]:
         return start, end
 
+    span = up
+
 
 def _utf8(raw: bytes) -> str | None:
     try:
@@ -80,33 +104,42 @@ def _utf8(raw: bytes) -> str | None:
     return None if any(c < " " and c not in "\t\n\r\f\v" for c in text) else text
 
 
-def _pieces(layer, start: int, end: int, codes: re.Pattern, decode) -> Layer | None:
-    """The region with each match of codes decoded: (text, begin, end) per piece, other characters as they are."""
-    text, out, begin, stop, changed = layer.text, [], [], [], False
-    at = start
-    for m in codes.finditer(text, start, end):
-        made = decode(m)
-        if made is None:
-            continue
-        for k in range(at, m.start()):
-            b, e = layer.span(k, k + 1)
-            out.append(text[k])
-            begin.append(b)
-            stop.append(e)
-        for s, b, e in made:
-            first, last = layer.span(b, e)
-            out.append(s)
-            begin += [first] * len(s)
-            stop += [last] * len(s)
-        at, changed = m.end(), True
-    if not changed:
-        return None
-    for k in range(at, end):
-        b, e = layer.span(k, k + 1)
-        out.append(text[k])
-        begin.append(b)
-        stop.append(e)
-    return Layer("".join(out), begin, stop)
+def _pieces(layer, codes: re.Pattern, decode) -> tuple[Layer | None, list[tuple[int, int]]]:
+    """The whole text with each match of codes decoded in place, and where the regions of codes are in it."""
+    text, out, at, begin, stop, size, done, regions = layer.text, [], [], [], [], 0, 0, []
+
+    def literal(upto: int):
+        nonlocal size, done
+        if upto > done:
+            out.append(text[done:upto])
+            at.append(size)
+            begin.append(done)
+            stop.append(LITERAL)
+            size += upto - done
+            done = upto
+
+    for a, b in _regions(text, codes):
+        literal(a)
+        start, changed = size, False
+        for m in codes.finditer(text, a, b):
+            made = decode(m)
+            if made is None:
+                continue
+            literal(m.start())
+            for s, first, last in made:
+                out.append(s)
+                at.append(size)
+                begin.append(first)
+                stop.append(last)
+                size += len(s)
+            done, changed = m.end(), True
+        literal(b)
+        if changed:
+            regions.append((start, size))
+    if not regions:
+        return None, []
+    literal(len(text))
+    return Layer("".join(out), layer, at, begin, stop), regions
 
 
 def _percent(m: re.Match):
@@ -153,19 +186,17 @@ def _base64(layer, start: int, end: int) -> Layer | None:
         text = _utf8(more)
         if not text:
             return None
-        b, e = layer.span(start, end)
-        return Layer(text, [b] * len(text), [e] * len(text))
+        return Layer(text, layer, [0], [start], [end])
     text = _utf8(raw)
     if not text:
         return None
     begin, stop, k = [], [], 0
     for c in text:
         width = len(c.encode("utf-8"))
-        b, e = layer.span(start + 4 * (k // 3), min(start + 4 * ((k + width - 1) // 3) + 4, start + len(body)))
-        begin.append(b)
-        stop.append(e)
+        begin.append(start + 4 * (k // 3))
+        stop.append(min(start + 4 * ((k + width - 1) // 3) + 4, start + len(body)))
         k += width
-    return Layer(text, begin, stop)
+    return Layer(text, layer, list(range(len(text))), begin, stop)
 
 
 def _regions(text: str, codes: re.Pattern):
@@ -182,16 +213,14 @@ def _regions(text: str, codes: re.Pattern):
 
 
 def layers(layer):
-    """The layers that a layer's encoded regions decode to."""
+    """The layers that a layer's encoded regions decode to, each with the regions in it that are scanned alone as well."""
     text = layer.text
     if "%" in text:
-        for a, b in _regions(text, PERCENT):
-            yield _pieces(layer, a, b, PERCENT, _percent)
+        yield _pieces(layer, PERCENT, _percent)
     if "\\" in text or "&#" in text:
-        for a, b in _regions(text, ESCAPE):
-            yield _pieces(layer, a, b, ESCAPE, _escape)
+        yield _pieces(layer, ESCAPE, _escape)
     for m in BASE64.finditer(text):
-        yield _base64(layer, m.start(), m.end())
+        yield _base64(layer, m.start(), m.end()), []
 
 
 def scan(text: str | None) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
@@ -201,14 +230,15 @@ def scan(text: str | None) -> tuple[list[tuple[str, int, int]], list[tuple[str,
     base = sorted(base_spans(text), key=order)
     found, work, seen = set(base), [Root(text)], set()
     while work:
-        for layer in layers(work.pop()):
+        for layer, regions in layers(work.pop()):
             if layer is None or not layer.text:
                 continue
-            place = (hashlib.blake2b(layer.text.encode("utf-8", "surrogatepass"), digest_size=16).digest(), layer.begin[0], layer.end[-1])
+            place = (hashlib.blake2b(layer.text.encode("utf-8", "surrogatepass"), digest_size=16).digest(), *layer.whole)
             if place in seen:
                 continue
             seen.add(place)
-            found.update((kind, *layer.span(a, b)) for kind, a, b in base_spans(layer.text))
+            for a, b in [(0, len(layer.text)), *regions]:
+                found.update((kind, *layer.span(a + x, a + y)) for kind, x, y in base_spans(layer.text[a:b]))
             work.append(layer)
     return base, sorted(found, key=order)
 

@@ -170,6 +170,14 @@ def test_secret_layers():
     assert secret_scan.scan("x token%3Dabcdefghijklmnop y")[1] == [("assign", 2, 26)]
 
 
+def test_secret_codes_before_blanks():
+    for text in ("x password%3A hunter2hunter2 y", "x &#34;password&#34;: &#34;hunter2hunter2&#34; y", r"x password\u003a abcdefghijkl y", "x password: token%3Aabcdefghijklmnop y"):
+        assert secret_scan.scan(text)[0] == []
+        (span,) = secret_scan.scan(text)[1]
+        assert span[0] == "assign" and text[span[1] : span[2]].endswith(("hunter2", "hunter2&#34;", "jkl", "nop")), (text, span)
+    assert secret_scan.scan("x password%3A hunter2hunter2 y")[1] == [("assign", 2, 28)]
+
+
 def test_pieces_match_the_library(spark):
     sentencepiece = pytest.importorskip("sentencepiece")
     with open(sentencepiece_wfst.MODEL_FILE, "rb") as f:
