@@ -14,14 +14,16 @@ reported as spans of the text: exact for escapes, of the groups of four
 characters for base64, of the whole region for compressed data.
 
 Positions are code points, ends are exclusive. A null text is empty; an empty
-text has no spans. Decoded bytes that are no UTF-8 text end their branch, and
-compressed data that would expand over ``MAX_LAYER_BYTES`` is not opened.
+text has no spans. Base64 may touch other characters of its alphabet and be
+wrapped into lines: a run is decoded from each of its first four characters on.
+Decoded bytes that are no UTF-8 text are kept beside the rest, and compressed
+data may begin at any of them; data that expand over ``MAX_LAYER_BYTES`` are
+scanned in overlapping pieces.
 """
 
 from __future__ import annotations
 
 import base64
-import binascii
 import hashlib
 import re
 import zlib
@@ -45,8 +47,16 @@ LITERAL = -1
 #: an encoded region reaches to the next blank or control character on both sides
 BORDER = re.compile(r"[\x00-\x20\x7f]")
 #: the shortest secret has 16 characters, so its base64 form has at least 22
-BASE64 = re.compile(r"[A-Za-z0-9+/_-]{22,}={0,2}")
-MAX_LAYER_BYTES = 32 << 20
+LEAST_SECRET, LEAST_BASE64 = 16, 22
+#: a run of base64 characters on one line, or on lines that follow each other
+BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/_-]{22,}+|[A-Za-z0-9+/_-]++(?=[ \t]*\r?\n))(?:[ \t]*\r?\n[ \t]*[A-Za-z0-9+/_-]++)*+={0,2}")
+LINE = re.compile(r"[A-Za-z0-9+/_-]+")
+STANDARD = str.maketrans("-_", "+/")
+#: how a gzip or zlib stream begins, in bytes as _text gives them
+MAGIC = re.compile("\x1f\udc8b\x08|x[\x01^\udc9c\udcda]")
+READ_CHARS, PIECE_BYTES = 1 << 12, 1 << 20
+#: more inflated data than this is scanned in pieces of this size, which overlap
+MAX_LAYER_BYTES, OVERLAP_BYTES = 32 << 20, 1 << 20
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -96,12 +106,30 @@ class Root:
     span = up
 
 
-def _utf8(raw: bytes) -> str | None:
-    try:
-        text = raw.decode("utf-8")
-    except UnicodeDecodeError:
-        return None
-    return None if any(c < " " and c not in "\t\n\r\f\v" for c in text) else text
+class Bytes(Layer):
+    """What the base64 characters of a text decode to: places has, for each piece of them, its offset among them and where it is."""
+
+    def __init__(self, raw: bytes, parent, places: list[tuple[int, int]], first: int, size: int, padded: int):
+        self.places, self.first, self.size, self.padded, self.bytes = places, first, size, padded, len(raw)
+        super().__init__(_text(raw), parent, [0], [0], [0])
+
+    def up(self, start: int, end: int) -> tuple[int, int]:
+        a = start if self.text.isascii() else len(_raw(self.text[:start]))
+        b = a + len(_raw(self.text[start:end]))
+        return self._place(self.first + 4 * (a // 3)), self._place(min(self.first + 4 * ((b - 1) // 3) + 4, self.size) - 1) + 1
+
+    def _place(self, k: int) -> int:
+        at, where = self.places[bisect_right(self.places, k, key=lambda x: x[0]) - 1]
+        return where + k - at
+
+
+def _text(raw: bytes) -> str:
+    """UTF-8 text in which each byte that is none stays as a lone surrogate."""
+    return raw.decode("utf-8", "surrogateescape")
+
+
+def _raw(text: str) -> bytes:
+    return text.encode("utf-8", "surrogateescape")
 
 
 def _pieces(layer, codes: re.Pattern, decode) -> tuple[Layer | None, list[tuple[int, int]]]:
@@ -144,14 +172,11 @@ def _pieces(layer, codes: re.Pattern, decode) -> tuple[Layer | None, list[tuple[
 
 def _percent(m: re.Match):
     """Each character of a run of percent codes with its codes' positions."""
-    raw, at, out, k = bytes.fromhex(m[0].replace("%", "")), m.start(), [], 0
-    while k < len(raw):
-        width = 1 if raw[k] < 0x80 else 2 if raw[k] < 0xE0 else 3 if raw[k] < 0xF0 else 4
-        try:
-            out.append((raw[k : k + width].decode("utf-8"), at + 3 * k, at + 3 * (k + width)))
-        except UnicodeDecodeError:
-            return None
-        k += width
+    at, out = m.start(), []
+    for c in _text(bytes.fromhex(m[0].replace("%", ""))):
+        end = at + 3 * len(_raw(c))
+        out.append((c, at, end))
+        at = end
     return out
 
 
@@ -163,40 +188,74 @@ def _escape(m: re.Match):
     return [(chr(code), m.start(), m.end())]
 
 
-def _inflated(raw: bytes) -> bytes | None:
-    if raw[:2] == b"\x1f\x8b" or (raw[:1] == b"\x78" and len(raw) > 1 and (raw[0] << 8 | raw[1]) % 31 == 0):
+def _inflated(text: str, at: int):
+    """What the compressed stream (or gzip members) from at on inflates to, in pieces: (bytes, where reading is, whether the stream is whole)."""
+    z, left = zlib.decompressobj(47), b""
+    while True:
+        if not left and not z.eof:
+            left = _raw(text[at : at + READ_CHARS])
+            at = min(at + READ_CHARS, len(text))
+            if not left:
+                return
         try:
-            z = zlib.decompressobj(47)
-            out = z.decompress(raw, MAX_LAYER_BYTES)
-            return out if z.eof else None
+            out = z.decompress(left, PIECE_BYTES)
         except zlib.error:
-            return None
-    return None
+            return
+        left = z.unused_data if z.eof else z.unconsumed_tail
+        yield out, at - len(_text(left)), z.eof
+        if z.eof:
+            if len(left) < 3:
+                more = _raw(text[at : at + READ_CHARS])
+                at, left = min(at + READ_CHARS, len(text)), left + more
+            if left[:3] != b"\x1f\x8b\x08":
+                return
+            z = zlib.decompressobj(47)
 
 
-def _base64(layer, start: int, end: int) -> Layer | None:
-    body = layer.text[start:end].rstrip("=")
-    if len(body) % 4 == 1:
-        return None
-    try:
-        raw = base64.b64decode(body.translate(str.maketrans("-_", "+/")) + "=" * (-len(body) % 4), validate=True)
-    except binascii.Error:
-        return None
-    if (more := _inflated(raw)) is not None:
-        text = _utf8(more)
-        if not text:
-            return None
-        return Layer(text, layer, [0], [start], [end])
-    text = _utf8(raw)
-    if not text:
-        return None
-    begin, stop, k = [], [], 0
-    for c in text:
-        width = len(c.encode("utf-8"))
-        begin.append(start + 4 * (k // 3))
-        stop.append(min(start + 4 * ((k + width - 1) // 3) + 4, start + len(body)))
-        k += width
-    return Layer(text, layer, list(range(len(text))), begin, stop)
+def _opened(layer):
+    """Layers of the compressed streams in a layer's bytes; a long one in pieces that overlap."""
+    text, at = layer.text, 0
+    while m := MAGIC.search(text, at):
+        size, end, whole, held = 0, m.end(), False, bytearray()
+        for out, end, whole in _inflated(text, m.start()):
+            size += len(out)
+            held = held + out if size <= MAX_LAYER_BYTES else bytearray()
+        # a stream that isn't whole may be none: others may begin inside
+        at = end if whole else m.start() + 1
+        if size < LEAST_SECRET:
+            continue
+        parent, (a, b) = layer, (m.start(), end)
+        if isinstance(layer, Bytes):
+            parent, b64_end = layer.parent, layer.padded if end == len(text) else 0
+            a, b = layer.up(a, b)
+            b = max(b, b64_end)
+        if held:
+            yield Layer(_text(bytes(held)), parent, [0], [a], [b])
+            continue
+        for out, _, _ in _inflated(text, m.start()):
+            held += out
+            if len(held) >= MAX_LAYER_BYTES:
+                yield Layer(_text(bytes(held)), parent, [0], [a], [b])
+                del held[:-OVERLAP_BYTES]
+        yield Layer(_text(bytes(held)), parent, [0], [a], [b])
+
+
+def _base64(layer, m: re.Match):
+    """Layers of a run of base64 characters: all of it, line ends left out, from each of the first four on, and each line by itself."""
+    lines = [(x.start(), x[0]) for x in LINE.finditer(layer.text, m.start(), m.end())]
+    for part in [lines] + ([[x] for x in lines] if len(lines) > 1 else []):
+        body, places, size = "".join(x for _, x in part), [], 0
+        for where, x in part:
+            places.append((size, where))
+            size += len(x)
+        if size < LEAST_BASE64:
+            continue
+        body = body.translate(STANDARD)
+        padded = m.end() if part[-1] is lines[-1] else part[-1][0] + len(part[-1][1])
+        for first in range(4) if part is lines else (0,):
+            last = size - 1 if (size - first) % 4 == 1 else size
+            raw = base64.b64decode(body[first:last] + "=" * (-(last - first) % 4))
+            yield Bytes(raw, layer, places, first, last, padded if last == size else 0)
 
 
 def _regions(text: str, codes: re.Pattern):
@@ -220,7 +279,11 @@ def layers(layer):
     if "\\" in text or "&#" in text:
         yield _pieces(layer, ESCAPE, _escape)
     for m in BASE64.finditer(text):
-        yield _base64(layer, m.start(), m.end()), []
+        for made in _base64(layer, m):
+            yield made, []
+    if layer.parent is not None:
+        for made in _opened(layer):
+            yield made, []
 
 
 def scan(text: str | None) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
@@ -228,18 +291,22 @@ def scan(text: str | None) -> tuple[list[tuple[str, int, int]], list[tuple[str,
     order = lambda s: (s[1], KINDS.index(s[0]), s[2])
     text = text or ""
     base = sorted(base_spans(text), key=order)
-    found, work, seen = set(base), [Root(text)], set()
+    # layers are made as they are taken, so of a long stream one piece is held at a time
+    found, work, seen = set(base), [layers(Root(text))], set()
     while work:
-        for layer, regions in layers(work.pop()):
-            if layer is None or not layer.text:
-                continue
-            place = (hashlib.blake2b(layer.text.encode("utf-8", "surrogatepass"), digest_size=16).digest(), *layer.whole)
-            if place in seen:
-                continue
-            seen.add(place)
-            for a, b in [(0, len(layer.text)), *regions]:
-                found.update((kind, *layer.span(a + x, a + y)) for kind, x, y in base_spans(layer.text[a:b]))
-            work.append(layer)
+        if (made := next(work[-1], None)) is None:
+            work.pop()
+            continue
+        layer, regions = made
+        if layer is None or not layer.text:
+            continue
+        place = (hashlib.blake2b(layer.text.encode("utf-8", "surrogatepass"), digest_size=16).digest(), *layer.whole)
+        if place in seen:
+            continue
+        seen.add(place)
+        for a, b in [(0, len(layer.text)), *regions]:
+            found.update((kind, *layer.span(a + x, a + y)) for kind, x, y in base_spans(layer.text[a:b]))
+        work.append(layers(layer))
     return base, sorted(found, key=order)
 
 

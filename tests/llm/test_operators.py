@@ -178,6 +178,27 @@ def test_secret_codes_before_blanks():
     assert secret_scan.scan("x password%3A hunter2hunter2 y")[1] == [("assign", 2, 28)]
 
 
+def test_secret_base64_anywhere(monkeypatch):
+    inner = "password: hunter2hunter2"
+    b64 = lambda x: base64.b64encode(x if isinstance(x, bytes) else x.encode()).decode()
+    wrapped = lambda s, n: "\n".join(s[i : i + n] for i in range(0, len(s), n))
+    packed = gzip.compress("".join(random.Random(1).choices("ghij klm", k=400)).encode() + inner.encode())
+    cases = [f"{p}{b64(x)}" for p in ("", "/p/", "id_", "k-", "a", "path/to/") for x in (inner, zlib.compress(inner.encode()), packed)]
+    cases += [wrapped(b64("some words before, " + inner), n) for n in (20, 24, 37)] + [wrapped(b64(packed), n) for n in (64, 75)] + ["key\n" + b64(packed).replace("=", "") + "\nend"]
+    cases += [b64(b"\xff\x00 " + inner.encode() + b" \xe9"), "%E9" + "".join(f"%{c:02X}" for c in inner.encode()), "".join(f"%{c:02x}" for c in packed), b64(packed + gzip.compress(b"more")), b64(packed[:-4])]
+    for case in cases:
+        text = f"é before: {case} after"
+        found = [s for s in secret_scan.scan(text)[1] if s[0] == "assign"]
+        assert found and all(10 <= a < b <= 10 + len(case) for _, a, b in found), case
+    assert secret_scan.scan("/p/" + b64("x " + inner))[1] == [("assign", 3, 3 + len(b64("x " + inner).rstrip("=")))]
+    monkeypatch.setattr(secret_scan, "MAX_LAYER_BYTES", 5000)
+    monkeypatch.setattr(secret_scan, "OVERLAP_BYTES", 200)
+    monkeypatch.setattr(secret_scan, "PIECE_BYTES", 300)
+    for at in (0, 4980, 4990, 5000, 20000, 39000):
+        case = b64(gzip.compress(b" " * at + inner.encode() + b" " * (40000 - at)))
+        assert secret_scan.scan(case)[1] == [("assign", 0, len(case))]
+
+
 def test_pieces_match_the_library(spark):
     sentencepiece = pytest.importorskip("sentencepiece")
     with open(sentencepiece_wfst.MODEL_FILE, "rb") as f:
