@@ -69,10 +69,15 @@ def mix(
     id_col: str = "doc_id",
     text_col: str = "text",
     source_col: str = "source",
+    also: Sequence[Column] = (),
 ) -> DataFrame:
-    """One row per input row: id, source, size, source_size, target, epochs (taken whole), rest (words of the cut epoch), cut_before, taken."""
+    """One row per input row: id, source, size, source_size, target, epochs (taken whole), rest (words of the cut epoch), cut_before, taken.
+
+    Columns in also come along, and break ties in the order.
+    """
     scratch = Scratch(spark, "mix")
-    slim = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{source_col}`").alias("source"), F.coalesce(F.regexp_count(F.col(f"`{text_col}`"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+    slim = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{source_col}`").alias("source"), F.coalesce(F.regexp_count(F.col(f"`{text_col}`"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"), *also)
+    more = slim.columns[3:]
     slim = scratch.table(slim.withColumn("key", random_key(seed, F.col("id"))), "slim")
     ranges = min(MAX_RANGES, max(MIN_RANGES, -(-slim.count() // ROWS_PER_RANGE)))
     budget = targets(slim.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, ceiling)
@@ -85,7 +90,7 @@ def mix(
     sums = named.groupBy("src", "range").agg(F.sum("size").alias("range_sum"))
     along = Window.partitionBy("src").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.withColumn("offset", F.coalesce(F.sum("range_sum").over(along), F.lit(0))).select("src", "range", "offset")
-    inside = Window.partitionBy("src", "range").orderBy("key", "id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = Window.partitionBy("src", "range").orderBy("key", "id", "size", *more).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     summed = named.withColumn("upto", F.sum("size").over(inside)).join(offsets, ["src", "range"])
     before = F.col("offset") + F.col("upto") - F.col("size")
     plan = budget.withColumn("src", F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))).drop("source")
@@ -94,7 +99,7 @@ def mix(
         summed.withColumn("cut_before", before)
         .join(plan, "src")
         .withColumn("taken", (F.col("epochs") * F.col("size") + cut).cast("long"))
-        .select("id", "source", "size", "source_size", "target", "epochs", "rest", "cut_before", "taken")
+        .select("id", "source", "size", "source_size", "target", "epochs", "rest", "cut_before", "taken", *more)
     )
 
 
@@ -102,17 +107,28 @@ def repeated(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
     """The mix itself: docs' rows, whole, as often as the mix takes them.
 
     A row comes once for each whole epoch of its source, and once more if the cut
-    epoch takes at least half of its words. Rows that repeat an id share their
-    number of copies (the least of theirs).
+    epoch takes at least half of its words. Rows are told apart by id, source and
+    text digest; of rows that agree in all three as many come once more as are taken.
     """
-    id_col = options.get("id_col", "doc_id")
-    taken = mix(spark, docs, **options)
+    id_col, text_col, source_col = options.get("id_col", "doc_id"), options.get("text_col", "text"), options.get("source_col", "source")
+    digest = lambda c: F.unhex(F.md5(c.cast("binary")))
+    taken = mix(spark, docs, **options, also=[digest(F.col(f"`{text_col}`")).alias("digest")])
     more = F.when(F.col("size") > 0, 2 * (F.col("taken") - F.col("epochs") * F.col("size")) >= F.col("size")).otherwise(F.col("cut_before") < F.col("rest"))
-    copies = taken.select("id", (F.col("epochs") + more.cast("long")).cast("int").alias("copies")).groupBy("id").agg(F.min("copies").alias("copies"))
-    left, right = docs.alias("d"), copies.where("copies > 0").alias("c")
-    # same-id rows of a repeated id each come back once per copy
+    each = taken.select("id", "source", "digest", (F.col("epochs") + more.cast("long")).cast("int").alias("copies"))
+    counted = each.groupBy("id", "source", "digest").agg(F.min("copies").alias("copies"), (F.sum("copies") - F.min("copies") * F.count("*")).alias("extra"))
+    counted = Scratch(spark, "mix-copies").table(counted.where("copies > 0 or extra > 0"), "copies")
+    left = docs.alias("d")
     copy = "copy"
     while copy in docs.columns:
         copy += "_"
-    both = left.join(right, F.col(f"d.`{id_col}`").eqNullSafe(F.col("c.id")))
-    return both.select("d.*", F.explode(F.sequence(F.lit(1), F.col("c.copies"))).alias(copy)).drop(copy)
+
+    def with_counts(right: DataFrame) -> DataFrame:
+        pairs = ((F.col(f"d.`{id_col}`"), "id"), (F.col(f"d.`{source_col}`"), "source"), (digest(F.col(f"d.`{text_col}`")), "digest"))
+        same = [x.eqNullSafe(F.col(f"c.{y}")) for x, y in pairs]
+        return left.join(right.alias("c"), same[0] & same[1] & same[2])
+
+    whole = with_counts(counted.where("copies > 0")).select("d.*", F.explode(F.sequence(F.lit(1), F.col("c.copies"))).alias(copy))
+    # the cut of a source can fall among rows that agree: those of one key, as the order has them side by side
+    among = Window.partitionBy("c.id", "c.source", "c.digest").orderBy("c.extra")
+    cut = with_counts(F.broadcast(counted.where("extra > 0"))).withColumn(copy, F.row_number().over(among)).where(F.col(copy) <= F.col("c.extra"))
+    return whole.unionByName(cut.select("d.*", copy)).drop(copy)

@@ -63,11 +63,11 @@ def _node(s: np.ndarray) -> int:
 
 
 def first_pass(docs: DataFrame) -> DataFrame:
-    """Rows of two kinds: a document's id, set size and node; and a segment of the task's counts of n-grams."""
+    """Rows of two kinds: a document's id, digest, set size and node; and a segment of the task's counts of n-grams."""
 
     def run(batches):
         counts = np.zeros(1 << SKETCH_BITS, np.uint32)
-        names = ["id", "n", "node", "segment", "counts"]
+        names = ["id", "digest", "n", "node", "segment", "counts"]
         kind = pa.int64()
         for b in batches:
             kind = b.schema.types[0]
@@ -85,13 +85,13 @@ def first_pass(docs: DataFrame) -> DataFrame:
             if held:
                 counts += np.bincount(np.concatenate(held).astype(np.int64), minlength=len(counts)).astype(np.uint32)
             n = b.num_rows
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size, pa.int64()), pa.array(nodes, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(size, pa.int64()), pa.array(nodes, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=names)
         parts = [(k, counts[k * SKETCH_SEGMENT : (k + 1) * SKETCH_SEGMENT]) for k in range(len(counts) // SKETCH_SEGMENT)]
         parts = [(k, zlib.compress(x.tobytes(), 1)) for k, x in parts if x.any()]
         n = len(parts)
-        yield pa.RecordBatch.from_arrays([pa.nulls(n, kind), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array([k for k, _ in parts], pa.int32()), pa.array([x for _, x in parts], pa.binary())], names=names)
+        yield pa.RecordBatch.from_arrays([pa.nulls(n, kind), pa.nulls(n, pa.binary()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array([k for k, _ in parts], pa.int32()), pa.array([x for _, x in parts], pa.binary())], names=names)
 
-    return docs.select("id", "text").mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, n long, node long, segment int, counts binary")
+    return docs.select("id", "text", "digest").mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, digest binary, n long, node long, segment int, counts binary")
 
 
 def sketch(parts: DataFrame) -> tuple[bytes, list[int], int]:
@@ -323,12 +323,15 @@ def _rest(index: DataFrame, labels: DataFrame) -> DataFrame:
     return _pairs(x.join(y, (F.col("x.token") == F.col("y.token")) & apart & may_link("x", "y")), "x", "y")
 
 
-def near_groups(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: the id, n_shingles and component_id (the smallest id reachable by links)."""
-    scratch = Scratch(spark, "ngram-join")
-    slim = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
+def text_digest(text: Column) -> Column:
+    return F.unhex(F.md5(text.cast("binary")))
+
+
+def _grouped(scratch: Scratch, slim: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of slim (id, text, digest): its rows (id, digest, n, node), and each node's label of its group and component_id."""
+    spark = slim.sparkSession
     first = scratch.table(first_pass(slim), "first")
-    sized = scratch.table(first.where("segment is null").select("id", "n", "node"), "sized")
+    sized = scratch.table(first.where("segment is null").select("id", "digest", "n", "node"), "sized")
     level, pivots, hot = sketch(first.where("segment is not null"))
     scratch.drop("first")
     shared = scratch.table(shared_tokens(index_rows(spark, slim, level), hot), "shared")
@@ -356,19 +359,33 @@ def near_groups(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", te
     scratch.drop("segments")
     grouped = heads.join(labels, "node", "left").select("node", "head", F.coalesce("component", "node").alias("label"))
     least = grouped.groupBy("label").agg(F.min("head").alias("component_id"))
-    named = scratch.table(grouped.join(least, "label").select("node", "component_id"), "named")
+    return sized, scratch.table(grouped.join(least, "label").select("node", "label", "component_id"), "named")
+
+
+def near_groups(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: the id, n_shingles and component_id (the smallest id reachable by links)."""
+    slim = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), F.lit(None).cast("binary").alias("digest"))
+    sized, named = _grouped(Scratch(spark, "ngram-join"), slim)
     out = sized.where("node is not null").join(named, "node").select("id", "n", "component_id")
     alone = sized.where("node is null").select("id", "n", F.col("id").alias("component_id"))
     return out.unionByName(alone).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one row of each group: that with the smallest id (of rows that repeat it, one). Rows without shingles stay."""
-    group, size, name = (exact_dedup.fresh(docs, x) for x in ("group", "size", "name"))
-    found = near_groups(spark, docs, id_col, text_col)
-    stays = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy(id_col).agg(F.min(F.col("n_shingles") == 0).alias(size))
-    stays = stays.select(F.col(id_col).alias(name), F.col(size))
+    """docs with one row of each group: that with the smallest id (null last; of rows that repeat it, one). Rows without shingles stay.
+
+    Rows are told apart by id and text digest, so null and repeated ids lose no row of another group.
+    """
+    group, name, digest = (exact_dedup.fresh(docs, x) for x in ("group", "name", "digest"))
+    scratch = Scratch(spark, "near-copies")
+    slim = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), text_digest(F.col(f"`{text_col}`")).alias("digest"))
+    sized, named = _grouped(scratch, slim)
+    rows = sized.where("node is not null").join(named.select("node", "label"), "node")
+    firsts = rows.groupBy("label").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "digest")).alias("row")).select("row.id", "row.digest", "label")
+    alone = sized.where("node is null").select("id", "digest", F.lit(None).cast("long").alias("label")).distinct()
+    stays = scratch.table(firsts.unionByName(alone).select(F.col("id").alias(name), F.col("digest").alias(digest), F.col("label").alias(group)), "stays")
     d, s = docs.alias("d"), stays.alias("s")
-    kept = d.join(s, F.col(f"d.`{id_col}`").eqNullSafe(F.col(f"s.{name}")))
-    filled = kept.where(~F.col(f"s.{size}")).dropDuplicates([name])
-    return kept.where(F.col(f"s.{size}")).unionByName(filled).select(*[F.col(f"`{c}`") for c in docs.columns])
+    same = F.col(f"d.`{id_col}`").eqNullSafe(F.col(f"s.{name}")) & text_digest(F.col(f"d.`{text_col}`")).eqNullSafe(F.col(f"s.{digest}"))
+    kept = d.join(s, same)
+    filled = kept.where(F.col(f"s.{group}").isNotNull()).dropDuplicates([group])
+    return kept.where(F.col(f"s.{group}").isNull()).unionByName(filled).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -62,6 +62,23 @@ def test_repeated_rows_and_columns(spark):
     assert out.where(F.col("size") != "keep").count() == 0
 
 
+def test_repeated_ids(spark):
+    """Rows that share an id, or have none, come as often as each of them is taken."""
+    rows = [(None if i % 3 else 5, f"v{i % 40} " * (i % 7), "s" + str(i % 4), "keep", "this") for i in range(200)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    taken = mixing.mix(spark, df).collect()
+    want = {}
+    for r in taken:
+        more = 2 * (r["taken"] - r["epochs"] * r["size"]) >= r["size"] if r["size"] else r["cut_before"] < r["rest"]
+        key = (r["id"], r["source"], r["size"])
+        want[key] = want.get(key, 0) + r["epochs"] + more
+    got = {}
+    for r in mixing.repeated(spark, df).collect():
+        key = (r["doc_id"], r["source"], len(r["text"].split()))
+        got[key] = got.get(key, 0) + 1
+    assert got == {k: v for k, v in want.items() if v}
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert mixing.mix(spark, df).count() == 0

@@ -80,6 +80,17 @@ def test_drop_near_copies(spark):
     assert sorted(r["doc_id"] for r in out.collect()) == want
 
 
+def test_drop_near_copies_same_ids(spark):
+    """Rows that share an id, or have none, but not a text."""
+    words = [[f"{c}{k}" for k in range(40)] for c in "abcdef"]
+    whole = [" ".join(w) for w in words]
+    near = [" ".join([*w, "tail"]) for w in words]
+    rows = [(None, whole[0]), (None, whole[1]), (None, None), (None, ""), (None, ""), (7, whole[2]), (7, whole[3]), (3, near[3]), (5, whole[4]), (7, whole[2])]
+    out = ngram_join.drop_near_copies(spark, table(spark, rows))
+    want = [(None, whole[0]), (None, whole[1]), (None, None), (None, ""), (None, ""), (7, whole[2]), (3, near[3]), (5, whole[4])]
+    assert sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=str) == sorted(want, key=str)
+
+
 def test_exact_dedup(spark):
     rows = corpus(5) + [(None, "only null id"), (None, "one two")]
     df = table(spark, rows + [rows[2]])
