@@ -271,8 +271,8 @@ def verified(pairs: DataFrame, parts: DataFrame, heads: DataFrame) -> DataFrame:
     known = pairs.join(ends[0], "a").join(ends[1], "b").select(pick("a", "b").alias("a"), pick("b", "a").alias("b"), pick("na", "nb").alias("na"), pick("nb", "na").alias("nb"), pick("end_a.id", "end_b.id").alias("id_a"), pick("end_b.id", "end_a.id").alias("id_b"))
     # pairs go to the segments while their list is small enough to broadcast, so that only segments that they name move
     near = F.broadcast if pairs.count() <= MAX_BROADCAST_PAIRS else lambda df: df
-    left = parts.join(near(known), (F.col("node") == F.col("a")) & (F.col("id") == F.col("id_a"))).select("a", "b", "na", "nb", "fragment", F.col("tokens").alias("a_tokens"))
-    right = parts.join(near(known.select(F.col("b").alias("node"), F.col("id_b").alias("id")).distinct()), ["node", "id"], "left_semi").select(F.col("node").alias("b"), "fragment", F.col("tokens").alias("b_tokens"))
+    left = parts.join(near(known), (F.col("node") == F.col("a")) & F.col("id").eqNullSafe(F.col("id_a"))).select("a", "b", "na", "nb", "fragment", F.col("tokens").alias("a_tokens"))
+    right = parts.join(near(known.select("b", "id_b").distinct()), (F.col("node") == F.col("b")) & F.col("id").eqNullSafe(F.col("id_b")), "left_semi").select(F.col("node").alias("b"), "fragment", F.col("tokens").alias("b_tokens"))
     both = left.join(right, ["b", "fragment"])
     # a repeated row of a document brings its segments again, with the same count
     counted = both.select("a", "b", "na", "nb", "fragment", F.size(F.array_intersect("a_tokens", "b_tokens")).alias("common")).groupBy("a", "b", "na", "nb", "fragment").agg(F.max("common").alias("common"))
@@ -344,6 +344,10 @@ def _grouped(scratch: Scratch, slim: DataFrame) -> tuple[DataFrame, DataFrame]:
     wanted = scratch.table(heads.join(index.select("node").distinct(), "node", "left_semi").withColumnRenamed("head", "id"), "wanted")
     bits, table = exact_dedup.bloom_filter(wanted.select(_id_digest(F.col("id"))), wanted.count(), 1)
     parts = scratch.table(segments(spark, slim, level, pivots, bits, table), "segments")
+    if wanted.where("id is null").limit(1).count():
+        # no id tells rows without one apart: of those of a node one stays
+        one = parts.where("id is null").join(wanted.where("id is null").select("node"), "node", "left_semi").select("id", "node", "fragment", "tokens").dropDuplicates(["node", "fragment"])
+        parts = parts.where("id is not null").unionByName(scratch.table(one, "segments-null"))
     labels = links = tried = None
     for k in range(ROUNDS + 1):
         pairs = (_star, _chain, _rest)[k](index, labels)
@@ -357,6 +361,7 @@ def _grouped(scratch: Scratch, slim: DataFrame) -> tuple[DataFrame, DataFrame]:
         last = {} if k == ROUNDS else {"rounds": 3}
         labels = scratch.table(components(scratch, links, f"components-{k}", **last), f"labels-{k}")
     scratch.drop("segments")
+    scratch.drop("segments-null")
     grouped = heads.join(labels, "node", "left").select("node", "head", F.coalesce("component", "node").alias("label"))
     least = grouped.groupBy("label").agg(F.min("head").alias("component_id"))
     return sized, scratch.table(grouped.join(least, "label").select("node", "label", "component_id"), "named")

@@ -71,6 +71,15 @@ def test_ngram_join(spark, seed):
     assert got == groups(rows)
 
 
+def test_ngram_join_null_ids(spark):
+    words = [[f"{c}{k}" for k in range(40)] for c in "abc"]
+    rows = [(None, " ".join(words[0])), (None, " ".join([*words[0], "tail"])), (None, " ".join([*words[0], "tail"])), (4, " ".join(["head", *words[0]])), (None, " ".join(words[1])), (None, " ".join([*words[1], "tail"])), (9, " ".join(words[2])), (None, " ".join([*words[2], "tail"])), (None, None)]
+    got = ngram_join.near_groups(spark, table(spark, rows)).collect()
+    assert sorted(map(tuple, got), key=str) == sorted([(None, 36, 4), (None, 37, 4), (None, 37, 4), (4, 37, 4), (None, 36, None), (None, 37, None), (9, 36, 9), (None, 37, 9), (None, 0, None)], key=str)
+    kept = ngram_join.drop_near_copies(spark, table(spark, rows)).collect()
+    assert sorted(str(r["doc_id"]) for r in kept) == ["4", "9", "None", "None"]
+
+
 def test_drop_near_copies(spark):
     rows = corpus(3)
     df = table(spark, rows + [rows[0]])
