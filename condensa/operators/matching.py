@@ -1,9 +1,10 @@
 """Occurrences of rules in documents, their conflicts, and applying them.
 
 Two plans find occurrences. A rule table within ``MAX_BROADCAST_RULES`` rows is
-broadcast and joined by containment; a larger one is joined on the first word of
-each rule, so that both sides shuffle on an equi-key. Inside an engine, rules
-are folded over each text without any shuffle.
+broadcast and joined by containment; a larger one is joined on the first
+characters of each rule, so that both sides shuffle on an equi-key, and its
+shortest rules are broadcast in blocks. Both give the same rows. Inside an
+engine, rules are folded over each text without any shuffle.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ from .. import lexicons as lx
 from ..functions.text import any_sub, let, quoted
 
 MAX_BROADCAST_RULES = 5_000
+#: rules of a large table with fewer characters are broadcast
+GRAM = 4
 MATCH = "array<struct<position:int,priority:int,id:int,size:int,original_text:string,compressed_text:string,confidence:double,success_rate:double>>"
 
 
@@ -54,12 +57,17 @@ def candidate_pairs(docs: DataFrame, rules: DataFrame, text: str = "text", rule_
     key = F.lower("original")
     if small:
         return docs.join(F.broadcast(rules), F.contains(F.lower(text), key))
-    # a rule's first word ends at a token's end or the rule's end, so it is part of some token
-    word = lambda c: F.regexp_extract(c, r"[\p{L}\p{N}]+", 0)
-    keyed = rules.withColumn("_first", word(key))
-    tokens = docs.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}]+)"), 1))).alias("_first"))
-    pairs = tokens.join(keyed.where((F.col("pattern_type") == "word") | F.col("original").contains(" ")), "_first").drop("_first").distinct()
-    return docs.join(pairs, "doc_id").where(F.contains(F.lower(text), key))
+    # a text that contains a rule contains the rule's first GRAM characters
+    long = rules.where(F.length(key) >= GRAM).withColumn("_gram", F.substring(key, 1, GRAM))
+    grams = docs.select(F.col("doc_id").alias("_doc"), F.explode(F.regexp_extract_all(F.lower(text), F.lit(f"(?s)(?=(.{{{GRAM}}}))"), 1)).alias("_gram")).distinct()
+    pairs = grams.join(long, "_gram").drop("_gram")
+    out = docs.join(pairs, F.col("doc_id").eqNullSafe(F.col("_doc"))).where(F.contains(F.lower(text), key)).drop("_doc")
+    short = rules.where(F.length(key) < GRAM)
+    blocks = -(-short.count() // MAX_BROADCAST_RULES)
+    for k in range(blocks):
+        block = short.where(F.pmod(F.xxhash64(key), F.lit(blocks)) == k)
+        out = out.unionByName(docs.join(F.broadcast(block), F.contains(F.lower(text), key)))
+    return out
 
 
 def find(docs: DataFrame, rules: DataFrame, text: str = "text", rule_count: int | None = None) -> DataFrame:

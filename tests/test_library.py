@@ -163,3 +163,15 @@ def test_entry_works_without_llm():
 
     assert "compression_by_lang" in entry.queries()
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_large_rule_tables_match_alike(spark, monkeypatch):
+    texts = [(1, "The band the nation, and the STATION"), (2, "c++ or f++ in words; order"), (None, "band the word"), (4, None), (5, ""), (1, "words andthe ion\nand the\nend"), (6, "\U0001f600ion the")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    named = [("tion", "compound"), ("ord", "abbreviation"), ("and the", "phrase"), ("++", "compound"), ("word", "word"), ("the", "word"), ("the\nend", "phrase"), ("n", "compound"), ("", "compound"), (None, "word"), ("ion the", "phrase")]
+    rules = spark.createDataFrame([(i, o, "x", kind, 500, 0.5, "general") for i, (o, kind) in enumerate(named)], "id long, original string, compressed string, pattern_type string, priority int, success_rate double, domain string")
+    rules = rules.unionByName(rules.where("id = 0"))
+    rows = lambda df: sorted(map(str, df.collect()))
+    want = [rows(mt.find(docs, rules)), rows(mt.counts(docs, rules.where("id <> 8")))]
+    monkeypatch.setattr(mt, "MAX_BROADCAST_RULES", 2)
+    assert len(want[0]) > 10 and [rows(mt.find(docs, rules, rule_count=10_000)), rows(mt.counts(docs, rules.where("id <> 8")))] == want
