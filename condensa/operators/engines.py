@@ -186,9 +186,11 @@ def select_engine(level: Column, high_quality: Column | None = None) -> Column:
 
 
 def compress(docs: DataFrame, rules: DataFrame, config: EngineConfig = EngineConfig(), hooks: list[Callable[[DataFrame], DataFrame]] = ()) -> DataFrame:
-    """Documents (doc_id, text, ...) with the result columns; blank and over-long ones are left out (see rules.split_valid)."""
-    accepted, _ = rl.split_valid(docs, most=config.max_chars)
+    """Documents (doc_id, text, ...) with the result columns; blank and over-long ones (see rules.split_valid) come back as they are, with the reason as a warning."""
+    accepted, rejected = rl.split_valid(docs, most=config.max_chars)
     out = REGISTRY[SELECTION[config.level]](accepted, rule_list(rules, config), config)
+    same = none(rejected, [], config).withColumn("warnings", F.array("reason")).drop("reason")
+    out = out.unionByName(same)
     for hook in hooks:
         out = out.transform(hook)
     return out

@@ -564,7 +564,7 @@ def pairwise_winners(spark, sf_dir):
 
 def _engine(level: str):
     def run(spark, sf_dir):
-        out = en.compress(docs(spark, sf_dir), rl.starter_rules(spark), EngineConfig(level=level))
+        out = en.compress(docs(spark, sf_dir), rl.starter_rules(spark), EngineConfig(level=level, max_chars=2**31 - 1))
         return out.select("doc_id", "engine_used", "compressed_text", "original_tokens", "compressed_tokens", r6(F.col("compression_ratio")).alias("compression_ratio"), r6(F.col("quality_score")).alias("quality_score"))
 
     return run

@@ -175,3 +175,17 @@ def test_large_rule_tables_match_alike(spark, monkeypatch):
     want = [rows(mt.find(docs, rules)), rows(mt.counts(docs, rules.where("id <> 8")))]
     monkeypatch.setattr(mt, "MAX_BROADCAST_RULES", 2)
     assert len(want[0]) > 10 and [rows(mt.find(docs, rules, rule_count=10_000)), rows(mt.counts(docs, rules.where("id <> 8")))] == want
+
+
+def test_compress_keeps_every_row(spark, tmp_path):
+    from condensa.plans import catalogue
+
+    long = "in order to utilize the application, " * 3000
+    texts = [(1, "in order to utilize it"), (2, long), (3, ""), (4, "  "), (5, None)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    out = {r["doc_id"]: r for r in en.compress(docs, rl.starter_rules(spark), EngineConfig(level="aggressive")).collect()}
+    assert {i: list(out[i]["warnings"]) for i in (2, 3, 4, 5)} == {2: ["too long"], 3: ["blank"], 4: ["blank"], 5: ["blank"]}
+    assert all(out[i]["compressed_text"] == t and out[i]["engine_used"] == "none" for i, t in texts[1:])
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    made = {r["doc_id"]: r for r in catalogue.QUERIES["extreme_compress"](spark, str(tmp_path)).collect()}
+    assert sorted(made) == [1, 2, 3, 4, 5] and made[2]["engine_used"] == "extreme" and len(made[2]["compressed_text"]) < len(long)
