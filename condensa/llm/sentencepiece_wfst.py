@@ -1,35 +1,44 @@
 """SentencePiece encoding and decoding by weighted finite-state transducers.
 
-A model file is compiled to three machines over the tropical semiring:
-
-* the normaliser, a one-state transducer that writes a meta blank for a blank
-  (and one before the text, if the model says so);
-* the pieces, a transducer from characters to piece ids: a trie whose closing
-  arcs weigh minus the piece's score, with byte arcs for characters no piece has;
+A model file is compiled to machines over the tropical semiring:
+
+* the normaliser: a transducer whose arcs are the model's character map (read
+  from its double-array trie) and a meta blank for a blank; the longest arc that
+  fits is taken. A second machine squeezes blanks and puts one before the text,
+  as the model says;
+* the pieces: a transducer from characters to piece ids, a trie whose closing
+  arcs weigh minus the piece's score;
+* byte fallback: from the trie's root an arc for any other character, which
+  writes the byte pieces of its UTF-8 form (compiled from a table of 256 arcs)
+  and weighs more than any path of pieces;
 * for merge-trained (BPE) models, an acceptor over piece ids: its state is the
   last piece, and it has an arc for a next piece only where merging the two
-  pieces' characters from scratch gives these two pieces again.
+  pieces' characters from scratch gives these two pieces again (weight 0; the
+  weight of all other arcs is infinite). Its arcs are built when first met.
 
-An input is composed with them and the shortest path gives its pieces. For
-unigram models the acceptor is trivial and the path is the best segmentation.
-For merge-trained models the acceptor leaves exactly one path: a sequence whose
-neighbours are all stable is the one that merging produces (a merge over a
-border would happen in the two neighbours alone as well), so the ids equal
-those of the merge procedure, although its greedy choices have no weights.
+An input is composed with them place by place, as far as a path reaches, and
+the shortest path gives its pieces. For unigram models the acceptor is trivial
+and the path is the best segmentation. For merge-trained models the acceptor
+leaves exactly one path of finite weight: a sequence whose neighbours are all
+stable is the one that merging produces (a merge over a border would happen in
+the two neighbours alone as well), so the ids equal those of the merge
+procedure, and the search can stop at the first path that reaches the end.
 
 Arcs never leave a stretch between two cut points (places that no piece spans,
 found from the pieces), so stretches are composed one by one and their results
 kept in a cache of bounded size.
 
 Decoding joins pieces and bytes, writes blanks for meta blanks and drops the
-one added first: exact, but that a meta blank in a text comes back as a blank
-(as the format defines). Null and empty texts have no pieces.
+one added first: exact for models without a character map, but that a meta
+blank in a text comes back as a blank (as the format defines). Null and empty
+texts have no pieces. Added columns get names that no column of the table has.
 """
 
 from __future__ import annotations
 
 import re
 import struct
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -37,15 +46,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from .exact_dedup import fresh
+
 META = "▁"
 MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
 #: kinds of pieces in a model file
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
-#: stretches kept by a worker, and pairs whose stability it remembers
-CACHE_STRETCHES, CACHE_PAIRS = 250_000, 1_000_000
-#: a stretch without a cut point in so many characters is composed anew each time
-CACHE_CHARS = 64
+#: results kept by a worker, in each of two generations (longer stretches are composed anew each time), and arcs of its acceptor
+CACHE_STRETCHES, CACHE_CHARS, CACHE_PAIRS = 400_000, 32, 1_000_000
 BATCH_CHARS = 1_000_000
 
 
@@ -90,9 +99,57 @@ def read_model(data: bytes) -> dict:
             trainer = dict(_fields(value))
         elif number == 3:
             normaliser = dict(_fields(value))
-    if normaliser.get(2):
-        raise NotImplementedError("a normaliser with a character map")
-    return {"pieces": pieces, "type": trainer.get(3, UNIGRAM), "dummy_prefix": bool(normaliser.get(3, 1)), "squeeze": bool(normaliser.get(4, 1))}
+    return {"pieces": pieces, "type": trainer.get(3, UNIGRAM), "map": character_map(normaliser.get(2) or b""), "dummy_prefix": bool(normaliser.get(3, 1)), "squeeze": bool(normaliser.get(4, 1))}
+
+
+def character_map(blob: bytes) -> dict[str, str]:
+    """The rules (text, what it becomes) of a normaliser: a double-array trie of UTF-8 bytes, then the replacements, each ended by a byte 0."""
+    if not blob:
+        return {}
+    size = struct.unpack_from("<I", blob)[0]
+    units, ends = np.frombuffer(blob, "<u4", size // 4, 4).tolist(), blob[4 + size :]
+    offset = lambda unit: (unit >> 10) << ((unit & 512) >> 6)
+    out, work = {}, [(offset(units[0]), b"")]
+    while work:
+        at, prefix = work.pop()
+        for label in range(1, 256):
+            child = at ^ label
+            if child < len(units) and units[child] & 0x800000FF == label:
+                below = child ^ offset(units[child])
+                if units[child] >> 8 & 1:
+                    begin = units[below] & 0x7FFFFFFF
+                    out[(prefix + bytes([label])).decode("utf-8", "surrogateescape")] = ends[begin : ends.index(b"\0", begin)].decode("utf-8")
+                work.append((below, prefix + bytes([label])))
+    return out
+
+
+class Normaliser:
+    """A one-state transducer: its arcs rewrite the longest text that a rule begins with; all other characters stay."""
+
+    def __init__(self, rules: dict[str, str]):
+        self.arcs = rules
+        self.longest = max(map(len, rules), default=0)
+        some = lambda chars: "[" + "".join(map(re.escape, sorted(chars))) + "]" if chars else "(?!)"
+        more = [r for r in rules if len(r) > 1]
+        #: where an arc may begin: at a character with a rule of its own, or at one that a longer rule begins with
+        self.first = re.compile(some({r for r in rules if len(r) == 1}) + "|" + some({r[0] for r in more}) + f"(?={some({r[1] for r in more})})") if rules else None
+
+    def run(self, text: str) -> str:
+        if self.first is None:
+            return text
+        out, at, arcs = [], 0, self.arcs
+        while m := self.first.search(text, at):
+            begin = m.start()
+            out.append(text[at:begin])
+            for size in range(min(self.longest, len(text) - begin), 0, -1):
+                made = arcs.get(text[begin : begin + size])
+                if made is not None:
+                    break
+            else:
+                made, size = text[begin], 1
+            out.append(made)
+            at = begin + size
+        return "".join(out) + text[at:]
 
 
 class Transducer:
@@ -105,11 +162,15 @@ class Transducer:
         self.byte = {int(p[3:5], 16): i for i, (p, _, kind) in enumerate(model["pieces"]) if kind == BYTE}
         self.unknown = next((i for i, (_, _, kind) in enumerate(model["pieces"]) if kind == UNKNOWN), 0)
         self.longest = max(map(len, self.id), default=1)
+        self.normaliser = Normaliser(model["map"])
         #: a path over a character that no piece has costs more than any other way
         self.fallback = 10.0 - min(self.score.values(), default=0.0)
+        #: the arcs of byte fallback: the piece of each byte, or the unknown piece for the whole character
+        self.bytes = [self.byte[b] for b in range(256)] if len(self.byte) == 256 else None
         self.cut = self._cut_points()
-        self.inside = {p[k : k + 2] for p in self.id for k in range(len(p) - 1)}
-        self.stable: dict[int, bool] = {}
+        #: arcs of the acceptor that were built: for each last piece (the end of the list: none) the next pieces
+        self.stable: list[dict[int, bool]] = [{} for _ in range(len(self.texts) + 1)]
+        self.built = 0
         #: results by stretch; when the younger cache is full it becomes the older one
         self.cache: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
@@ -142,9 +203,10 @@ class Transducer:
         return root
 
     def normalise(self, text: str | None) -> str:
-        text = (text or "").replace(" ", META)
+        text = self.normaliser.run(text or "")
         if self.model["squeeze"]:
-            text = re.sub(f"{META}+", META, text).strip(META)
+            text = re.sub(" +", " ", text).strip(" ")
+        text = text.replace(" ", META)
         return META + text if text and self.model["dummy_prefix"] else text
 
     def merged(self, text: str) -> list[str]:
@@ -162,70 +224,95 @@ class Transducer:
         return parts
 
     def follows(self, last: int, piece: int) -> bool:
-        """The acceptor's arc: whether piece may come after last (-1: at the beginning)."""
-        key = last << 32 | piece if last >= 0 else ~piece
-        known = self.stable.get(key)
-        if known is None:
-            if len(self.stable) >= CACHE_PAIRS:
-                self.stable.clear()
-            b = self.texts[piece]
-            known = self.stable[key] = self.merged(b) == [b] if last < 0 else self.merged(self.texts[last] + b) == [self.texts[last], b]
+        """Builds the acceptor's arc: whether piece may come after last (-1: at the beginning)."""
+        self.built += 1
+        if self.built > CACHE_PAIRS:
+            self.built = 1
+            for row in self.stable:
+                row.clear()
+        b = self.texts[piece]
+        known = self.stable[last][piece] = self.merged(b) == [b] if last < 0 else self.merged(self.texts[last] + b) == [self.texts[last], b]
         return known
 
+    def fallback_arc(self, char: str) -> tuple[int, ...]:
+        """What the root's arc for any other character writes."""
+        return tuple(map(self.bytes.__getitem__, char.encode("utf-8", "surrogatepass"))) if self.bytes else (self.unknown,)
+
+    def arcs(self, text: str, i: int) -> list[tuple[int, int, float]]:
+        """The composition's arcs at a place of the text: (end, piece, weight), short ones first; a piece of -1 is the fallback arc."""
+        node, out, j, n = self.trie, [], i, len(text)
+        while j < n and (node := node[0].get(text[j])) is not None:
+            j += 1
+            if node[1] >= 0:
+                out.append((j, node[1], node[2]))
+        if not out or out[0][0] > i + 1:
+            out.insert(0, (i + 1, -1, self.fallback))
+        return out
+
     def shortest_path(self, text: str) -> list[int]:
-        """Ids on the least-weight path of text composed with pieces and acceptor."""
-        n, stable, merge_trained = len(text), self.stable, self.merge_trained
-        # states at each place: last piece (-1 where any may follow) -> (weight, piece before, its place, ids)
-        states: list[dict] = [{} for _ in range(n + 1)]
-        states[0][-1] = (0.0, -1, 0, ())
+        """Ids on the least-weight path of text composed with pieces, fallback and acceptor."""
+        return self._only_path(text) if self.merge_trained else self._best_path(text)
+
+    def _best_path(self, text: str) -> list[int]:
+        n = len(text)
+        weight, way = [0.0] + [float("inf")] * n, [(0, -1)] * (n + 1)
         for i in range(n):
-            here = states[i]
-            if not here:
-                continue
-            node = self.trie
-            for j in range(i, n):
-                node = node[0].get(text[j])
-                if node is None:
-                    break
-                piece = node[1]
+            here = weight[i]
+            for j, piece, w in self.arcs(text, i):
+                if here + w < weight[j]:
+                    weight[j], way[j] = here + w, (i, piece)
+        out, at = [], n
+        while at:
+            i, piece = way[at]
+            out.append((piece,) if piece >= 0 else self.fallback_arc(text[i]))
+            at = i
+        return [x for some in reversed(out) for x in some]
+
+    def _only_path(self, text: str) -> list[int]:
+        """The one path of finite weight: longest arcs first, back where none goes on; a state that leads nowhere is left once."""
+        n, stable, follows, root, fallback = len(text), self.stable, self.follows, self.trie, self.fallback_arc
+        i, last, out, ways, dead = 0, -1, [], [], None
+        choices = None
+        while i < n:
+            if choices is None:
+                # the arcs at this place, as in arcs(), with nothing but ends and pieces
+                node, choices, j = root, [], i
+                while j < n and (node := node[0].get(text[j])) is not None:
+                    j += 1
+                    if node[1] >= 0:
+                        choices.append((j, node[1]))
+                if not choices or choices[0][0] > i + 1:
+                    choices.insert(0, (i + 1, -1))
+            while choices:
+                j, piece = choices.pop()
                 if piece < 0:
-                    continue
-                there = states[j + 1]
-                if merge_trained:
-                    if there:
-                        continue  # the acceptor lets one path reach a place
-                    for last, state in here.items():
-                        known = stable.get(last << 32 | piece if last >= 0 else ~piece)
-                        if known is None:
-                            known = self.follows(last, piece)
-                        if known:
-                            there[piece] = (state[0], last, i, (piece,))
+                    known = True
                 else:
-                    weight = here[-1][0] + node[2]
-                    if -1 not in there or weight < there[-1][0]:
-                        there[-1] = (weight, -1, i, (piece,))
-            if text[i] not in self.id:
-                ids = tuple(self.byte[b] for b in text[i].encode("utf-8", "surrogatepass")) if len(self.byte) == 256 else (self.unknown,)
-                weight, last = min((s[0], k) for k, s in here.items())
-                if -1 not in states[i + 1] or weight + self.fallback < states[i + 1][-1][0]:
-                    states[i + 1][-1] = (weight + self.fallback, last, i, ids)
-        last, ids, at = min(states[n], key=lambda k: states[n][k][0]), [], n
-        while at:
-            _, last, at, some = states[at][last]
-            ids.append(some)
-        return [x for some in reversed(ids) for x in some]
+                    known = stable[last].get(piece)
+                    if known is None:
+                        known = follows(last, piece)
+                if known and (dead is None or (j, piece) not in dead):
+                    ways.append((i, last, choices))
+                    out.append(piece)
+                    i, last, choices = j, piece, None
+                    break
+            else:
+                if not ways:
+                    raise ValueError("no path reaches the end")
+                dead = dead if dead is not None else set()
+                dead.add((i, last))
+                i, last, choices = ways.pop()
+                out.pop()
+        if -1 in out:
+            places = [w[0] for w in ways]
+            return [x for k, piece in enumerate(out) for x in ((piece,) if piece >= 0 else fallback(text[places[k]]))]
+        return out
 
     def _stretch(self, text: str) -> bytes:
         """The ids of a stretch that the younger cache lacks."""
         out = self.old.get(text)
         if out is None:
-            # two characters that are neighbours in no piece have a cut point between them
-            borders = [k for k in range(1, len(text)) if text[k - 1 : k + 1] not in self.inside]
-            if borders:
-                parts = [text[a:b] for a, b in zip([0, *borders], [*borders, len(text)])]
-                out = b"".join([self.cache.get(x) or self._stretch(x) for x in parts])
-            else:
-                out = np.array(self.shortest_path(text), "<i4").tobytes()
+            out = array("i", self.shortest_path(text)).tobytes()
         if len(text) <= CACHE_CHARS:
             if len(self.cache) >= CACHE_STRETCHES:
                 self.old, self.cache = self.cache, {}
@@ -275,6 +362,8 @@ def add_pieces(spark: SparkSession, docs: DataFrame, text_col: str = "text", ids
     with open(model_file, "rb") as f:
         shared = spark.sparkContext.broadcast(f.read())  # the model file, under 1 MB
     where = docs.columns.index(text_col)
+    ids = fresh(docs, ids)
+    decoded = decoded and fresh(docs, decoded)
     added = [T.StructField(ids, T.ArrayType(T.IntegerType(), False))] + ([T.StructField(decoded, T.StringType())] if decoded else [])
     schema = T.StructType([*docs.schema.fields, *added])
 

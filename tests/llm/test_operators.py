@@ -235,10 +235,40 @@ def test_pieces_match_the_library(spark):
     assert {r["doc_id"]: r["back"] for r in out} == {0: "a b", 1: "", 2: ""}
 
 
+def test_pieces_names(spark):
+    """A column that has the name of an added one stays; the added one gets another."""
+    df = spark.createDataFrame([("x", 1)], "text string, piece_ids int")
+    out = sentencepiece_wfst.add_pieces(spark, df)
+    assert out.columns == ["text", "piece_ids", "piece_ids_"] and out.first()["piece_ids"] == 1
+
+
+def test_character_map_of_a_model():
+    """The normaliser compiled from a model's double-array trie, against the library's own."""
+    sentencepiece = pytest.importorskip("sentencepiece")
+    library = sentencepiece.SentencePieceNormalizer(rule_name="nmt_nfkc")
+    model = sentencepiece_wfst.read_model(library.serialized_model_proto())
+    machine = sentencepiece_wfst.Transducer({**model, "pieces": [("<unk>", 0.0, 2), ("a", -1.0, 1)]})
+    rng = random.Random(3)
+    letters = "abeo \t\n\u3000\u00a0\u0301\u0308ＡＢ①ﬁ㍿ｶﾞ각é\u200b\ufeff😀▁"
+    for _ in range(400):
+        t = "".join(rng.choice(letters) for _ in range(rng.randint(0, 30)))
+        assert machine.normalise(t) == library.normalize(t)
+
+
+def test_byte_fallback_arc():
+    """A character that no piece has is written as its bytes, also between pieces, in merge-trained models too."""
+    bytes_ = [(f"<0x{b:02X}>", 0.0, 6) for b in range(256)]
+    for kind in (1, 2):
+        machine = sentencepiece_wfst.Transducer({"pieces": [("<unk>", 0.0, 2), ("a", -1.0, 1), ("aa", -0.5, 1), *bytes_], "type": kind, "map": {}, "dummy_prefix": False, "squeeze": False})
+        ids = machine.encode("aaéa").tolist()
+        assert [machine.texts[i] for i in ids] == ["aa", "<0xC3>", "<0xA9>", "a"]
+        assert machine.decode(ids) == "aaéa"
+
+
 def test_unigram_shortest_path():
     """The best segmentation of a unigram model, against all segmentations."""
     pieces = [("<unk>", 0.0, 2)] + [(p, s, 1) for p, s in {"a": -2.0, "b": -2.5, "c": -3.0, "ab": -3.1, "bc": -3.2, "abc": -6.0, "ca": -4.0}.items()]
-    machine = sentencepiece_wfst.Transducer({"pieces": pieces, "type": 1, "dummy_prefix": False, "squeeze": False})
+    machine = sentencepiece_wfst.Transducer({"pieces": pieces, "type": 1, "map": {}, "dummy_prefix": False, "squeeze": False})
     score = machine.score
 
     def best(text):
