@@ -17,13 +17,17 @@ Positions are code points, ends are exclusive. A null text is empty; an empty
 text has no spans. Base64 may touch other characters of its alphabet and be
 wrapped into lines: a run is decoded from each of its first four characters on.
 Decoded bytes that are no UTF-8 text are kept beside the rest, and compressed
-data may begin at any of them; data that expand over ``MAX_LAYER_BYTES`` are
-scanned in overlapping pieces.
+data (gzip, zlib or bzip2 streams, of any number of members) may begin at any of
+them; data that expand over ``MAX_LAYER_BYTES`` are scanned in overlapping
+pieces. A code that is written by a code of its own kind more than eight times
+over (``%25`` ten times, then ``41``) is peeled in one step, so deep nesting costs
+no layer for each depth. Added columns get names that no column of the table has.
 """
 
 from __future__ import annotations
 
 import base64
+import bz2
 import hashlib
 import re
 import zlib
@@ -31,8 +35,11 @@ from bisect import bisect_right
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .exact_dedup import fresh
+
 KINDS = ("assign", "access", "hex")
 ASSIGN = re.compile(r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
@@ -40,8 +47,13 @@ HEX = re.compile(r"[0-9a-f]{16,}")
 LEAST_VALUE = 12
 WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
-PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
-ESCAPE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\u\{([0-9A-Fa-f]{1,6})\}|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|&#([0-9]{1,7});|&#[xX]([0-9A-Fa-f]{1,6});")
+#: one code, or one under more than eight codes of its kind
+CODE = r"%(?:(?:25){9,}[0-9A-Fa-f]{2}|[0-9A-Fa-f]{2})"
+PERCENT, CODES, NESTED = re.compile(f"(?:{CODE})+"), re.compile(CODE), "%25" + "25" * 8
+ESCAPE = re.compile(
+    r"\\(?:(?:u005[cC]){9,})?u([0-9A-Fa-f]{4})|\\u\{([0-9A-Fa-f]{1,6})\}|\\U([0-9A-Fa-f]{8})|\\(?:(?:x5[cC]){9,})?x([0-9A-Fa-f]{2})"
+    r"|&(?:(?:#38;){9,})?#([0-9]{1,7});|&(?:(?:#[xX]26;){9,})?#[xX]([0-9A-Fa-f]{1,6});"
+)
 #: marks a run of characters that are not decoded
 LITERAL = -1
 #: an encoded region reaches to the next blank or control character on both sides
@@ -52,8 +64,8 @@ LEAST_SECRET, LEAST_BASE64 = 16, 22
 BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/_-]{22,}+|[A-Za-z0-9+/_-]++(?=[ \t]*\r?\n))(?:[ \t]*\r?\n[ \t]*[A-Za-z0-9+/_-]++)*+={0,2}")
 LINE = re.compile(r"[A-Za-z0-9+/_-]+")
 STANDARD = str.maketrans("-_", "+/")
-#: how a gzip or zlib stream begins, in bytes as _text gives them
-MAGIC = re.compile("\x1f\udc8b\x08|x[\x01^\udc9c\udcda]")
+#: how a gzip, zlib or bzip2 stream begins, in bytes as _text gives them
+MAGIC = re.compile("\x1f\udc8b\x08|x[\x01^\udc9c\udcda]|BZh[1-9]1AY&SY")
 READ_CHARS, PIECE_BYTES = 1 << 12, 1 << 20
 #: more inflated data than this is scanned in pieces of this size, which overlap
 MAX_LAYER_BYTES, OVERLAP_BYTES = 32 << 20, 1 << 20
@@ -80,12 +92,34 @@ class Layer:
         # the span of all of it, without a walk through all layers where it is all of its parent
         a, b = self.up(0, len(text)) if text else (0, 0)
         self.whole = parent.whole if (a, b) == (0, len(parent.text)) else parent.span(a, b)
+        if type(self) is type(parent) is Layer:
+            self._lift()
 
     def up(self, start: int, end: int) -> tuple[int, int]:
         i, j = bisect_right(self.at, start) - 1, bisect_right(self.at, end - 1) - 1
         first = self.begin[i] + (start - self.at[i] if self.end[i] == LITERAL else 0)
         return first, self.begin[j] + end - self.at[j] if self.end[j] == LITERAL else self.end[j]
 
+    def _lift(self) -> None:
+        """Maps its characters to its parent's parent, so that a span is not looked up layer by layer."""
+        p, at, begin, stop = self.parent, [], [], []
+        for k, (a, b, e) in enumerate(zip(self.at, self.begin, self.end)):
+            if e != LITERAL:
+                b, e = p.up(b, e)
+                at.append(a)
+                begin.append(b)
+                stop.append(e)
+                continue
+            last = b + (self.at[k + 1] if k + 1 < len(self.at) else len(self.text)) - a
+            i = bisect_right(p.at, b) - 1
+            while i < len(p.at) and p.at[i] < last:
+                skip = max(b - p.at[i], 0)
+                at.append(a + max(p.at[i] - b, 0))
+                begin.append(p.begin[i] + (skip if p.end[i] == LITERAL else 0))
+                stop.append(p.end[i])
+                i += 1
+        self.parent, self.at, self.begin, self.end = p.parent, at, begin, stop
+
     def span(self, start: int, end: int) -> tuple[int, int]:
         layer = self
         while layer is not None:
@@ -172,10 +206,17 @@ def _pieces(layer, codes: re.Pattern, decode) -> tuple[Layer | None, list[tuple[
 
 def _percent(m: re.Match):
     """Each character of a run of percent codes with its codes' positions."""
-    at, out = m.start(), []
-    for c in _text(bytes.fromhex(m[0].replace("%", ""))):
-        end = at + 3 * len(_raw(c))
-        out.append((c, at, end))
+    if NESTED not in m[0]:
+        ends = range(m.start(), m.end() + 1, 3)
+        raw = bytes.fromhex(m[0].replace("%", ""))
+    else:
+        found = list(CODES.finditer(m.string, m.start(), m.end()))
+        ends = [m.start(), *(c.end() for c in found)]
+        raw = bytes(int(c[0][-2:], 16) for c in found)
+    at, out = 0, []
+    for c in _text(raw):
+        end = at + len(_raw(c))
+        out.append((c, ends[at], ends[end]))
         at = end
     return out
 
@@ -188,18 +229,38 @@ def _escape(m: re.Match):
     return [(chr(code), m.start(), m.end())]
 
 
+class _Bzip:
+    """bz2's decompressor with the attributes of zlib's; what it holds back comes with the next call."""
+
+    unconsumed_tail = b""
+
+    def __init__(self):
+        self.z = bz2.BZ2Decompressor()
+
+    def decompress(self, data: bytes, most: int) -> bytes:
+        return self.z.decompress(data, most)
+
+    eof = property(lambda self: self.z.eof)
+    unused_data = property(lambda self: self.z.unused_data)
+    hungry = property(lambda self: self.z.needs_input)
+
+
+def _decompressor(begin: bytes):
+    return _Bzip() if begin == b"BZh" else zlib.decompressobj(47)
+
+
 def _inflated(text: str, at: int):
-    """What the compressed stream (or gzip members) from at on inflates to, in pieces: (bytes, where reading is, whether the stream is whole)."""
-    z, left = zlib.decompressobj(47), b""
+    """What the compressed stream (or members of several) from at on inflates to, in pieces: (bytes, where reading is, whether the stream is whole)."""
+    z, left = _decompressor(_raw(text[at : at + 3])[:3]), b""
     while True:
-        if not left and not z.eof:
+        if not left and not z.eof and getattr(z, "hungry", True):
             left = _raw(text[at : at + READ_CHARS])
             at = min(at + READ_CHARS, len(text))
             if not left:
                 return
         try:
             out = z.decompress(left, PIECE_BYTES)
-        except zlib.error:
+        except (zlib.error, OSError, EOFError):
             return
         left = z.unused_data if z.eof else z.unconsumed_tail
         yield out, at - len(_text(left)), z.eof
@@ -207,9 +268,9 @@ def _inflated(text: str, at: int):
             if len(left) < 3:
                 more = _raw(text[at : at + READ_CHARS])
                 at, left = min(at + READ_CHARS, len(text)), left + more
-            if left[:3] != b"\x1f\x8b\x08":
+            if left[:3] not in (b"\x1f\x8b\x08", b"BZh"):
                 return
-            z = zlib.decompressobj(47)
+            z = _decompressor(left[:3])
 
 
 def _opened(layer):
@@ -321,10 +382,11 @@ FIELDS = T.StructType(
 
 
 def add_spans(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """docs (or the columns in keep) with n_assign, n_access, n_hex, base_spans and spans."""
+    """docs (or the columns in keep) with n_assign, n_access, n_hex, base_spans and spans (under free names)."""
     carried = docs.columns if keep is None else keep
-    src = docs.select(*carried, docs[text_col].alias("__text"))
-    schema = T.StructType([*[docs.schema[c] for c in carried], *FIELDS.fields])
+    src = docs.select(*[F.col(f"`{c}`") for c in carried], F.col(f"`{text_col}`").alias(fresh(docs, "text")))
+    names = [fresh(docs.select(*[F.col(f"`{c}`") for c in carried]), n) for n in FIELDS.names]
+    schema = T.StructType([*[docs.schema[c] for c in carried], *(T.StructField(n, f.dataType, False) for n, f in zip(names, FIELDS.fields))])
 
     def run(batches):
         for b in batches:
@@ -335,6 +397,6 @@ def add_spans(docs: DataFrame, text_col: str = "text", keep: list[str] | None =
                 rows.append((*(kinds.count(k) for k in KINDS), spell(base), spell(spans)))
             made = list(zip(*rows)) or [[]] * len(FIELDS)
             kinds = [pa.int64()] * 3 + [pa.string()] * 2
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *(pa.array(c, t) for c, t in zip(made, kinds))], names=[*b.schema.names[:-1], *FIELDS.names])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *(pa.array(c, t) for c, t in zip(made, kinds))], names=[*b.schema.names[:-1], *names])
 
     return src.mapInArrow(run, schema)
