@@ -50,6 +50,12 @@ class Chars:
         return first, value, np.concatenate([np.searchsorted(first, self.start), [len(first)]])
 
 
+def pairs(words: np.ndarray) -> np.ndarray:
+    """A hash for each word with the one after it, whatever their order (the last stands with nothing)."""
+    with np.errstate(over="ignore"):
+        return mix((words ^ np.append(words[1:], U(0))) + _STEP)
+
+
 def batches(texts: list, lower: bool = False):
     """(first text's index, Chars) for runs of texts of about BATCH_CHARS characters."""
     for a, b in chunks(texts, [len(t or "") + 1 for t in texts], BATCH_CHARS):

@@ -1,12 +1,24 @@
-"""The bounded, reproducible sample of labelled rows that the classifiers learn from."""
+"""The bounded, reproducible sample of labelled rows that the classifiers learn from.
+
+Of each class at most so many rows are taken, in hash order of their id; their
+whole texts, of any length, become features on the executors, and only these come
+to the driver: at most one entry for each bucket of a text. Labels without an id,
+held-out ones and texts that are null are not learnt from; of an id's labels the
+greatest counts, of its texts the one with the least digest.
+"""
 
 from __future__ import annotations
 
+import zlib
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: longer texts are scored like any other, but not learnt from
-MAX_LEARN_CHARS = 100_000
+#: buckets of a text (sorted, distinct) and how often each occurs in it
+Features = tuple[np.ndarray, np.ndarray]
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -14,19 +26,33 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(5)) == 0
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, per_class: dict[int, int] | int) -> tuple[list[tuple[str, int]], dict[int, int]]:
-    """Up to so many texts (of each class, or overall) in hash order of their id, and the count of each class among all learnable labels."""
+def _packed(f: Features) -> tuple[bytes, bytes]:
+    ids, times = f
+    return zlib.compress(np.diff(ids, prepend=0).astype("<i4").tobytes(), 1), zlib.compress(times.astype("<i4").tobytes(), 1)
+
+
+def _unpacked(ids: bytes, times: bytes) -> Features:
+    return np.cumsum(np.frombuffer(zlib.decompress(ids), "<i4")).astype(np.int32), np.frombuffer(zlib.decompress(times), "<i4")
+
+
+def sample(docs: DataFrame, labels: DataFrame, label: str, per_class: dict[int, int], featurise: Callable[[list], list[Features]]) -> tuple[list[tuple[Features, int]], dict[int, int]]:
+    """(features, label) of up to so many texts of each class, and the count of each class among all learnable labels."""
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
-    counts = {r["label"]: r["count"] for r in known.groupBy("label").count().where(F.col("label").isin(0, 1)).collect()}
+    counts = {r["label"]: r["count"] for r in known.groupBy("label").count().where(F.col("label").isin(*per_class)).collect()}
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    if isinstance(per_class, int):
-        picked = known.where(F.col("label").isin(0, 1)).orderBy(*order).limit(per_class)
-    else:
-        first, *rest = [known.where(F.col("label") == k).orderBy(*order).limit(n) for k, n in per_class.items()]
-        picked = first
-        for x in rest:
-            picked = picked.unionByName(x)
+    first, *rest = [known.where(F.col("label") == k).orderBy(*order).limit(n) for k, n in per_class.items()]
+    picked = first
+    for x in rest:
+        picked = picked.unionByName(x)
     # picked has a fixed number of rows at most
-    texts = docs.select("doc_id", "text").where(F.length("text") <= MAX_LEARN_CHARS).join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id"])
-    rows = sorted((r["doc_id"], r["text"], r["label"]) for r in texts.collect())
-    return [(t, y) for _, t, y in rows], counts
+    texts = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(picked), "doc_id")
+    texts = texts.groupBy("doc_id", "label").agg(F.min(F.struct(F.md5("text").alias("tie"), "text")).alias("one")).select("doc_id", "label", "one.text")
+    of_id = docs.schema["doc_id"].dataType.simpleString()
+
+    def run(batches):
+        for b in batches:
+            made = [_packed(f) for f in featurise(b.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([i for i, _ in made], pa.binary()), pa.array([t for _, t in made], pa.binary())], names=["doc_id", "label", "ids", "times"])
+
+    rows = sorted(texts.mapInArrow(run, f"doc_id {of_id}, label int, ids binary, times binary").collect(), key=lambda r: r["doc_id"])
+    return [(_unpacked(r["ids"], r["times"]), r["label"]) for r in rows], counts

@@ -1,14 +1,17 @@
 """Quality: supervised subword embeddings.
 
-Words and character n-grams are hashed into buckets, each with a learnt vector;
-a text is the average of its features' vectors, and a softmax over a linear map
-of it gives the two classes. A word that repeats the one before it adds the
-bucket of that word pair's kind. All is trained by stochastic gradient descent
-in numpy on at most ``LEARN`` labelled texts.
+Words, unordered pairs of neighbouring words (hashed by the exclusive or of the
+two, so every pair of equal words is one bucket) and character n-grams are hashed
+into buckets, each with a learnt vector; a text is the average of its features'
+vectors, and a softmax over a linear map of it gives the two classes. All is trained by stochastic gradient descent in numpy on at
+most ``LEARN`` labelled texts of each class; a step weighs as its class does in
+all labels.
 
 The softmax over two classes needs only the difference of the two rows of the
 linear map, so scoring projects every bucket's vector once and averages scalars.
 Every text is scored whole; null is empty, an empty text has the bias alone.
+Without labels of both classes the score is their share. The added column gets
+a name that no column of the table has.
 """
 
 from __future__ import annotations
@@ -19,26 +22,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from . import charvec, labelled
+from .exact_dedup import fresh
+from .textvec import U
 
 SIZES = range(2, 5)
 BITS = 18
 DIMENSIONS = 12
-LEARN = 3000
+LEARN = {1: 2000, 0: 2000}
 EPOCHS, RATE, DECAY = 12, 4.0, 1e-5
-#: the last bucket stands for a word that repeats the one before it
-REPEAT = (1 << BITS) - 1
 SEED = 7
 
 
 def features(chars: charvec.Chars) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(bucket of each feature, each text's first, each text's end) for words, repeats and each n-gram size."""
-    first, value, at = chars.words()
-    word = (value >> np.uint64(64 - BITS)).astype(np.int64)
-    again = np.flatnonzero(value[1:] == value[:-1]) + 1
-    # not over a text's border
-    again = again[~np.isin(again, at[:-1])]
-    cut = np.searchsorted(again, at)
-    out = [(word, at[:-1], at[1:]), (np.full(len(again), REPEAT), cut[:-1], cut[1:])]
+    """(bucket of each feature, each text's first, each text's end) for words, word pairs and each n-gram size."""
+    _, value, at = chars.words()
+    bucket = lambda h: (h >> U(64 - BITS)).astype(np.int64)
+    out = [(bucket(value), at[:-1], at[1:])]
+    # the pair at k is of words k and k + 1; a text's last word has none of its own
+    pair_end = np.maximum(at[1:] - 1, at[:-1])
+    out.append((bucket(charvec.pairs(value)), at[:-1], pair_end))
     grams = chars.ngrams(SIZES, BITS)
     begin = chars.start - 1
     for n in SIZES:
@@ -47,23 +49,33 @@ def features(chars: charvec.Chars) -> list[tuple[np.ndarray, np.ndarray, np.ndar
     return out
 
 
-def train(rows: list[tuple[str, int]]) -> tuple[np.ndarray, float]:
+def counted(texts: list) -> list[labelled.Features]:
+    """Each text's buckets and how often it has them."""
+    out = []
+    for _, chars in charvec.batches(texts):
+        found = features(chars)
+        for i in range(len(chars.start)):
+            out.append(np.unique(np.concatenate([g[b[i] : e[i]] for g, b, e in found]), return_counts=True))
+    return out
+
+
+def train(rows: list[tuple[labelled.Features, int]], counts: dict[int, int]) -> tuple[np.ndarray, float]:
     """The projected vector (logit for class 1 over class 0) of every bucket, and the bias."""
+    labels = [y for _, y in rows]
+    learnt = {k: labels.count(k) for k in (0, 1)}
+    if not all(learnt.values()):
+        share = min(max(counts.get(1, 0) / max(sum(counts.values()), 1), 1e-6), 1 - 1e-6)
+        return np.zeros(1 << BITS, np.float32), float(np.log(share / (1 - share)))
+    of_class = {k: counts[k] / sum(counts.values()) * len(labels) / learnt[k] for k in (0, 1)}
     rng = np.random.default_rng(SEED)
     vectors = rng.uniform(-1, 1, (1 << BITS, DIMENSIONS)).astype(np.float32) / DIMENSIONS
     out_w, out_b = np.zeros((2, DIMENSIONS), np.float32), np.zeros(2)
-    docs: list[tuple[np.ndarray, np.ndarray, int]] = []
-    labels = [y for _, y in rows]
-    for a, chars in charvec.batches([t for t, _ in rows]):
-        found = features(chars)
-        for i in range(len(chars.start)):
-            ids, times = np.unique(np.concatenate([g[b[i] : e[i]] for g, b, e in found]), return_counts=True)
-            docs.append((ids.astype(np.int32), (times / max(times.sum(), 1)).astype(np.float32), labels[a + i]))
+    docs = [(ids, (times / max(times.sum(), 1)).astype(np.float32), y) for (ids, times), y in rows]
     steps, step = EPOCHS * len(docs), 0
     for _ in range(EPOCHS):
         for k in rng.permutation(len(docs)):
             ids, share, y = docs[k]
-            rate = RATE * (1 - step / steps)
+            rate = RATE * (1 - step / steps) * of_class[y]
             step += 1
             mean = share @ vectors[ids]
             z = out_w @ mean + out_b
@@ -91,17 +103,14 @@ def scores(texts: list, logit: np.ndarray, bias: float) -> np.ndarray:
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
-    rows, counts = labelled.sample(docs, labels, "quality", LEARN)
-    if len({y for _, y in rows}) < 2:
-        share = min(max(counts.get(1, 0) / max(sum(counts.values()), 1), 1e-6), 1 - 1e-6)
-        return np.zeros(1 << BITS, np.float32), float(np.log(share / (1 - share)))
-    return train(rows)
+    return train(*labelled.sample(docs, labels, "quality", LEARN, counted))
 
 
 def add_score(spark: SparkSession, docs: DataFrame, model: tuple[np.ndarray, float], name: str, text_col: str = "text") -> DataFrame:
     """docs with the score column; the model is 1 MiB."""
     shared = spark.sparkContext.broadcast(model)
     where = docs.columns.index(text_col)
+    name = fresh(docs, name)
     schema = T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])
 
     def run(batches):

@@ -7,8 +7,9 @@ regression is trained on the ratios of the buckets present, so a text's score
 is a sum over its distinct n-grams. Every text is scored whole; null is empty,
 and an empty text gets the score of the intercept. Equal texts score alike.
 
-Learning takes at most ``LEARN`` labelled texts per class. Without labels of
-both classes the score is their share (0 without any label).
+Learning takes at most ``LEARN`` labelled texts per class, of any length. Without
+labels of both classes the score is their share (0 without any label). The added
+column gets a name that no column of the table has.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from . import charvec, labelled
+from .exact_dedup import fresh
 
 SIZES = range(3, 6)
 BITS = 20
@@ -36,16 +38,18 @@ def buckets(chars: charvec.Chars) -> tuple[list[np.ndarray], list[np.ndarray]]:
     return [grams[n] for n in SIZES], [np.maximum(chars.end - chars.start + 2 - n + 1, 0) for n in SIZES]
 
 
-def presence(texts: list[str]) -> list[np.ndarray]:
+def presence(texts: list) -> list[labelled.Features]:
+    """Each text's buckets, once each."""
     out = []
     for _, chars in charvec.batches(texts, lower=True):
         ids, sizes = buckets(chars)
         for i, begin in enumerate(chars.start - 1):
-            out.append(np.unique(np.concatenate([g[begin : begin + s[i]] for g, s in zip(ids, sizes)])))
+            found = np.unique(np.concatenate([g[begin : begin + s[i]] for g, s in zip(ids, sizes)]))
+            out.append((found, np.ones(len(found), np.int32)))
     return out
 
 
-def train(rows: list[tuple[str, int]], counts: dict[int, int]) -> tuple[np.ndarray, float]:
+def train(rows: list[tuple[labelled.Features, int]], counts: dict[int, int]) -> tuple[np.ndarray, float]:
     """The weight of every bucket (ratio times coefficient), and the intercept."""
     weight = np.zeros(1 << BITS, np.float32)
     y = np.array([label for _, label in rows], float)
@@ -53,7 +57,7 @@ def train(rows: list[tuple[str, int]], counts: dict[int, int]) -> tuple[np.ndarr
     if not len(y) or y.min() == y.max():
         share = min(max(counts.get(1, 0) / total if total else 0.0, 1e-6), 1 - 1e-6)
         return weight, float(np.log(share / (1 - share)))
-    docs = presence([t for t, _ in rows])
+    docs = [ids for (ids, _), _ in rows]
     seen = {k: np.zeros(1 << BITS) for k in (0, 1)}
     for ids, label in zip(docs, y):
         seen[int(label)][ids] += 1
@@ -104,13 +108,14 @@ def scores(texts: list, weight: np.ndarray, intercept: float) -> np.ndarray:
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
-    return train(*labelled.sample(docs, labels, "toxic", LEARN))
+    return train(*labelled.sample(docs, labels, "toxic", LEARN, presence))
 
 
 def add_score(spark: SparkSession, docs: DataFrame, model: tuple[np.ndarray, float], name: str, text_col: str = "text") -> DataFrame:
     """docs with the score column; the model is 4 MiB."""
     shared = spark.sparkContext.broadcast(model)
     where = docs.columns.index(text_col)
+    name = fresh(docs, name)
     schema = T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])
 
     def run(batches):

@@ -463,7 +463,7 @@ def sample(kind):
 def test_toxicity_learns():
     rows = sample("toxic")
     train, test = rows[:400], rows[400:]
-    model = toxicity.train(train, {1: 100, 0: 300})
+    model = toxicity.train([(f, y) for f, (_, y) in zip(toxicity.presence([t for t, _ in train]), train)], {1: 100, 0: 300})
     got = toxicity.scores([t for t, _ in test], *model)
     assert (((got >= 0.5) == np.array([y for _, y in test])).mean()) > 0.97
     alone = np.array([toxicity.scores([t], *model)[0] for t, _ in test[:20]])
@@ -474,12 +474,108 @@ def test_toxicity_learns():
 
 def test_quality_learns():
     rows = sample("quality")
-    model = quality_model.train(rows[:400])
+    features = quality_model.counted([t for t, _ in rows[:400]])
+    model = quality_model.train([(f, y) for f, (_, y) in zip(features, rows)], {1: 300, 0: 100})
     got = quality_model.scores([t for t, _ in rows[400:]], *model)
     assert (((got >= 0.3) == np.array([y for _, y in rows[400:]])).mean()) > 0.97
     assert 0 <= quality_model.scores([None], *model)[0] <= 1
 
 
+def plain_mix(x):
+    top = (1 << 64) - 1
+    x ^= x >> 33
+    x = x * 0xFF51AFD7ED558CCD & top
+    x ^= x >> 33
+    x = x * 0xC4CEB9FE1A85EC53 & top
+    return x ^ x >> 33
+
+
+STEP, TOP = 0xD1342543DE82EF95, (1 << 64) - 1
+
+
+def plain_chars(text):
+    """Character hashes of a text between blanks, one by one."""
+    return [plain_mix(((32 if 9 <= ord(c) <= 13 else ord(c)) * STEP + 1) & TOP) for c in f" {text} "]
+
+
+def plain_grams(text, n, bits):
+    chars, out = plain_chars(text), []
+    for i in range(len(chars) - n + 1):
+        h = 0
+        for k in reversed(range(n)):
+            h = (chars[i + k] + STEP * h) & TOP
+        out.append(((h ^ n) * STEP & TOP) >> (64 - bits))
+    return out
+
+
+def plain_toxicity(text, weight, intercept):
+    text = (text or "").lower()
+    hits = {g for n in (3, 4, 5) for g in plain_grams(text, n, toxicity.BITS)}
+    return 1 / (1 + np.exp(-(intercept + sum(float(weight[g]) for g in hits))))
+
+
+def plain_quality(text, logit, bias):
+    text, shift = text or "", 64 - quality_model.BITS
+    words = []
+    for w in WORD.findall(text):
+        h = 0
+        for c in reversed(plain_chars(w)[1:-1]):
+            h = (c + STEP * h) & TOP
+        words.append(plain_mix(h))
+    ids = [w >> shift for w in words] + [plain_mix(((x ^ y) + STEP) & TOP) >> shift for x, y in zip(words, words[1:])]
+    if text:
+        ids += [g for n in (2, 3, 4) for g in plain_grams(text, n, quality_model.BITS)]
+    return 1 / (1 + np.exp(-(bias + sum(float(logit[g]) for g in ids) / max(len(ids), 1))))
+
+
+TEXTS = ["", None, "a", "two words", "é\nline  two\tthree é", "x" * 70 + " x x x", "The the THE end", " lead", "日本 日本 語"]
+
+
+def test_scores_against_plain_loops():
+    rng = np.random.default_rng(5)
+    weight = rng.normal(size=1 << toxicity.BITS).astype(np.float32) * (rng.random(1 << toxicity.BITS) < 0.5)
+    logit = rng.normal(size=1 << quality_model.BITS).astype(np.float32)
+    assert toxicity.scores(TEXTS, weight, 0.2) == pytest.approx([plain_toxicity(t, weight, 0.2) for t in TEXTS])
+    assert quality_model.scores(TEXTS, logit, -0.1) == pytest.approx([plain_quality(t, logit, -0.1) for t in TEXTS])
+    # what is learnt from is what is scored
+    for t, (ids, times) in zip(TEXTS, quality_model.counted(TEXTS)):
+        share = float(logit[ids] @ times) / max(times.sum(), 1)
+        assert 1 / (1 + np.exp(-share + 0.1)) == pytest.approx(plain_quality(t, logit, -0.1), rel=1e-4)
+
+
+@pytest.mark.parametrize("kind, least", [("toxic", 0.5), ("quality", 0.3)])
+def test_classifier_queries(spark, tmp_path, kind, least):
+    """Which rows are held out, the threshold, and that labels of held-out rows change no score."""
+    from condensa.llm import queries
+
+    rows = sample(kind)
+    docs = [(k, t) for k, (t, _) in enumerate(rows)] + [(600, None), (601, ""), (3, rows[3][0]), (3, "another text"), (None, "no id")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    out = zlib.crc32
+    held = lambda k: out(("" if k is None else str(k)).encode()) % 5 == 0
+    run = queries.op6_toxicity if kind == "toxic" else queries.op4_quality_classifier
+    scores = []
+    for flip in (False, True):
+        labels = [(k, y ^ (flip and held(k)), y ^ (flip and held(k))) for k, (_, y) in enumerate(rows)] + [(600, 1, 1), (None, 1, 1)]
+        spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.mode("overwrite").parquet(str(tmp_path / "labels.parquet"))
+        got = run(spark, str(tmp_path)).collect()
+        assert len(got) == len(docs)
+        assert all(r["held_out"] == held(r["doc_id"]) and 0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= least) for r in got)
+        scores.append(sorted((str(r["doc_id"]), r["score"]) for r in got))
+        right = [r["predicted"] == rows[r["doc_id"]][1] for r in got if r["held_out"] and r["doc_id"] is not None and r["doc_id"] < 600]
+        assert sum(right) > 0.97 * len(right)
+    assert scores[0] == scores[1]
+
+
+def test_added_names(spark):
+    """Columns that have the names of added ones stay."""
+    df = spark.createDataFrame([("x", 1, 2)], "text string, n_hex int, score int")
+    assert secret_scan.add_spans(df).columns == ["text", "n_hex", "score", "n_assign", "n_access", "n_hex_", "base_spans", "spans"]
+    weight = np.zeros(1 << toxicity.BITS, np.float32)
+    out = toxicity.add_score(spark, df, (weight, 0.0), "score")
+    assert out.columns[-1] == "score_" and out.first()["score_"] == 0.5 and out.first()["score"] == 2
+
+
 def test_no_labels(spark):
     docs = table(spark, [(1, "a"), (2, None)])
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
