@@ -5,12 +5,14 @@ archive is a run of members (magic, sizes, key, image) and ends with an index of
 their offsets. The source ``media_archive`` plans partitions over byte ranges of
 the archives (a member belongs to the range it begins in), streams members
 through Arrow in batches of bounded size, and reads each member on its own by
-its offset: a failing read is tried again, and one that keeps failing gives a
-row with an error instead of failing the task.
+its offset: a failing read is tried again on a newly opened file, and one that
+keeps failing, or whose image is damaged, gives a row with an error instead of
+failing the task; ``whole`` raises on such rows where none may be lost.
 
 An image is an 8-bit greyscale PNG, 64 samples wide, unfiltered. Payloads are
 padded with bytes 0 to a positive multiple of 64, so every payload is an image.
-Null texts are empty. Equal payloads give equal images.
+Null texts are empty, a null key is read back as an empty one. Equal payloads
+give equal images. No rows give no archives, and these no rows.
 """
 
 from __future__ import annotations
@@ -23,6 +25,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -37,7 +40,8 @@ MEMBER, MEMBER_BYTES = "<8sIQ", 20
 #: number of members, magic
 FOOTER, FOOTER_BYTES = "<Q8s", 16
 ARCHIVE_BYTES = 64 << 20
-RANGE_BYTES = 8 << 20
+#: a partition has at least so many bytes, and more where a source would have over MAX_RANGES of them
+RANGE_BYTES, MAX_RANGES = 8 << 20, 100_000
 BATCH_BYTES = 4 << 20
 
 
@@ -142,58 +146,78 @@ class ArchiveReader(DataSourceReader):
         self.uri, self.manifest, self.range_bytes, self.attempts = uri, manifest, range_bytes, attempts
 
     def partitions(self):
-        """Byte ranges of the archives in the directory (or of those that the manifest table names)."""
+        """Byte ranges of the archives that the manifest table names (their sizes are in it), or of those in the directory."""
         handle, base = filesystem(self.uri)
-        from pyarrow import fs
-
-        files = [f for f in handle.get_file_info(fs.FileSelector(base)) if f.base_name.endswith(".media")]
         if self.manifest:
             import pyarrow.dataset as ds
 
             mhandle, mbase = filesystem(self.manifest)
-            named = set(ds.dataset(mbase, filesystem=mhandle, format="parquet").to_table(columns=["archive"])["archive"].to_pylist())
-            files = [f for f in files if f.base_name in named]
-        return [Range(f.path, a, min(a + self.range_bytes, f.size)) for f in sorted(files, key=lambda f: f.path) for a in range(0, f.size, self.range_bytes)]
-
-    def _member(self, handle, path: str, offset: int):
-        with handle.open_input_file(path) as f:
-            f.seek(offset)
-            magic, klen, size = struct.unpack(MEMBER, f.read(MEMBER_BYTES))
-            if magic != MAGIC:
-                raise OSError(f"no member at {offset}")
-            n_bytes = struct.unpack("<Q", f.read(8))[0]
-            body = f.read(klen + size)
-            if len(body) != klen + size:
-                raise EOFError(f"member at {offset} is cut off")
-            return body[:klen].decode(), n_bytes, body[klen:]
-
-    def read(self, partition: Range):
+            rows = ds.dataset(mbase, filesystem=mhandle, format="parquet").to_table(columns=["archive", "bytes"])
+            files = sorted((f"{base}/{name}", size) for name, size in zip(rows["archive"].to_pylist(), rows["bytes"].to_pylist()))
+        else:
+            from pyarrow import fs
+
+            files = sorted((f.path, f.size) for f in handle.get_file_info(fs.FileSelector(base)) if f.base_name.endswith(".media"))
+        step = max(self.range_bytes, -(-sum(size for _, size in files) // MAX_RANGES))
+        return [Range(path, a, min(a + step, size)) for path, size in files for a in range(0, size, step)]
+
+    @staticmethod
+    def _member(f, offset: int):
+        f.seek(offset)
+        magic, klen, size = struct.unpack(MEMBER, f.read(MEMBER_BYTES))
+        if magic != MAGIC:
+            raise OSError(f"no member at {offset}")
+        n_bytes = struct.unpack("<Q", f.read(8))[0]
+        body = f.read(klen + size)
+        if len(body) != klen + size:
+            raise EOFError(f"member at {offset} is cut off")
+        return body[:klen].decode(), n_bytes, body[klen:]
+
+    @staticmethod
+    def _index(f) -> np.ndarray:
+        end = f.size() - FOOTER_BYTES
+        f.seek(end)
+        count, magic = struct.unpack(FOOTER, f.read(FOOTER_BYTES))
+        if magic != MAGIC:
+            raise OSError("an archive without its index")
+        f.seek(end - 8 * count)
+        return np.frombuffer(f.read(8 * count), "<u8").astype(np.int64)
+
+    def read(self, partition: Range | None):
+        if partition is None:
+            return  # a source without ranges gets one partition all the same
         handle, _ = filesystem(self.uri)
+        opened = None
 
-        def index():
-            with handle.open_input_file(partition.archive) as f:
-                end = f.size() - FOOTER_BYTES
-                f.seek(end)
-                count, magic = struct.unpack(FOOTER, f.read(FOOTER_BYTES))
-                if magic != MAGIC:
-                    raise OSError("an archive without its index")
-                f.seek(end - 8 * count)
-                return np.frombuffer(f.read(8 * count), "<u8").astype(np.int64)
-
-        rows, held = [], 0
-        offsets = read_with_retries(index, self.attempts)
+        def on_file(action):
+            """The action on the open archive; after a failure the next attempt opens it anew."""
+            nonlocal opened
+            try:
+                if opened is None:
+                    opened = handle.open_input_file(partition.archive)
+                return action(opened)
+            except (OSError, EOFError, struct.error):
+                if opened is not None:
+                    opened.close()
+                opened = None
+                raise
+
+        rows, held, name = [], 0, partition.archive.rpartition("/")[2]
+        offsets = read_with_retries(lambda: on_file(self._index), self.attempts)
         for offset in offsets[(offsets >= partition.begin) & (offsets < partition.end)].tolist():
             try:
-                key, n_bytes, image = read_with_retries(lambda: self._member(handle, partition.archive, offset), self.attempts)
-                rows.append((partition.archive.rpartition("/")[2], offset, key, n_bytes, image, None))
+                key, n_bytes, image = read_with_retries(lambda: on_file(lambda f: self._member(f, offset)), self.attempts)
+                rows.append((name, offset, key, n_bytes, image, None))
                 held += len(image)
             except (OSError, EOFError, struct.error, UnicodeDecodeError) as e:
-                rows.append((partition.archive.rpartition("/")[2], offset, None, None, None, f"{type(e).__name__}: {e}"))
+                rows.append((name, offset, None, None, None, f"{name} at {offset}: {type(e).__name__}: {e}"))
             if held >= BATCH_BYTES:
                 yield self._batch(rows)
                 rows, held = [], 0
         if rows:
             yield self._batch(rows)
+        if opened is not None:
+            opened.close()
 
     @staticmethod
     def _batch(rows):
@@ -241,10 +265,20 @@ def features(members: DataFrame) -> DataFrame:
                 if image is None:
                     rows.append((key, n, None, None, None, None, None, None, error))
                     continue
-                samples = from_image(image)
+                try:
+                    samples = from_image(image)
+                except (ValueError, struct.error, zlib.error) as e:
+                    rows.append((key, n, None, None, None, None, None, None, f"{type(e).__name__}: {e}"))
+                    continue
                 raw = samples.tobytes()
                 rows.append((key, n, len(raw), hashlib.sha256(raw).hexdigest(), zlib.crc32(raw[-WIDTH:]), len(image), hashlib.sha256(image).hexdigest(), feature(samples), None))
             columns = list(zip(*rows)) if rows else [[]] * len(kinds)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=FEATURES.names)
 
     return members.select("key", "n_bytes", "image", "error").mapInArrow(run, FEATURES)
+
+
+def whole(rows: DataFrame) -> DataFrame:
+    """rows without their error column; a row with an error fails the query, so that no result lacks a member unseen."""
+    failed = F.raise_error(F.concat(F.lit("a member can't be read: "), F.coalesce("error", F.lit("")))).cast("boolean")
+    return rows.where(F.when(F.col("error").isNull(), True).otherwise(failed)).drop("error")

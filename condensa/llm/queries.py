@@ -41,8 +41,8 @@ def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "media")
     uri = scratch.folder("archives")
     scratch.table(media.write_archives(_table(spark, sf_dir, "documents"), "doc_id", "text", uri), "manifest")
-    found = media.features(media.read_archives(spark, uri, scratch.path("manifest")))
-    return found.select(F.when(F.col("key") != "", F.col("key")).cast("long").alias("doc_id"), *[c for c in media.FEATURES.names if c not in ("key", "error")])
+    found = media.whole(media.features(media.read_archives(spark, uri, scratch.path("manifest"))))
+    return found.select(F.when(F.col("key") != "", F.col("key")).cast("long").alias("doc_id"), *[c for c in found.columns if c != "key"])
 
 
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
