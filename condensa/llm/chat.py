@@ -12,8 +12,10 @@ holds one message, rendering one part, reading back one part and two hashers.
 A turn is rendered as ``### role``, a line feed, the text, ``</turn>`` and a
 line feed. In texts and roles a backslash goes before every backslash, ``###``
 and ``</turn>``; in roles a line feed becomes backslash and ``n``. Null texts
-and roles are empty. Events may repeat; of messages without a ``start`` the
-role is empty. Events with a null conversation form a conversation.
+and roles are empty. An event that comes again (equal in all of its columns, as
+logs that are delivered at least once have it) counts once; of messages without a
+``start`` the role is empty. Events with a null conversation form a conversation;
+null order values come first; an empty log has no conversations.
 """
 
 from __future__ import annotations
@@ -89,7 +91,7 @@ def _fold(state: list, kind: str, role: str | None, text: str | None, order: lis
 def messages(events: DataFrame, order: list[str]) -> DataFrame:
     """Final messages of a log with conv_id, message, kind, role, text and the order columns (compared in turn)."""
     cols = ["conv_id", "message", *order]
-    rows = events.select(*cols, "kind", "role", "text").repartition("conv_id", "message").sortWithinPartitions(*cols)
+    rows = events.select(*cols, "kind", "role", "text").repartition("conv_id", "message").sortWithinPartitions(*cols, "kind", "role", "text")
     of = {f.name: f.dataType for f in events.schema.fields}
     schema = T.StructType(
         [T.StructField("conv_id", of["conv_id"])]
@@ -101,7 +103,7 @@ def messages(events: DataFrame, order: list[str]) -> DataFrame:
     n = len(order)
 
     def run(batches):
-        now, state, done, arrow = None, None, [], None
+        now, state, done, arrow, before = None, None, [], None, None
 
         def out():
             columns = list(zip(*done))
@@ -115,6 +117,9 @@ def messages(events: DataFrame, order: list[str]) -> DataFrame:
             arrow = [types[0], *types[2 : 2 + n], pa.string(), pa.string(), *types[2 : 2 + n], pa.bool_()]
             columns = [c.to_pylist() for c in b.columns]
             for values in zip(*columns):
+                if values == before:
+                    continue
+                before = values
                 key, at = values[:2], list(values[2 : 2 + n])
                 if key != now or state is None:
                     if state is not None:
