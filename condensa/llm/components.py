@@ -72,8 +72,13 @@ def _stars(scratch: Scratch, edges: DataFrame, name: str, large: bool) -> DataFr
     return scratch.table(out.where("u <> v").distinct(), name)
 
 
-def components(scratch: Scratch, edges: DataFrame, name: str, rounds: int = MAX_ROUNDS) -> DataFrame:
-    """(node, component) of every node of an edge table (u, v). With fewer rounds than needed, names of parts of components."""
+def components(scratch: Scratch, edges: DataFrame, name: str, rounds: int | None = None) -> DataFrame:
+    """(node, component) of every node of an edge table (u, v).
+
+    With a number of rounds, names of parts of components where more are needed;
+    without, all rounds are made, and over MAX_ROUNDS of them are an error.
+    """
+    whole, rounds = rounds is None, rounds or MAX_ROUNDS
     now = scratch.table(spanning_forests(edges).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), f"{name}-0")
     sign = lambda e: e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     mark = sign(now)
@@ -85,6 +90,9 @@ def components(scratch: Scratch, edges: DataFrame, name: str, rounds: int = MAX_
         if (new := sign(now)) == mark:
             break
         mark = new
+    else:
+        if whole and rounds:
+            raise RuntimeError(f"components still changed in round {rounds}")
     links = now.groupBy("u").agg(F.min("v").alias("v"))
     roots = now.select(F.col("v").alias("node")).distinct().join(links.select(F.col("u").alias("node")), "node", "left_anti")
     return links.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots.select("node", F.col("node").alias("component")))

@@ -360,11 +360,11 @@ def _grouped(scratch: Scratch, slim: DataFrame) -> tuple[DataFrame, DataFrame]:
         links = found if links is None else links.unionByName(found)
         last = {} if k == ROUNDS else {"rounds": 3}
         labels = scratch.table(components(scratch, links, f"components-{k}", **last), f"labels-{k}")
-    scratch.drop("segments")
-    scratch.drop("segments-null")
     grouped = heads.join(labels, "node", "left").select("node", "head", F.coalesce("component", "node").alias("label"))
     least = grouped.groupBy("label").agg(F.min("head").alias("component_id"))
-    return sized, scratch.table(grouped.join(least, "label").select("node", "label", "component_id"), "named")
+    named = scratch.table(grouped.join(least, "label").select("node", "label", "component_id"), "named")
+    scratch.keep("sized", "named")
+    return sized, named
 
 
 def near_groups(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -1,8 +1,10 @@
 """Scratch tables and files that every executor and the driver can read.
 
-Lineage is cut by writing a table below ``spark.checkpoint.dir`` (read from the
-session; a folder under /tmp only where the setting is absent, as in tests).
-Everything written there is removed when the driver process ends.
+Lineage is cut by writing a table below ``spark.checkpoint.dir``, read from the
+session. Where the setting is absent, a session that runs in this process alone
+(master local) gets a folder under /tmp; on a cluster that is an error. What is
+written goes with ``drop``, ``keep`` or ``remove``, or at the latest when the
+driver process ends.
 """
 
 from __future__ import annotations
@@ -25,6 +27,8 @@ def shared_root(spark: SparkSession) -> str:
     """The folder shared by driver and executors, as a URI."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         os.makedirs(LOCAL_FALLBACK, exist_ok=True)
         root = "file://" + LOCAL_FALLBACK
     return root if re.match(r"[a-z][a-z0-9+.-]*:", root) else "file://" + os.path.abspath(root)
@@ -41,6 +45,7 @@ class Scratch:
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.uri = f"{shared_root(spark).rstrip('/')}/{label}-{uuid.uuid4().hex[:12]}"
+        self.names: set[str] = set()
         atexit.register(self.remove)
 
     def path(self, name: str) -> str:
@@ -48,6 +53,7 @@ class Scratch:
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
         """Write df as Parquet and read it back: the plan above starts from the files."""
+        self.names.add(name)
         df.write.mode("overwrite").option("compression", "zstd").parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
@@ -57,8 +63,14 @@ class Scratch:
         return self.path(name)
 
     def drop(self, name: str) -> None:
+        self.names.discard(name)
         self._delete(self.path(name))
 
+    def keep(self, *names: str) -> None:
+        """Drops all other tables: what reads them must have been written."""
+        for name in self.names - set(names):
+            self.drop(name)
+
     def _delete(self, uri: str) -> None:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(uri)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -392,6 +392,97 @@ def test_media_damaged_member(spark):
     assert sorted((r["key"] or "", r["error"] is None) for r in rows) == [("", False), ("2", True)]
 
 
+def plain_feature(samples):
+    """The documented figures of the samples, by plain loops."""
+    n, mean = len(samples), sum(samples) / len(samples)
+    deviation = (sum((x - mean) ** 2 for x in samples) / n) ** 0.5
+    entropy = -sum(c / n * np.log2(c / n) for c in (samples.count(v) for v in set(samples)))
+    columns = [sum(samples[k::64]) for k in range(64)]
+    middle = (sorted(columns)[31] + sorted(columns)[32]) / 2
+    bits = "".join("1" if c > middle else "0" for c in columns)
+    return mean, deviation, entropy, f"{int(bits, 2):016x}"
+
+
+def plain_png(image):
+    """Samples of a PNG by its specification: chunks, and the five kinds of line filters."""
+    at, data = 8, b""
+    while at < len(image):
+        size = int.from_bytes(image[at : at + 4], "big")
+        kind, body = image[at + 4 : at + 8], image[at + 8 : at + 8 + size]
+        if kind == b"IHDR":
+            width, height, depth, colour = int.from_bytes(body[:4], "big"), int.from_bytes(body[4:8], "big"), body[8], body[9]
+        elif kind == b"IDAT":
+            data += body
+        at += 12 + size
+    assert (depth, colour) == (8, 0)
+    raw, out, before = zlib.decompress(data), [], [0] * width
+    for y in range(height):
+        line = raw[y * (width + 1) : (y + 1) * (width + 1)]
+        now = []
+        for x, v in enumerate(line[1:]):
+            left, up = (now[x - 1] if x else 0), before[x]
+            corner = before[x - 1] if x else 0
+            paeth = min((left, up, corner), key=lambda c: abs(left + up - corner - c))
+            now.append((v + (0, left, up, (left + up) // 2, paeth)[line[0]]) % 256)
+        out += now
+        before = now
+    return out
+
+
+def test_media_query(spark, tmp_path):
+    """All digest columns and the feature of each row, from the stored bytes as another reader reads them."""
+    from condensa.llm import queries
+
+    rows = [(i, t) for i, t in corpus(17)[:25]] + [(90, "x" * 64), (91, "é" * 500), (90, "x" * 64)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    out = queries.op7_media(spark, str(tmp_path)).collect()
+    assert sorted(r["doc_id"] for r in out) == sorted(i for i, _ in rows)
+    texts = dict(rows)
+    for r in out:
+        raw = (texts[r["doc_id"]] or "").encode()
+        full = raw + bytes(-len(raw) % 64 or (0 if raw else 64))
+        image = media.to_image(full)
+        assert plain_png(image) == list(full)
+        assert (r["n_bytes"], r["payload_bytes"], r["media_bytes"]) == (len(raw), len(full), len(image))
+        assert (r["payload_sha256"], r["media_sha256"], r["tail_crc32"]) == (hashlib.sha256(full).hexdigest(), hashlib.sha256(image).hexdigest(), zlib.crc32(full[-64:]))
+        got = dict(x.split("=") for x in r["feature"].split(";"))
+        mean, deviation, entropy, bits = plain_feature(list(full))
+        assert [float(got[k]) for k in ("mean", "std", "entropy")] == pytest.approx([mean, deviation, entropy], abs=1e-4)
+        assert got["hash"] == bits
+
+
+def test_media_empty_and_whole(spark):
+    scratch = Scratch(spark, "test-empty-media")
+    uri = scratch.folder("archives")
+    scratch.table(media.write_archives(spark.createDataFrame([], SCHEMA), "doc_id", "text", uri), "manifest")
+    assert media.features(media.read_archives(spark, uri, scratch.path("manifest"))).count() == 0
+    bad = spark.createDataFrame([("1", None), ("2", "cut off")], "key string, error string")
+    assert media.whole(bad.where("error is null")).columns == ["key"]
+    with pytest.raises(Exception, match="cut off"):
+        media.whole(bad).collect()
+
+
+def test_media_damaged_image(spark):
+    """A member whose image is damaged is a row with an error, the others are whole."""
+    image = media.to_image(bytes(64))
+    rows = [("1", 0, image, None), ("2", 0, image[:-20] + b"x" + image[-19:], None), ("3", None, None, "gone")]
+    out = {r["key"]: r for r in media.features(spark.createDataFrame(rows, "key string, n_bytes long, image binary, error string")).collect()}
+    assert out["1"]["error"] is None and "damaged" in out["2"]["error"] and out["3"]["error"] == "gone"
+
+
+def test_media_ranges(tmp_path, monkeypatch):
+    """Ranges come from the manifest, and grow where there would be too many."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    pq.write_table(pa.table({"archive": ["a.media", "b.media"], "members": [1, 1], "bytes": [10_000, 95_000]}), tmp_path / "m.parquet")
+    reader = media.ArchiveReader("file:///nowhere", "file://" + str(tmp_path / "m.parquet"), 1000, 1)
+    assert len(reader.partitions()) == 105
+    monkeypatch.setattr(media, "MAX_RANGES", 10)
+    parts = reader.partitions()
+    assert len(parts) == 11 and sum(p.end - p.begin for p in parts) == 105_000
+
+
 def test_warc_round_trip(spark):
     rows = [(i, f"http://x/{i % 3} y", t) for i, t in corpus(8)] + [(500, None, "same"), (501, "u", "same"), (501, "u", "same"), (502, "", None)]
     out = warc.round_trip(spark, spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()
@@ -419,6 +510,87 @@ def test_arc_versions():
         assert header["url"] == "http://a/%20b" and body.endswith(b"\n\npay\r\n\r\nload")
 
 
+def test_warc_keys_and_empty(spark):
+    rows = [("a b", "u", "x"), ("é\n", "u", "x"), (None, "u", "y"), ("", "u", "y"), ("7", "v", "")]
+    out = warc.round_trip(spark, spark.createDataFrame(rows, "page_id string, url string, html string")).collect()
+    assert {(r["key"], r["record_type"], r["refers_to"]) for r in out} == {("é\n", "response", None), ("a b", "revisit", "é\n"), ("", "response", None), (None, "revisit", ""), ("7", "response", None)}
+    assert warc.round_trip(spark, spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
+
+
+#: archives as other tools wrote them: blanks in URLs and types, short dates, line ends between records
+FOREIGN_V1 = (
+    b"filedesc://IA-000001.arc 0.0.0.0 19960923142103 text/plain 75\n1 0 Alexa Internet\nURL IP-address Archive-date Content-type Archive-length\n\n"
+    + b"http://www.example.org:80/a b.html 192.0.2.9 199609231421 text/html; charset=x 60\nHTTP/1.0 200 Document follows\r\nServer: NCSA/1.4\r\n\r\n<p>hello\n\n"
+    + b"http://www.example.org/bad 192.0.2.9 19961399000000 text/html 4\nnope\n"
+    + b"dns:www.example.org 192.0.2.9 19960923 text/dns 9\n192.0.2.9\n"
+)
+
+
+def test_foreign_archives(spark, monkeypatch):
+    import io
+
+    rows = list(warc.arc_records(io.BytesIO(FOREIGN_V1)))
+    assert [h and h["url"] for _, h, _, _ in rows] == ["http://www.example.org:80/a b.html", None, "dns:www.example.org"]
+    assert rows[0][1]["date"] == "19960923142100" and rows[0][1]["type"] == "text/html; charset=x" and rows[0][3] == b"<p>hello\n"
+    assert rows[2][1]["date"] == "19960923000000" and "ValueError" in rows[1][2]
+    monkeypatch.setattr(warc, "READ_BYTES", 7)
+    assert list(warc.arc_records(io.BytesIO(FOREIGN_V1))) == rows
+    # the same archive with a gzip member for each record, as a whole job: the bad record is a row of the error table
+    scratch = Scratch(spark, "test-foreign")
+    arcs, warcs = scratch.folder("arc"), scratch.folder("warc")
+    folder = arcs.removeprefix("file://")
+    cuts = [FOREIGN_V1.index(x) for x in (b"filedesc", b"http://www.example.org:80", b"http://www.example.org/bad", b"dns:")] + [len(FOREIGN_V1)]
+    with open(f"{folder}/z.arc.gz", "wb") as f:
+        f.write(b"".join(gzip.compress(FOREIGN_V1[a:b]) for a, b in zip(cuts, cuts[1:])))
+    with open(f"{folder}/p.arc", "wb") as f:
+        f.write(FOREIGN_V1)
+    with open(f"{folder}/cut.arc.gz", "wb") as f:
+        f.write(gzip.compress(FOREIGN_V1[: cuts[1]]) + gzip.compress(FOREIGN_V1[cuts[1] : cuts[2]])[:-9])
+    legacy = spark.createDataFrame([("z.arc.gz",), ("p.arc",), ("cut.arc.gz",)], "archive string")
+    made, errors = warc.convert_archives(scratch, legacy, arcs, warcs, least_bytes=4)
+    assert sorted(r["archive"] for r in errors.collect()) == ["cut.arc.gz", "p.arc", "z.arc.gz"]
+    out = [(r["payload_digest"], r["record_type"]) for r in warc.read_warcs(made, warcs).collect()]
+    hello, dns = warc.base32_sha1(b"<p>hello\n"), warc.base32_sha1(b"192.0.2.9")
+    assert sorted(out) == sorted([(hello, "response"), (hello, "revisit"), (dns, "resource"), (dns, "resource")])
+
+
+def test_chat_repeats_nulls_and_empty(spark):
+    """Events that come again count once; null order values come first; ties go by kind; an empty log has no conversations."""
+    schema = "conv_id long, message string, seq long, kind string, role string, text string"
+    log = [(1, "m", 1, "start", "user", None), (1, "m", 2, "delta", None, "a"), (1, "m", 3, "delta", None, "a"), (2, "x", None, "start", "assistant", None), (2, "x", None, "delta", None, "b"), (2, "x", None, "edit", None, "c")]
+    for rows in (log, log + log, log[::-1] + log[2:4]):
+        parts = {r["conv_id"]: r["formatted"] for r in chat.formatted(spark.createDataFrame(rows, schema).repartition(3), ["seq"]).collect()}
+        assert list(chat.parse(parts[1])) == [("user", "aa")] and list(chat.parse(parts[2])) == [("assistant", "c")]
+    empty = spark.createDataFrame([], schema)
+    assert chat.read_back(chat.formatted(empty, ["seq"])).collect() == []
+    turns = spark.createDataFrame([(5, None, "user", "late"), (5, 1, None, None), (5, 1, "assistant", "z"), (5, 1, "assistant", "z")], "conv_id long, turn long, role string, text string")
+    (row,) = chat.read_back(chat.formatted(chat.as_events(turns), chat.ORDER)).collect()
+    assert row["n_turns"] == 4 and row["loss_chars"] == 2
+    assert row["turns_sha256"] == hashlib.sha256(b"user\nlate\n\n\nassistant\nz\nassistant\nz\n").hexdigest()
+
+
+def test_components_say_when_not_done(spark, monkeypatch):
+    from condensa.llm import components as module
+
+    monkeypatch.setattr(module, "CHUNK_EDGES", 2)
+    monkeypatch.setattr(module, "MAX_ROUNDS", 1)
+    path = spark.createDataFrame([(i, i + 1) for i in range(40)], "u long, v long").repartition(5)
+    with pytest.raises(RuntimeError, match="round"):
+        components(Scratch(spark, "test"), path, "c")
+
+
+def test_scratch_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from condensa.llm import scratch as module
+
+    conf = lambda **kw: SimpleNamespace(conf=SimpleNamespace(get=lambda k, d=None: kw.get(k.replace(".", "_"), d)))
+    assert module.shared_root(conf(spark_master="local[2]")).startswith("file:///tmp/")
+    assert module.shared_root(conf(spark_master="spark://x", spark_checkpoint_dir="hdfs://a/b")) == "hdfs://a/b"
+    with pytest.raises(ValueError, match="shared|share"):
+        module.shared_root(conf(spark_master="spark://x"))
+
+
 def test_chat_escapes():
     rng = random.Random(3)
     bits = ["\\", "#", "###", "</turn>", "\n", "x", " ", "n", "</", "### Assistant: "]
