@@ -1,4 +1,8 @@
-"""Profiles of texts: densities, complexity, domain, content type, readiness for compression."""
+"""Profiles of texts: densities, complexity, domain, content type, readiness for compression.
+
+Functions that read tokens take them as an optional column (``words``: as they
+are, ``low``: in lower case), so that a plan with several profiles binds them once.
+"""
 
 from __future__ import annotations
 
@@ -6,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import lexicons as lx
-from .text import any_sub_token, avg_words, clamp, col, let, ltoks, n_sub, ngrams, nocc, nocc_all, rcount, sentences, share, toks, total, trimmed
+from .text import LEFT, RIGHT, any_sub_token, avg_words, clamp, col, let, ltoks, n_sub, ngram_hashes, ngrams, nocc, nocc_all, quoted, rcount, sentences, share, toks, total, trimmed
 
 CAMEL, ACRONYM, SNAKE, KEBAB, VERSION = r"[A-Za-z0-9_]+[A-Z][A-Za-z0-9_]*", "[A-Z]{2,}", "[A-Za-z0-9]+_[A-Za-z0-9]+", "[A-Za-z0-9]+-[A-Za-z0-9]+", r"v?[0-9]+\.[0-9]+"
 
@@ -15,16 +19,16 @@ def words(x) -> Column:
     return F.size(toks(x))
 
 
-def technical_density(x, stems=lx.TECH) -> Column:
+def technical_density(x, stems=lx.TECH, low: Column | None = None) -> Column:
     """Share of tokens that contain a technical stem."""
-    t = ltoks(x)
+    t = ltoks(x) if low is None else low
     return share(F.size(F.filter(t, lambda w: any_sub_token(w, stems))), F.size(t))
 
 
-def structural_complexity(x) -> Column:
+def structural_complexity(x, low: Column | None = None) -> Column:
     c = col(x)
     marks = rcount(c, "[.!?]") + rcount(c, ",") * 0.5 + rcount(c, ";") * 0.8 + rcount(c, "[()]") * 0.3 + rcount(c, "[-*•]") * 0.6
-    return F.least(F.lit(1.0), share(marks, words(x)) * 10)
+    return F.least(F.lit(1.0), share(marks, words(x) if low is None else F.size(low)) * 10)
 
 
 def domain_specificity(x, domain: str | None, domains=lx.DOMAINS) -> Column:
@@ -33,34 +37,36 @@ def domain_specificity(x, domain: str | None, domains=lx.DOMAINS) -> Column:
     return n_sub(x, domains[domain]) / len(domains[domain])
 
 
-def redundancy(x) -> Column:
+def redundancy(x, low: Column | None = None) -> Column:
     """1 minus the share of distinct tokens; 0 without tokens."""
-    t = ltoks(x)
+    t = ltoks(x) if low is None else low
     return F.when(F.size(t) == 0, 0.0).otherwise(1 - share(F.size(F.array_distinct(t)), F.size(t)))
 
 
-def repeated_ngrams(x, sizes=(2, 3, 4)) -> Column:
-    """n for every n-gram that occurs more than once."""
-    return total([let(ltoks(x), lambda t: seen_again(ngrams(t, n))) * n for n in sizes]).cast("long")
+def repeated_ngrams(x, sizes=(2, 3, 4), low: Column | None = None) -> Column:
+    """n for every n-gram that occurs more than once, counted by hashes."""
+    return total([let(ltoks(x) if low is None else low, lambda t: seen_again(ngram_hashes(t, n))) * n for n in sizes]).cast("long")
 
 
 def seen_again(values: Column) -> Column:
     """How many distinct values occur more than once: in sorted order a second occurrence equals the one before it, not the one two before."""
-    return let(F.array_sort(values), lambda g: F.size(F.filter(g, lambda v, i: (i > 0) & (v == F.get(g, i - 1)) & ((i == 1) | (v != F.get(g, i - 2))))))
+    return let(F.sort_array(values), lambda g: F.size(F.filter(g, lambda v, i: (i > 0) & (v == F.get(g, i - 1)) & ((i == 1) | (v != F.get(g, i - 2))))))
 
 
 def verbose_count(x, verbose=lx.VERBOSE) -> Column:
     return nocc_all(F.lower(col(x)), verbose)
 
 
-def compression_potential(x) -> Column:
-    n, t = words(x), toks(x)
+def compression_potential(x, own: Column | None = None, low: Column | None = None) -> Column:
+    t = toks(x) if own is None else own
+    n = F.size(t)
     long_words = F.size(F.filter(t, lambda w: F.length(w) > 8))
-    return F.least(F.lit(1.0), share(long_words, n) * 0.3 + share(repeated_ngrams(x), n) * 0.3 + share(verbose_count(x), n) * 0.2 + redundancy(x) * 0.2)
+    return F.least(F.lit(1.0), share(long_words, n) * 0.3 + share(repeated_ngrams(x, low=low), n) * 0.3 + share(verbose_count(x), n) * 0.2 + redundancy(x, low) * 0.2)
 
 
-def quality_sensitivity(x, formal=lx.FORMAL) -> Column:
-    return F.least(F.lit(1.0), technical_density(x) * 0.4 + structural_complexity(x) * 0.3 + F.least(F.lit(0.3), share(n_sub(x, formal), words(x)) * 10))
+def quality_sensitivity(x, formal=lx.FORMAL, low: Column | None = None) -> Column:
+    n = words(x) if low is None else F.size(low)
+    return F.least(F.lit(1.0), technical_density(x, low=low) * 0.4 + structural_complexity(x, low) * 0.3 + F.least(F.lit(0.3), share(n_sub(x, formal), n) * 10))
 
 
 def strategy(sensitivity: Column, potential: Column, level: Column) -> Column:
@@ -158,6 +164,43 @@ def text_structure(x) -> Column:
     return F.struct(parts.cast("long").alias("paragraphs"), stops.cast("long").alias("sentences"), items.alias("list_items"), headers.alias("has_headers"), code.alias("has_code"), kind.alias("structure"))
 
 
+def recommended_strategy(domain: Column, content: Column, density: Column, complex_: Column, ready: Column) -> Column:
+    """Level, engine and the reasons, where each later finding may change what earlier ones chose."""
+    engine = F.when(density > 0.7, "semantic").when(domain.isin("finance"), "semantic").otherwise("hybrid")
+    by_content = F.when(content == "code", "light").when(content == "prose", "aggressive").otherwise("balanced")
+    by_density = F.when(density > 0.7, by_content).when(density < 0.3, "aggressive").otherwise(by_content)
+    by_complexity = F.when(complex_ > 0.8, "light").when(complex_ < 0.4, "aggressive").otherwise(by_density)
+    level = F.when((ready > 0.7) & (by_complexity == "balanced"), "aggressive").when((ready < 0.3) & (by_complexity == "aggressive"), "balanced").otherwise(by_complexity)
+    reasons = [
+        F.when(domain.isin("finance"), "terms of the domain"),
+        F.when(content == "code", "code stays").when(content == "documentation", "documentation").when(content == "prose", "prose"),
+        F.when(density > 0.7, "many technical terms").when(density < 0.3, "few technical terms"),
+        F.when(complex_ > 0.8, "complex").when(complex_ < 0.4, "simple"),
+        F.when(ready > 0.7, "much to save").when(ready < 0.3, "little to save"),
+    ]
+    return F.struct(level.alias("level"), engine.alias("engine"), F.array_compact(F.array(*reasons)).alias("reasons"))
+
+
+def variant_profile(x, tech=lx.VARIANT_TECH, domain=lx.VARIANT_DOMAIN, formal=lx.VARIANT_FORMAL) -> Column:
+    """The variant's five ratios: terms of three lists by word, brackets by character, repeats of long words by word; each at most 1."""
+    c = col(x)
+    whole = lambda words: f"(?iu){LEFT}(?:" + "|".join(map(quoted, words)) + f"){RIGHT}"
+    least = lambda a, b: F.least(F.lit(1.0), share(a, b))
+
+    def of(t: Column) -> Column:
+        long_words = F.filter(t, lambda w: F.length(w) > 3)
+        return F.struct(
+            F.size(t).cast("long").alias("words"),
+            least(rcount(c, whole(tech)), F.size(t)).alias("technical"),
+            least(rcount(c, r"[{}()\[\]<>]"), F.length(c)).alias("structural"),
+            least(rcount(c, whole(domain)), F.size(t)).alias("domain"),
+            least(F.size(long_words) - F.size(F.array_distinct(long_words)), F.size(t)).alias("potential"),
+            least(rcount(c, whole(formal)), F.size(t)).alias("sensitivity"),
+        )
+
+    return let(ltoks(x), of)
+
+
 def recommended_level(domain: Column, content: Column, density: Column, complex_: Column, ready: Column) -> Column:
     return F.when(content == "code", "light").when(domain == "finance", "light").when(density > 0.7, "light").when(complex_ > 0.8, "light").when(ready > 0.6, "aggressive").otherwise("balanced")
 

@@ -6,8 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import lexicons as lx
-from .segment import entities, key_concepts
-from .text import LEFT, RIGHT, avg_words, clamp, col, let, ltoks, n_sub, rcount, sentences, share, toks, trimmed, word_jaccard
+from .segment import entities
+from .text import LEFT, RIGHT, any_sub_token, clamp, col, jaccard, let, ltoks, n_sub, ngrams, rcount, sentences, share, toks, trimmed
 
 WEIGHTS = {"semantic": 0.35, "density": 0.20, "efficiency": 0.15, "interpretability": 0.15, "structure": 0.10, "coherence": 0.03, "entities": 0.02}
 
@@ -27,35 +27,67 @@ def extreme_estimate(o, c) -> Column:
     return F.least(F.lit(1.0), 0.7 * kept + 0.3 * (1 - ratio(o, c)))
 
 
-def sentence_structure(o, c) -> Column:
-    a, b = sentences(o), sentences(c)
-    lengths = F.when((F.size(b) > 0) & (avg_words(a) > 0), share(avg_words(b), avg_words(a))).otherwise(1.0)
+# --- what several parts of the composite score read of a text; bind these in columns before use in many places
+
+
+def word_list(lowered) -> Column:
+    """Tokens of a lower-cased text."""
+    return toks(lowered)
+
+
+def concepts_of(words, stop=lx.STOP, stems=lx.STEMS) -> Column:
+    """Of lower-case tokens those over three characters that are no stop words, and bigrams with one of the stems; repeats stay."""
+    of = lambda w: F.concat(F.filter(w, lambda t: (F.length(t) > 3) & ~t.isin(stop)), F.filter(ngrams(w, 2), lambda b: any_sub_token(b, stems)))
+    return let(col(words), of)
+
+
+def sentence_lengths(x) -> Column:
+    """Tokens of each sentence."""
+    return F.transform(sentences(x), lambda s: F.size(toks(s)))
+
+
+def _mean(lengths: Column) -> Column:
+    return share(F.aggregate(lengths, F.lit(0), lambda a, n: a + n), F.size(lengths))
+
+
+def sentence_structure_of(a: Column, b: Column) -> Column:
+    lengths = F.when((F.size(b) > 0) & (_mean(a) > 0), share(_mean(b), _mean(a))).otherwise(1.0)
     return F.when(F.size(a) == 0, 1.0).otherwise(clamp((share(F.size(b), F.size(a)) + lengths) / 2, 0.2, 1.0))
 
 
+def sentence_structure(o, c) -> Column:
+    return let(F.struct(sentence_lengths(o).alias("a"), sentence_lengths(c).alias("b")), lambda s: sentence_structure_of(s["a"], s["b"]))
+
+
+def semantic_of(c, words: Column, sets: tuple[Column, Column], keys: Column, stops: tuple[Column, Column]) -> Column:
+    kept = let(F.struct(keys.alias("k"), F.lower(col(c)).alias("low")), lambda s: F.when(F.size(s["k"]) == 0, 1.0).otherwise(share(F.size(F.filter(s["k"], lambda k: F.contains(s["low"], k))), F.size(s["k"]))))
+    return F.when(F.size(words) == 0, 1.0).otherwise(F.least(F.lit(1.0), 0.4 * jaccard(*sets) + 0.4 * kept + 0.2 * sentence_structure_of(*stops)))
+
+
 def semantic(o, c) -> Column:
     """Word overlap, key concepts still contained, and like sentences."""
-    of = lambda s: F.when(F.size(s["k"]) == 0, 1.0).otherwise(share(F.size(F.filter(s["k"], lambda k: F.contains(s["low"], k))), F.size(s["k"])))
-    kept = let(F.struct(key_concepts(o).alias("k"), F.lower(col(c)).alias("low")), of)
-    return F.when(F.size(ltoks(o)) == 0, 1.0).otherwise(F.least(F.lit(1.0), 0.4 * word_jaccard(o, c) + 0.4 * kept + 0.2 * sentence_structure(o, c)))
+    return semantic_of(c, ltoks(o), (ltoks(o), ltoks(c)), concepts_of(ltoks(o)), (sentence_lengths(o), sentence_lengths(c)))
 
 
-def density(o, c) -> Column:
-    a, b = F.array_distinct(key_concepts(o)), F.array_distinct(key_concepts(c))
-    info = F.when(F.size(a) == 0, 1.0).otherwise(share(F.size(F.array_intersect(a, b)), F.size(a)))
+def density_of(o, c, keys: tuple[Column, Column]) -> Column:
+    info = let(F.struct(F.array_distinct(keys[0]).alias("a"), keys[1].alias("b")), lambda s: F.when(F.size(s["a"]) == 0, 1.0).otherwise(share(F.size(F.array_intersect(s["a"], s["b"])), F.size(s["a"]))))
     r = ratio(o, c)
     return F.when(F.length(col(c)) == 0, 0.0).otherwise(F.least(F.lit(1.0), F.when(r < 1, share(info, r)).otherwise(info)))
 
 
+def density(o, c) -> Column:
+    return density_of(o, c, (concepts_of(ltoks(o)), concepts_of(ltoks(c))))
+
+
 def efficiency(o, c) -> Column:
     r = ratio(o, c)
     e = F.when((r >= 0.3) & (r <= 0.7), 1 - 2 * F.abs(r - 0.5)).when(r < 0.3, 0.5 - (0.3 - r)).otherwise(1 - 2 * (r - 0.7))
     return F.when(F.length(col(o)) == 0, 1.0).otherwise(clamp(e, 0.0, 1.0))
 
 
-def interpretability(c, terms: list[str] | None = None) -> Column:
+def interpretability_of(c, words: Column, terms: list[str] | None = None) -> Column:
     x = col(c)
-    caps = share(rcount(x, LEFT + "[A-Z]{2,}" + RIGHT), F.size(toks(c)))
+    caps = share(rcount(x, LEFT + "[A-Z]{2,}" + RIGHT), F.size(words))
     score = 0.8 - F.when(caps > 0.3, 0.2).otherwise(0.0) + n_sub(c, lx.CLUES) / len(lx.CLUES) * 0.1
     if terms:
         score = score + n_sub(c, terms) / len(terms) * 0.1
@@ -63,31 +95,60 @@ def interpretability(c, terms: list[str] | None = None) -> Column:
     return clamp(score - F.when(symbols > 0.2, (symbols - 0.2) * 0.5).otherwise(0.0), 0.0, 1.0)
 
 
-def structure(o, c) -> Column:
+def interpretability(c, terms: list[str] | None = None) -> Column:
+    return interpretability_of(c, toks(c), terms)
+
+
+def structure_of(o, c, stops: tuple[Column, Column]) -> Column:
     parts = lambda x: F.size(F.filter(F.split(F.coalesce(col(x), F.lit("")), "\n\n"), lambda p: trimmed(p) != ""))
     items = lambda x: rcount(x, r"(?m)^ *[-*•] ")
     part = lambda n, m, least: F.when(m > least, F.least(F.lit(1.0), share(n, m))).otherwise(1.0)
-    return 0.5 * part(F.size(sentences(c)), F.size(sentences(o)), 0) + 0.3 * part(parts(c), parts(o), 1) + 0.2 * part(items(c), items(o), 0)
+    return 0.5 * part(F.size(stops[1]), F.size(stops[0]), 0) + 0.3 * part(parts(c), parts(o), 1) + 0.2 * part(items(c), items(o), 0)
 
 
-def coherence(c) -> Column:
-    t = toks(c)
-    single = F.size(F.filter(t, lambda w: w.rlike(r"^\p{L}$")))
+def structure(o, c) -> Column:
+    return structure_of(o, c, (sentence_lengths(o), sentence_lengths(c)))
+
+
+def coherence_of(c, words: Column) -> Column:
+    single = F.size(F.filter(words, lambda w: w.rlike(r"^\p{L}$")))
     issues = rcount(c, r"[\p{L}\p{N}_][^\p{L}\p{N}_\s][\p{L}\p{N}_]")
-    mean = share(F.aggregate(t, F.lit(0), lambda a, w: a + F.length(w)), F.size(t))
-    score = 0.8 - F.when(single > F.size(t) * 0.3, 0.3).otherwise(0.0) - F.least(F.lit(0.2), issues * 0.05) - F.when(mean < 2, 0.2).when(mean > 12, 0.1).otherwise(0.0)
-    return F.when(F.size(t) == 0, 0.0).when(F.size(t) < 2, 0.5).otherwise(clamp(score, 0.0, 1.0))
+    mean = share(F.aggregate(words, F.lit(0), lambda a, w: a + F.length(w)), F.size(words))
+    score = 0.8 - F.when(single > F.size(words) * 0.3, 0.3).otherwise(0.0) - F.least(F.lit(0.2), issues * 0.05) - F.when(mean < 2, 0.2).when(mean > 12, 0.1).otherwise(0.0)
+    return F.when(F.size(words) == 0, 0.0).when(F.size(words) < 2, 0.5).otherwise(clamp(score, 0.0, 1.0))
 
 
-def entity_preservation(o, c) -> Column:
-    a, b = entities(o), entities(c)
+def coherence(c) -> Column:
+    return coherence_of(c, toks(c))
+
+
+def entity_preservation_of(a: Column, b: Column) -> Column:
     return F.when(F.size(a) == 0, 1.0).otherwise(share(F.size(F.array_intersect(a, b)), F.size(a)))
 
 
+def entity_preservation(o, c) -> Column:
+    return entity_preservation_of(entities(o), entities(c))
+
+
 def components(o, c, terms: list[str] | None = None) -> dict[str, Column]:
     return {"semantic": semantic(o, c), "density": density(o, c), "efficiency": efficiency(o, c), "interpretability": interpretability(c, terms), "structure": structure(o, c), "coherence": coherence(c), "entities": entity_preservation(o, c)}
 
 
+def components_of(o, c, of_o: str, of_c: str, terms: list[str] | None = None) -> dict[str, Column]:
+    """The same from bound columns: the patterns give the names of words, set, keys, stops and names for each side."""
+    a, b = ({k: F.col(p.format(k)) for k in ("words", "set", "keys", "stops", "names")} for p in (of_o, of_c))
+    stops = (a["stops"], b["stops"])
+    return {
+        "semantic": semantic_of(c, a["words"], (a["set"], b["set"]), a["keys"], stops),
+        "density": density_of(o, c, (a["keys"], b["keys"])),
+        "efficiency": efficiency(o, c),
+        "interpretability": interpretability_of(c, b["words"], terms),
+        "structure": structure_of(o, c, stops),
+        "coherence": coherence_of(c, b["words"]),
+        "entities": entity_preservation_of(a["names"], b["names"]),
+    }
+
+
 def composite(parts: dict[str, Column]) -> Column:
     out = F.lit(0.0)
     for name, weight in WEIGHTS.items():

@@ -60,7 +60,7 @@ def drop_adjacent_repeats(x) -> Column:
 def reduce_passive(x, rules=lx.PASSIVE) -> Column:
     out = col(x)
     for pattern, short in rules:
-        out = F.regexp_replace(out, "(?iu)" + pattern.replace(r"\b(?:", LEFT + "(?:").replace(r"by\b", "by" + RIGHT), short)
+        out = F.regexp_replace(out, f"(?iu){LEFT}{pattern}{RIGHT}", short)
     return out
 
 
@@ -132,14 +132,19 @@ def normalise_text(x) -> Column:
     return F.regexp_replace(out, r"^\s+|\s+$", "")
 
 
-def structural(x) -> Column:
-    """Articles out, a few phrases short, sentence openers out."""
-    out = F.regexp_replace(col(x), f"(?iu){LEFT}(?:the|a|an){RIGHT}\\s+", "")
-    out = _fold(out, [("as well as", "&"), ("for example", "eg"), ("such as", "eg"), ("that is", "ie")])
-    return F.regexp_replace(out, f"(?iu){LEFT}(?:however|moreover|therefore){RIGHT},?\\s*", "")
+def structural(x, phrases=lx.VARIANT_PHRASES, openers=lx.OPENERS) -> Column:
+    """Articles out, phrases short, and sentence openers with a comma replaced."""
+    out = _fold(F.regexp_replace(col(x), f"(?iu){LEFT}(?:the|a|an){RIGHT}\\s+", ""), phrases)
+    for opener, short in openers:
+        out = F.regexp_replace(out, f"(?iu){LEFT}{quoted(opener)},\\s*", replacement(short))
+    return out
+
+
+def variant_words(x, words=lx.VARIANT_WORDS) -> Column:
+    return _fold(x, words)
 
 
-def symbols(x, rules=lx.SYMBOLS) -> Column:
+def symbols(x, rules=lx.VARIANT_SYMBOLS) -> Column:
     return _fold(x, rules)
 
 
@@ -149,9 +154,9 @@ def tight_punctuation(x) -> Column:
 
 
 def selective(x, level: Column | str) -> Column:
-    """A few abbreviations and one line, on the two stronger levels."""
+    """A few abbreviations and phrases and one line, on the two stronger levels."""
     lvl = F.lit(level) if isinstance(level, str) else level
-    return F.when(lvl.isin("balanced", "aggressive"), one_line(_fold(x, lx.ABBREVIATIONS[:5]))).otherwise(col(x))
+    return F.when(lvl.isin("balanced", "aggressive"), one_line(_fold(_fold(x, lx.SELECTIVE), lx.SELECTIVE_PHRASES))).otherwise(col(x))
 
 
 def expand(x, rules: list[tuple[str, str]]) -> Column:

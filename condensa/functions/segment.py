@@ -64,17 +64,50 @@ def structure(x) -> Column:
     return F.transform(paragraphs(x), lambda p: F.struct(p.alias("text"), F.when(is_code_block(p), "code").when(is_list(p), "list").when(is_heading(p), "heading").otherwise("paragraph").alias("type")))
 
 
+def places(x, pattern: str) -> Column:
+    """(position, text) of each match of a pattern without groups: the 0-based position in characters."""
+
+    def of(s: Column) -> Column:
+        found, parts = s["found"], s["parts"]
+        before = F.transform(found, lambda _, i: F.aggregate(F.slice(parts, F.lit(1), i + 1), F.lit(0), lambda a, p: a + F.length(p)) + F.aggregate(F.slice(found, F.lit(1), i), F.lit(0), lambda a, p: a + F.length(p)))
+        return F.transform(F.arrays_zip(before.alias("position"), found.alias("text")), lambda z: F.struct(z["position"].alias("position"), z["text"].alias("text")))
+
+    c = col(x)
+    return let(F.struct(F.regexp_extract_all(c, F.lit(f"({pattern})"), 1).alias("found"), F.split(c, pattern, -1).alias("parts")), of)
+
+
+FENCED, INLINE = r"```[A-Za-z0-9_+-]*\n[\s\S]*?```", r"`[^`\n]+`"
+URL = r"""https?://[^\s<>"']+"""
+
+
 def code_blocks(x) -> Column:
-    """Fenced blocks with their language, then inline ones."""
+    """Fenced blocks with their language and position, then inline ones outside of them."""
     c = col(x)
-    fenced = F.transform(F.regexp_extract_all(c, F.lit(r"(?s)(```[A-Za-z0-9_+-]*\n.*?```)"), 1), lambda b: F.struct(F.regexp_extract(b, r"^```([A-Za-z0-9_+-]*)", 1).alias("language"), b.alias("code"), F.lit(True).alias("fenced")))
-    rest = F.regexp_replace(c, r"(?s)```[A-Za-z0-9_+-]*\n.*?```", " ")
-    inline = F.transform(F.regexp_extract_all(rest, F.lit(r"(`[^`\n]+`)"), 1), lambda b: F.struct(F.lit("").alias("language"), b.alias("code"), F.lit(False).alias("fenced")))
+    fenced = F.transform(places(x, FENCED), lambda p: F.struct(p["position"].alias("position"), F.regexp_extract(p["text"], r"^```([A-Za-z0-9_+-]*)", 1).alias("language"), p["text"].alias("code"), F.lit(True).alias("fenced")))
+    # a fenced block gives way to as many blanks, so positions stay
+    masked = F.array_join(F.transform(F.split(F.regexp_replace(c, f"({FENCED})", "\x01$1\x01"), "\x01"), lambda part, i: F.when(i % 2 == 1, F.regexp_replace(part, r"[\s\S]", " ")).otherwise(part)), "")
+    inline = F.transform(places(masked, INLINE), lambda p: F.struct(p["position"].alias("position"), F.lit("").alias("language"), p["text"].alias("code"), F.lit(False).alias("fenced")))
     return F.concat(fenced, inline)
 
 
 def urls(x) -> Column:
-    return F.regexp_extract_all(col(x), F.lit(r"""(https?://[^\s<>"']+)"""), 1)
+    return F.regexp_extract_all(col(x), F.lit(f"({URL})"), 1)
+
+
+def url_places(x) -> Column:
+    return places(x, URL)
+
+
+def split_words(tokens: Column, words=lx.SPLIT_WORDS, most: int = 10) -> Column:
+    """Words of a list that a vocabulary cut in two: neighbouring sub-tokens of over two letters that together are such a word, from the left, each sub-token used once."""
+
+    def step(s: Column, t: Column) -> Column:
+        both = F.concat(s["last"], t)
+        hit = (F.length(s["last"]) > 2) & (F.length(t) > 2) & F.lower(both).isin(words)
+        return F.struct(F.when(hit, "").otherwise(t).alias("last"), F.when(hit, F.concat(s["found"], F.array(both))).otherwise(s["found"]).alias("found"))
+
+    start = F.struct(F.lit("").alias("last"), F.array().cast("array<string>").alias("found"))
+    return F.slice(F.aggregate(F.transform(tokens, lambda t: F.trim(t)), start, step, lambda s: s["found"]), F.lit(1), F.lit(most))
 
 
 def split_sentences(x) -> Column:
@@ -109,10 +142,14 @@ def verbose_phrases(x, verbose=lx.VERBOSE) -> Column:
 
 
 def context_hints(prompt, files) -> Column:
-    """Language and domain guessed from file endings and words, complexity from the length."""
-    ends = F.transform(col(files), lambda f: F.lower(F.regexp_extract(f, r"\.([A-Za-z0-9]+)$", 1)))
+    """Language, framework, project and domain guessed from files and words, complexity from the length."""
+    own = F.coalesce(col(files), F.array().cast("array<string>"))
+    ends = F.transform(own, lambda f: F.lower(F.regexp_extract(f, r"\.([A-Za-z0-9]+)$", 1)))
     has = lambda *e: F.arrays_overlap(ends, F.array(*map(F.lit, e)))
-    language = F.when(has("py"), "python").when(has("ts", "tsx"), "typescript").when(has("js", "jsx"), "javascript").when(has("sql"), "sql")
-    domain = F.when(any_sub(prompt, lx.DOMAINS["finance"]), "finance").when(any_sub(prompt, lx.DOMAINS["support"]), "support").otherwise("general")
+    names = lambda part: F.exists(own, lambda f: F.contains(f, F.lit(part)))
+    language = F.when(has("go"), "go").when(has("java"), "java").when(has("js", "ts"), "javascript").when(has("py"), "python").when(has("sql"), "sql")
+    framework = F.when(has("tsx", "jsx"), "react").when(has("ipynb"), "notebook")
+    project = F.when(names("package.json"), "web").when(names("pyproject"), "library")
+    domain = F.when(any_sub(prompt, lx.DOMAINS["finance"]), "finance").when(any_sub(prompt, lx.DOMAINS["support"]), "support").when(names("Dockerfile"), "operations").otherwise("general")
     n = F.length(col(prompt))
-    return F.struct(language.alias("language"), domain.alias("domain"), F.when(n < 500, "simple").when(n < 2000, "medium").otherwise("complex").alias("complexity"))
+    return F.struct(language.alias("language"), framework.alias("framework"), project.alias("project"), domain.alias("domain"), F.when(n < 500, "simple").when(n < 2000, "medium").otherwise("complex").alias("complexity"))

@@ -96,6 +96,12 @@ def ngrams(tokens: Column, n: int) -> Column:
     return let(tokens, lambda t: F.when(F.size(t) < n, F.array().cast("array<string>")).otherwise(grams(t)))
 
 
+def ngram_hashes(tokens: Column, n: int) -> Column:
+    """A 64-bit hash of each n-gram: for counting, where its words aren't needed."""
+    grams = lambda t: F.transform(F.sequence(F.lit(1), F.size(t) - (n - 1)), lambda i: F.xxhash64(F.slice(t, i, F.lit(n))))
+    return let(tokens, lambda t: F.when(F.size(t) < n, F.array().cast("array<bigint>")).otherwise(grams(t)))
+
+
 def sentences(x) -> Column:
     """Trimmed parts between full stops that aren't empty."""
     return F.filter(F.transform(F.split(F.coalesce(col(x), F.lit("")), r"\."), lambda s: trimmed(s)), lambda s: s != "")

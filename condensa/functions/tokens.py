@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -64,6 +66,20 @@ def pseudo_ids(x) -> Column:
     return F.transform(toks(x), lambda w, i: ((F.aggregate(F.split(w, ""), F.lit(0).cast("long"), lambda a, ch: a + F.ascii(ch)) + i) % 50_000).cast("int"))
 
 
+def pseudo_decode(ids: Column, vocabulary: Column) -> Column:
+    """Text of pseudo ids by a map from id to token; ids that it lacks are spelled as numbers."""
+    return F.array_join(F.transform(ids, lambda i: F.coalesce(F.try_element_at(vocabulary, i), F.concat(F.lit("<"), i.cast("string"), F.lit(">")))), " ")
+
+
+#: estimates that need no vocabulary, by name
+ESTIMATORS = ("chars", "words", "adjusted", "patterns")
+
+
+def supported_models(vocabularies: Column) -> Column:
+    """The names of loaded vocabularies and of the estimators, sorted, each once."""
+    return F.sort_array(F.array_union(vocabularies, F.array(*map(F.lit, ESTIMATORS))))
+
+
 def model_savings(x, patterns=lx.VERBOSE, stop=lx.STOP) -> Column:
     """What share of tokens a rewrite may save: known phrases, verbose ones and stop words, 0.7 at most."""
     words = ltoks(x)
@@ -102,6 +118,14 @@ def percentage_text(part: Column) -> Column:
     return F.format_string("%.1f%%", part * 100.0)
 
 
+def number_text(n: Column) -> Column:
+    """With thousands as K, M and B."""
+    out = F.format_string("%.1fB", n / 1e9)
+    for most, scale, unit in ((1e9, 1e6, "M"), (1e6, 1e3, "K")):
+        out = F.when(n < most, F.format_string(f"%.1f{unit}", n / scale)).otherwise(out)
+    return F.when(n < 1000, F.format_string("%d", n.cast("long"))).otherwise(out)
+
+
 def string_hash(x) -> Column:
     """h * 31 + code point over a text, in 32 bits with sign."""
     wrap = lambda v: F.when(v >= 2**31, v - 2**32).otherwise(v)
@@ -109,19 +133,28 @@ def string_hash(x) -> Column:
 
 
 def exact_count(vocabulary: str, kind: str = "tokenizers"):
-    """A pandas function that counts tokens with a vocabulary file of one of the installed tokenizer libraries."""
+    """A pandas function that counts tokens with a vocabulary file of one of the installed tokenizer libraries.
+
+    The file is read here and its bytes go with the function, so executors need no
+    file; a worker builds the tokenizer once for all its batches.
+    """
+    with open(vocabulary, "rb") as f:
+        data = f.read()
 
     @F.pandas_udf("long")
-    def count(batches: pd.Series) -> pd.Series:
+    def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         if kind == "sentencepiece":
             import sentencepiece
 
-            model = sentencepiece.SentencePieceProcessor(model_file=vocabulary)
-            return pd.Series([len(ids) for ids in model.encode(batches.fillna("").tolist(), num_threads=1)])
+            model = sentencepiece.SentencePieceProcessor(model_proto=data)
+            for b in batches:
+                yield pd.Series([len(ids) for ids in model.encode(b.fillna("").tolist(), num_threads=1)])
+            return
         from tokenizers import Tokenizer
 
-        model = Tokenizer.from_file(vocabulary)
+        model = Tokenizer.from_str(data.decode("utf-8"))
         model.encode_special_tokens = True
-        return pd.Series([len(e.ids) for e in model.encode_batch(batches.fillna("").tolist(), add_special_tokens=False)])
+        for b in batches:
+            yield pd.Series([len(e.ids) for e in model.encode_batch(b.fillna("").tolist(), add_special_tokens=False)])
 
     return count

@@ -1,23 +1,29 @@
 """Occurrences of rules in documents, their conflicts, and applying them.
 
-Two plans find occurrences. A rule table within ``MAX_BROADCAST_RULES`` rows is
-broadcast and joined by containment; a larger one is joined on the first
-characters of each rule, so that both sides shuffle on an equi-key, and its
-shortest rules are broadcast in blocks. Both give the same rows. Inside an
-engine, rules are folded over each text without any shuffle.
+Occurrences are found by one pass of an automaton over each text, on Arrow
+batches: no join, no shuffle, and the same rows for any number of rules. The rule
+table is a dimension whose size is checked; one of over ``RULES_A_PASS`` rows is
+dealt into blocks, a pass each. Resolution inside a document runs in the same
+pass if there is one block, else as a fold over the collected matches of each
+document. The Column functions say the same for one rule or a short list.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import lexicons as lx
-from ..functions.text import any_sub, let, quoted
+from ..functions.text import any_sub, let
+from . import kernel
 
-MAX_BROADCAST_RULES = 5_000
-#: rules of a large table with fewer characters are broadcast
-GRAM = 4
+#: rules that one pass over the texts looks for; an automaton of so many takes some hundred megabytes
+RULES_A_PASS = 100_000
 MATCH = "array<struct<position:int,priority:int,id:int,size:int,original_text:string,compressed_text:string,confidence:double,success_rate:double>>"
 
 
@@ -51,49 +57,83 @@ def confidence(text: Column, position: Column, size: Column, priority: Column, s
     return F.least(F.lit(1.0), 0.8 + F.least(F.lit(0.2), priority / 5000) + success * 0.1 + F.when(technical, 0.1).otherwise(0.0))
 
 
-def candidate_pairs(docs: DataFrame, rules: DataFrame, text: str = "text", rule_count: int | None = None) -> DataFrame:
-    """Documents with the rules that may occur in them."""
-    small = (rules.count() if rule_count is None else rule_count) <= MAX_BROADCAST_RULES
-    key = F.lower("original")
-    if small:
-        return docs.join(F.broadcast(rules), F.contains(F.lower(text), key))
-    # a text that contains a rule contains the rule's first GRAM characters
-    long = rules.where(F.length(key) >= GRAM).withColumn("_gram", F.substring(key, 1, GRAM))
-    grams = docs.select(F.col("doc_id").alias("_doc"), F.explode(F.regexp_extract_all(F.lower(text), F.lit(f"(?s)(?=(.{{{GRAM}}}))"), 1)).alias("_gram")).distinct()
-    pairs = grams.join(long, "_gram").drop("_gram")
-    out = docs.join(pairs, F.col("doc_id").eqNullSafe(F.col("_doc"))).where(F.contains(F.lower(text), key)).drop("_doc")
-    short = rules.where(F.length(key) < GRAM)
-    blocks = -(-short.count() // MAX_BROADCAST_RULES)
-    for k in range(blocks):
-        block = short.where(F.pmod(F.xxhash64(key), F.lit(blocks)) == k)
-        out = out.unionByName(docs.join(F.broadcast(block), F.contains(F.lower(text), key)))
-    return out
+def blocks(rules: DataFrame) -> Iterator[list[dict]]:
+    """The rules on the driver, at most RULES_A_PASS at a time."""
+    needed = rules.select("id", "original", "compressed", "pattern_type", "priority", "success_rate", "domain")
+    n = -(-rules.count() // RULES_A_PASS)
+    for k in range(max(n, 1)):
+        yield [r.asDict() for r in (needed if n <= 1 else needed.where(F.pmod(F.xxhash64("id", "original"), F.lit(n)) == k)).collect()]
 
 
-def find(docs: DataFrame, rules: DataFrame, text: str = "text", rule_count: int | None = None) -> DataFrame:
-    """One row per occurrence: doc_id, id, position, size, original_text, compressed_text, priority, confidence."""
-    t, size = F.col(text), F.length("original")
-    hits = candidate_pairs(docs, rules, text, rule_count).withColumn("position", F.explode(positions(t, F.col("original")))).withColumn("size", size)
-    hits = hits.where((F.col("pattern_type") != "word") | whole_word(t, F.col("position"), F.col("size")))
-    return hits.select(
-        "doc_id",
-        "id",
-        "pattern_type",
-        "position",
-        "size",
-        t.substr(F.col("position") + 1, F.col("size")).alias("original_text"),
-        F.col("compressed").alias("compressed_text"),
-        "priority",
-        "success_rate",
-        confidence(t, F.col("position"), F.col("size"), F.col("priority"), F.col("success_rate"), F.col("domain")).alias("confidence"),
-    )
+def _fields(docs: DataFrame, rules: DataFrame) -> list[T.StructField]:
+    kinds = [("id", rules.schema["id"].dataType), ("pattern_type", T.StringType()), ("position", T.IntegerType()), ("size", T.IntegerType()), ("original_text", T.StringType()), ("compressed_text", T.StringType()), ("priority", T.IntegerType()), ("success_rate", T.DoubleType()), ("confidence", T.DoubleType()), ("context", T.StringType())]
+    return [docs.schema["doc_id"], *(T.StructField(n, t) for n, t in kinds)]
+
+
+#: rows of an output batch
+BATCH_ROWS = 20_000
+
+
+def _found(docs: DataFrame, fields: list[T.StructField], rules: list[dict], text: str, resolve: bool) -> DataFrame:
+    arrow = [pa.int32() if isinstance(fields[1].dataType, T.IntegerType) else pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.float64(), pa.float64(), pa.string()]
+
+    def run(batches):
+        compiled = kernel.Rules(rules)
+        for b in batches:
+            rows, kind = [], b.schema.types[0]
+
+            def out():
+                return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), [kind, *arrow])], names=[f.name for f in fields])
+
+            for doc, value in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if not value:
+                    continue
+                found = compiled.matches(value)
+                for at, _, number, size, short, sure, r in kernel.resolve(found) if resolve else found:
+                    rows.append((doc, number, r["pattern_type"], at, size, value[at : at + size], short, r["priority"], r["success_rate"], sure, value[max(0, at - 20) : at + size + 20]))
+                if len(rows) >= BATCH_ROWS:
+                    yield out()
+                    rows = []
+            if rows:
+                yield out()
+
+    return docs.select("doc_id", text).mapInArrow(run, T.StructType(fields))
+
+
+def find(docs: DataFrame, rules: DataFrame, text: str = "text") -> DataFrame:
+    """One row per occurrence: doc_id, id, pattern_type, position, size, original_text, compressed_text, priority, success_rate, confidence, context."""
+    out = None
+    for block in blocks(rules):
+        one = _found(docs, _fields(docs, rules), block, text, False)
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def counts(docs: DataFrame, rules: DataFrame, text: str = "text") -> DataFrame:
-    """Non-overlapping occurrences per rule over all documents, without exploding positions."""
-    joined = docs.join(F.broadcast(rules), F.contains(F.lower(text), F.lower("original"))) if rules.count() <= MAX_BROADCAST_RULES else candidate_pairs(docs, rules, text)
-    n = (F.length(F.lower(text)) - F.length(F.replace(F.lower(text), F.lower("original")))) / F.length("original")
-    return joined.groupBy("id").agg(F.count("*").alias("documents"), F.sum(n.cast("long")).alias("occurrences"))
+    """Documents of each rule and its non-overlapping occurrences (in any place), summed up in the pass that finds them."""
+    kind = rules.schema["id"].dataType.simpleString()
+
+    def one(block: list[dict]) -> DataFrame:
+        def run(batches):
+            compiled = kernel.Rules({**r, "pattern_type": "", "row": k} for k, r in enumerate(block))
+            for b in batches:
+                documents, times = Counter(), Counter()
+                for value in b.column(0).to_pylist():
+                    ends = {}
+                    for at, size, r in compiled.occurrences(value or ""):
+                        if at >= ends.get(r["row"], 0):
+                            ends[r["row"]] = at + size
+                            times[r["row"]] += 1
+                    documents.update(ends.keys())
+                rows = [(block[k]["id"], n, times[k]) for k, n in documents.items()]
+                yield pa.RecordBatch.from_pylist([dict(zip(("id", "documents", "occurrences"), r)) for r in rows], pa.schema([("id", pa.int32() if kind == "int" else pa.int64()), ("documents", pa.int64()), ("occurrences", pa.int64())]))
+
+        return docs.select(text).mapInArrow(run, f"id {kind}, documents long, occurrences long")
+
+    out = None
+    for block in blocks(rules):
+        out = one(block) if out is None else out.unionByName(one(block))
+    return out.groupBy("id").agg(F.sum("documents").alias("documents"), F.sum("occurrences").alias("occurrences"))
 
 
 def statistics(matches: DataFrame) -> DataFrame:
@@ -130,8 +170,12 @@ def as_array(matches: DataFrame) -> DataFrame:
     return matches.groupBy("doc_id").agg(F.collect_list(F.struct(*fields)).cast(MATCH).alias("matches"))
 
 
-def resolved(matches: DataFrame) -> DataFrame:
-    return as_array(matches).select("doc_id", F.inline(resolve(F.col("matches"))))
+def resolved(docs: DataFrame, rules: DataFrame, text: str = "text") -> DataFrame:
+    """The occurrences that are left after greedy resolution inside each document."""
+    first, *rest = blocks(rules)
+    if not rest:
+        return _found(docs, _fields(docs, rules), first, text, True)
+    return as_array(find(docs, rules, text)).select("doc_id", F.inline(resolve(F.col("matches"))))
 
 
 def splice(text: Column, matches: Column) -> Column:
@@ -206,6 +250,3 @@ def matches_in(text: Column, rules: list[dict]) -> Column:
 def rewrite(text: Column, rules: list[dict]) -> Column:
     return let(text, lambda t: _splice(t, resolve(matches_in(t, rules))))
 
-
-def words_pattern(originals: list[str]) -> str:
-    return "|".join(map(quoted, originals))

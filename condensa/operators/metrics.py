@@ -52,8 +52,20 @@ def top(rows: DataFrame, by: str, k: int = 5) -> DataFrame:
     return rows.groupBy(by).agg(F.count("*").alias("n")).orderBy(F.desc("n"), by).limit(k)
 
 
-def named_statistics(rows: DataFrame, name: str, value: str, ts: str) -> DataFrame:
-    return rows.groupBy(name).agg(F.count(value).alias("n"), F.avg(value).alias("avg"), F.min(value).alias("min"), F.max(value).alias("max"), F.max_by(value, ts).alias("latest"))
+def session_details(metrics: DataFrame, k: int = 5) -> DataFrame:
+    """Each session's k most frequent domains (by count, then name) and its engines' mean ratio and quality, as two kinds of rows."""
+    m = metrics.withColumn("domain", F.coalesce("domain", F.lit("unknown")))
+    counted = m.groupBy("session_id", "domain").agg(F.count("*").alias("n"))
+    rank = F.row_number().over(Window.partitionBy("session_id").orderBy(F.desc("n"), "domain"))
+    none = F.lit(None).cast("double")
+    domains_ = counted.withColumn("rank", rank).where(F.col("rank") <= k).select("session_id", F.lit("domain").alias("kind"), F.col("domain").alias("name"), "n", none.alias("avg_ratio"), none.alias("avg_quality"))
+    engines_ = m.groupBy("session_id", "engine_used").agg(F.count("*").alias("n"), F.avg("compression_ratio").alias("avg_ratio"), F.avg("quality_score").alias("avg_quality"))
+    return domains_.unionByName(engines_.select("session_id", F.lit("engine").alias("kind"), F.col("engine_used").alias("name"), "n", "avg_ratio", "avg_quality"))
+
+
+def named_statistics(rows: DataFrame, name: str, value: str, ts: str, tie: str) -> DataFrame:
+    """Count, mean, extremes and the latest value of each name; of values of one time that with the greatest tie is the latest."""
+    return rows.groupBy(name).agg(F.count(value).alias("n"), F.avg(value).alias("avg"), F.min(value).alias("min"), F.max(value).alias("max"), F.max_by(value, F.struct(ts, tie)).alias("latest"))
 
 
 def last_values(rows: DataFrame, name: str, ts: str, tie: str, k: int = 100) -> DataFrame:
@@ -89,8 +101,14 @@ def recommendations(metrics: DataFrame) -> DataFrame:
     return s.crossJoin(best).select(advice.alias("advice"))
 
 
-def report(metrics: DataFrame) -> DataFrame:
-    return summary(metrics).select(F.format_string("%d compressions, %d tokens saved, ratio %.3f", "compressions", F.col("input_tokens") - F.col("output_tokens"), "overall_ratio").alias("report"))
+def report(metrics: DataFrame, price_per_1k: float = 0.03) -> DataFrame:
+    """A text of a few lines over the summary, one row."""
+    saved = F.col("input_tokens") - F.col("output_tokens")
+    lines = F.format_string(
+        "compressions: %d (%.1f%% successful)\ntokens: %d -> %d (%d saved, %.1f%%)\nquality: %.2f of 10\nestimated savings: $%.4f",
+        "compressions", F.col("success_rate") * 100, "input_tokens", "output_tokens", saved, (1 - F.col("overall_ratio")) * 100, "avg_quality_score", saved / 1000 * price_per_1k,
+    )
+    return summary(metrics).select(lines.alias("report"))
 
 
 def with_feedback(sessions_: DataFrame, feedback: DataFrame, key: str = "session_id") -> DataFrame:
@@ -98,5 +116,24 @@ def with_feedback(sessions_: DataFrame, feedback: DataFrame, key: str = "session
 
 
 def cost_by_model(tokens_saved: DataFrame, prices: DataFrame) -> DataFrame:
-    """Savings times a small price table (model, price_per_1k)."""
-    return tokens_saved.crossJoin(F.broadcast(prices)).groupBy("model").agg(F.sum(F.col("token_savings") / 1000 * F.col("price_per_1k")).alias("cost"))
+    """Savings times a price table (model, price_per_1k): the savings are summed first, so one row meets the prices, however many."""
+    total = tokens_saved.agg(F.sum("token_savings").alias("saved"))
+    return prices.crossJoin(F.broadcast(total)).select("model", (F.col("saved") / 1000 * F.col("price_per_1k")).alias("cost"))
+
+
+def least_recently_used(rows: DataFrame, group: str, key: str, ts: str, capacity: int) -> DataFrame:
+    """What a cache of so many keys holds after the rows of its group: the keys used last, with their last use and number of uses."""
+    used = rows.groupBy(group, key).agg(F.max(ts).alias("last_used"), F.count("*").alias("uses"))
+    w = Window.partitionBy(group).orderBy(F.desc("last_used"), key)
+    return used.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= capacity).drop("rank")
+
+
+LEVELS = ["debug", "info", "warn", "error"]
+
+
+def structured_log(results: DataFrame, least: str = "info") -> DataFrame:
+    """(level, line): a JSON line for each result at or above a level; results with warnings are warnings, those without a rewrite errors."""
+    level = F.when(F.col("compressed_text").isNull(), "error").when(F.size("warnings") > 0, "warn").otherwise("info")
+    wanted = LEVELS[LEVELS.index(least) :]
+    fields = F.struct(level.alias("level"), F.col("doc_id"), F.col("engine_used"), F.round("compression_ratio", 6).alias("compression_ratio"), F.col("original_tokens"), F.col("compressed_tokens"), F.col("warnings"))
+    return results.select(level.alias("level"), F.to_json(fields).alias("line")).where(F.col("level").isin(wanted))

@@ -96,7 +96,7 @@ def band(rules: DataFrame, low: int, high: int) -> DataFrame:
     return rules.where(F.col("priority").between(low, high))
 
 
-BANDS = [("high", 900, 10**6), ("medium", 700, 899), ("low", 500, 699)]
+BANDS = lx.BANDS
 
 
 def reversible() -> Column:
@@ -149,21 +149,31 @@ def top_used(rules: DataFrame, k: int = 10) -> DataFrame:
     return rules.where("is_active").orderBy(F.desc("frequency"), "id").limit(k)
 
 
-def conflicts(rules: DataFrame) -> DataFrame:
-    """Pairs of rules in conflict, the first kind that holds: circular, ambiguous, substring, collision.
+def contained(rules: DataFrame) -> DataFrame:
+    """(id, inner): rules whose original contains another rule's, letter case aside; one automaton pass over the originals."""
+    from . import matching as mt
+
+    anywhere = rules.withColumn("pattern_type", F.lit("phrase"))
+    found = mt.find(rules.select(F.col("id").alias("doc_id"), F.col("original").alias("text")), anywhere)
+    return found.select(F.col("doc_id").alias("id"), F.col("id").alias("inner")).where("id <> inner").distinct()
+
 
-    Each kind is an equi-join but substring, which needs a comparison of all
-    originals; the rule table is a small dimension (thousands of rows).
-    """
+def conflicts(rules: DataFrame) -> DataFrame:
+    """Pairs of rules in conflict, the first kind that holds: circular, ambiguous, substring, collision. No kind compares all pairs."""
     a, b = (rules.select(*[F.col(c).alias(f"{c}_{n}") for c in ("id", "original", "compressed", "priority")]) for n in (1, 2))
-    pairs = a.join(b, F.col("id_1") < F.col("id_2"))
-    kind = (
-        F.when((F.col("original_1") == F.col("compressed_2")) & (F.col("compressed_1") == F.col("original_2")), "circular")
-        .when(F.lower("original_1") == F.lower("original_2"), "ambiguous")
-        .when(F.contains(F.lower("original_1"), F.lower("original_2")) | F.contains(F.lower("original_2"), F.lower("original_1")), "substring")
-        .when(F.lower("compressed_1") == F.lower("compressed_2"), "collision")
-    )
-    found = pairs.withColumn("kind", kind).where("kind is not null")
+    pair = [F.least("id_1", "id_2").alias("id_1"), F.greatest("id_1", "id_2").alias("id_2")]
+    circular = a.join(b, (F.col("original_1") == F.col("compressed_2")) & (F.col("compressed_1") == F.col("original_2")))
+    ambiguous = a.join(b, F.lower("original_1") == F.lower("original_2"))
+    collision = a.join(b, F.lower("compressed_1") == F.lower("compressed_2"))
+    substring = contained(rules).select(F.col("id").alias("id_1"), F.col("inner").alias("id_2"))
+    kinds = ("circular", "ambiguous", "substring", "collision")
+    out = None
+    for k, rows in enumerate((circular, ambiguous, substring, collision)):
+        one = rows.where("id_1 <> id_2").select(*pair, F.lit(k).alias("rank"))
+        out = one if out is None else out.unionByName(one)
+    first = out.groupBy("id_1", "id_2").agg(F.min("rank").alias("rank"))
+    top = [rules.select(F.col("id").alias(f"id_{n}"), F.col("priority").alias(f"priority_{n}")) for n in (1, 2)]
+    found = first.join(top[0], "id_1").join(top[1], "id_2").withColumn("kind", F.element_at(F.array(*map(F.lit, kinds)), F.col("rank") + 1))
     base = F.when(F.col("kind") == "circular", "critical").when(F.col("kind") == "ambiguous", "high").otherwise("medium")
     severity = F.when((base == "medium") & (F.greatest("priority_1", "priority_2") > 800), "high").otherwise(base)
     advice = F.create_map(*map(F.lit, ["circular", "drop one of the two rules", "ambiguous", "keep the rule with the higher priority", "substring", "apply the longer rule first", "collision", "give each rule its own short form"]))
@@ -171,10 +181,31 @@ def conflicts(rules: DataFrame) -> DataFrame:
 
 
 def cross_domain(rules: DataFrame, least: float = 0.8) -> DataFrame:
-    from ..functions.similarity import word_jaccard
+    """Rules of separate domains whose originals have nearly the same words; only rules with a word in common are compared."""
+    from ..functions.text import ltoks, word_jaccard
+
+    words = rules.select("id", "original", "domain", F.explode(F.array_distinct(ltoks("original"))).alias("word"))
+    a, b = (words.select("word", *[F.col(c).alias(f"{c}_{n}") for c in ("id", "original", "domain")]) for n in (1, 2))
+    pairs = a.join(b, "word").where((F.col("id_1") < F.col("id_2")) & (F.col("domain_1") != F.col("domain_2")))
+    return pairs.select("id_1", "id_2", "original_1", "original_2").distinct().where(word_jaccard("original_1", "original_2") > least).select("id_1", "id_2")
+
+
+def with_rules(facts: DataFrame, rules: DataFrame, key: str = "pattern_id") -> DataFrame:
+    """Facts about rules (usage, versions, conflicts by first_id or second_id) with the rule's own columns."""
+    return facts.join(rules.select(F.col("id").alias(key), "original", "compressed", "pattern_type", "domain", "priority"), key)
+
+
+def variant_confidence(domain: str | None, often: int = 5, strong: bool = True) -> Column:
+    """The variant engines' confidence in a rule; a success rate of 0 counts as .5."""
+    sure = F.when(F.col("success_rate") == 0, 0.5).otherwise(F.col("success_rate")) + F.when(F.col("domain") == domain if domain else F.lit(False), 0.2).otherwise(0.0) + F.when(F.col("frequency") > often, 0.1).otherwise(0.0)
+    return F.least(F.lit(1.0), sure + (F.when(F.col("priority") > 700, 0.1).otherwise(0.0) if strong else F.lit(0.0)))
+
 
-    a, b = (rules.select(*[F.col(c).alias(f"{c}_{n}") for c in ("id", "original", "domain")]) for n in (1, 2))
-    return a.join(b, (F.col("id_1") < F.col("id_2")) & (F.col("domain_1") != F.col("domain_2"))).where(word_jaccard("original_1", "original_2") > least).select("id_1", "id_2")
+def validated(rules: DataFrame, domain: str | None, limit_domain: int = 1000, limit_general: int = 500) -> DataFrame:
+    """A domain's rules and general ones that aren't among them, the best of each."""
+    order = [F.desc("priority"), F.desc("frequency"), "id"]
+    own = rules.where(F.col("domain") == domain).orderBy(*order).limit(limit_domain)
+    return own.unionByName(rules.where(F.col("domain") == "general").orderBy(*order).limit(limit_general)).dropDuplicates(["id"])
 
 
 # --- changes: each gives the new table ---------------------------------------------

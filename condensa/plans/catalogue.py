@@ -45,9 +45,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """rows as the scan splits them; only a small input of fewer splits than the cluster has cores is dealt over these."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores, key) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents, dealt over the cluster: one file can be one partition, and the work is in the expressions."""
-    return table(spark, sf_dir, "documents").repartition("doc_id")
+    return spread(table(spark, sf_dir, "documents"), "doc_id")
 
 
 def r6(c: Column) -> Column:
@@ -409,11 +414,8 @@ S_L2B = r"regexp_replace(regexp_replace(regexp_replace(%s, '\.{4,}', '...', 'g')
     SELECT doc_id, level, md5(out) AS digest, round(ratio, 6) AS ratio, round(greatest(1e0, least(10e0, 6e0 + level + CASE WHEN ratio < 0.9e0 THEN 0.5e0 ELSE 0e0 END + CASE WHEN ratio < 0.8e0 THEN 0.5e0 ELSE 0e0 END - CASE WHEN level <= 2 AND ratio < 0.5e0 THEN 1e0 ELSE 0e0 END)), 6) AS quality FROM r"""
 )
 def fallback_ladder(spark, sf_dir):
-    out = None
-    for level in (1, 2, 3, 4):
-        one = en.fallback(docs(spark, sf_dir), level).select("doc_id", F.lit(level).alias("level"), F.md5("compressed_text").alias("digest"), r6(F.col("compression_ratio")).alias("ratio"), r6(F.col("quality_score")).alias("quality"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    out = en.ladder(docs(spark, sf_dir))
+    return out.select("doc_id", F.col("fallback_level").alias("level"), F.md5("compressed_text").alias("digest"), r6(F.col("compression_ratio")).alias("ratio"), r6(F.col("quality_score")).alias("quality"))
 
 
 # --- segments and extraction -----------------------------------------------------------------
@@ -548,7 +550,7 @@ def overlap_groups_best(spark, sf_dir):
 
 @query()
 def resolved_matches(spark, sf_dir):
-    return mt.resolved(mt.find(docs(spark, sf_dir), rl.starter_rules(spark))).select("doc_id", "id", "position", "size")
+    return mt.resolved(docs(spark, sf_dir), rl.starter_rules(spark)).select("doc_id", "id", "position", "size")
 
 
 @query(
@@ -570,7 +572,22 @@ def _engine(level: str):
     return run
 
 
-QUERIES["extreme_compress"] = _engine("aggressive")
+for _level, _name in (("light", "semantic_compress"), ("balanced", "hybrid_compress"), ("aggressive", "extreme_compress")):
+    QUERIES[_name] = _engine(_level)
+
+
+@query()
+def advanced_compress(spark, sf_dir):
+    rules = rl.starter_rules(spark)
+    out = en.advanced(docs(spark, sf_dir), en.rule_list(rules, EngineConfig()), EngineConfig())
+    return out.select("doc_id", "compressed_text", r6(F.col("compression_ratio")).alias("compression_ratio"))
+
+
+@query()
+def engine_benchmark(spark, sf_dir):
+    """Every engine over every document; times differ from run to run and are left out."""
+    compared = en.compare_engines(docs(spark, sf_dir), rl.starter_rules(spark))
+    return _rounded(en.benchmark(compared).drop("avg_seconds"))
 
 
 _X1 = BASE + f", a1 AS (SELECT doc_id, text, {S_DROP} AS x FROM d), a2 AS (SELECT doc_id, text, {s_toks(s_unpad(s_fold(s_pad('x'), lx.PHRASES)))} AS t FROM a1), "
@@ -631,12 +648,6 @@ def edit_similarity(spark, sf_dir):
     return pairs.select("p_partkey", "id", r6(sm.edit("p_name", "original")).alias("similarity"))
 
 
-@query()
-def rule_similarity_search(spark, sf_dir):
-    names = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), F.col("p_name").alias("text"))
-    return ve.search_rules(names, rl.starter_rules(spark)).select("doc_id", "id", "rank", r6(F.col("score")).alias("score"), r6(F.col("confidence")).alias("confidence"))
-
-
 # --- metrics -----------------------------------------------------------------------------------------
 
 
@@ -733,9 +744,9 @@ def stage_bottlenecks(spark, sf_dir):
     return _rounded(me.bottlenecks(table(spark, sf_dir, "events"), "user_id", "ts", "event_id").select("user_id", "event_id", "seconds", "share"))
 
 
-@query("SELECT event_type, count(value)::BIGINT AS n, round(avg(value), 6) AS avg, round(min(value), 6) AS min, round(max(value), 6) AS max FROM events GROUP BY event_type")
+@query("SELECT event_type, count(value)::BIGINT AS n, round(avg(value), 6) AS avg, round(min(value), 6) AS min, round(max(value), 6) AS max, round(arg_max(value, (ts, event_id)), 6) AS latest FROM events GROUP BY event_type")
 def named_statistics(spark, sf_dir):
-    return _rounded(me.named_statistics(table(spark, sf_dir, "events"), "event_type", "value", "ts").drop("latest"))
+    return _rounded(me.named_statistics(table(spark, sf_dir, "events"), "event_type", "value", "ts", "event_id"))
 
 
 @query("SELECT event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS rk FROM events) WHERE rk <= 100")

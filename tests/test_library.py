@@ -91,7 +91,8 @@ def test_levels_shrink_and_none_is_identity(spark):
     size = {}
     for level in ("none", "light", "balanced", "aggressive"):
         rows = en.compress(docs, rules, EngineConfig(level=level)).collect()
-        assert [r["doc_id"] for r in rows] == [1]
+        rows.sort(key=lambda r: r["doc_id"])
+        assert [r["doc_id"] for r in rows] == [1, 2, 3]
         size[level] = len(rows[0]["compressed_text"])
     assert size["none"] == len(text)
     assert size["aggressive"] <= size["balanced"] <= len(text) and size["light"] <= len(text)
@@ -173,8 +174,17 @@ def test_large_rule_tables_match_alike(spark, monkeypatch):
     rules = rules.unionByName(rules.where("id = 0"))
     rows = lambda df: sorted(map(str, df.collect()))
     want = [rows(mt.find(docs, rules)), rows(mt.counts(docs, rules.where("id <> 8")))]
-    monkeypatch.setattr(mt, "MAX_BROADCAST_RULES", 2)
-    assert len(want[0]) > 10 and [rows(mt.find(docs, rules, rule_count=10_000)), rows(mt.counts(docs, rules.where("id <> 8")))] == want
+    want.append(rows(mt.resolved(docs.dropDuplicates(["doc_id"]), rules.dropDuplicates(["id"])).select("doc_id", "id", "position")))
+    monkeypatch.setattr(mt, "RULES_A_PASS", 2)
+    assert len(want[0]) > 10
+    assert [rows(mt.find(docs, rules)), rows(mt.counts(docs, rules.where("id <> 8"))), rows(mt.resolved(docs.dropDuplicates(["doc_id"]), rules.dropDuplicates(["id"])).select("doc_id", "id", "position"))] == want
+    # and as the Column functions say
+    t, o = F.col("text"), F.col("original")
+    plain = docs.crossJoin(rules).withColumn("position", F.explode(mt.positions(t, o)))
+    plain = plain.where((F.col("pattern_type") != "word") | mt.whole_word(t, F.col("position"), F.length("original")))
+    plain = plain.withColumn("confidence", mt.confidence(t, F.col("position"), F.length("original"), F.col("priority"), F.col("success_rate"), F.col("domain")))
+    monkeypatch.undo()
+    assert rows(plain.select("doc_id", "id", "position", "confidence")) == rows(mt.find(docs, rules).select("doc_id", "id", "position", "confidence"))
 
 
 def test_compress_keeps_every_row(spark, tmp_path):
