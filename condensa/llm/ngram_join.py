@@ -1,19 +1,26 @@
 """N-gram Jaccard join by vertical partitioning, and the near-duplicate groups it links.
 
 A document is the set of its distinct word shingles. All n-grams get one global
-order, rarest first: by the magnitude of their count in a fixed-size sketch of
-the whole corpus, then by hash (any fixed order gives exact results; this one
-keeps frequent n-grams out of prefixes). The order is cut into fragments of
-about equal mass, every set into segments, overlaps of a candidate pair are
-counted fragment by fragment, and the partial counts are summed per pair.
+order, rarest first: by the magnitude of their count in a sketch of the whole
+corpus, then by hash (any fixed order gives exact results; this one keeps
+frequent n-grams out of prefixes). The order is cut into fragments of about equal
+mass, every set into segments, overlaps of a candidate pair are counted fragment
+by fragment, and the partial counts are summed per pair.
 
 Documents with equal sets form one node. Candidates share an n-gram in their
 prefixes and pass the length and position bounds, so no link is lost. Groups of
 near copies are not expanded into pairs: a round verifies every row of an
 n-gram's bucket with the purest one, another neighbours by size that are still
-apart, and what links is joined; then only pairs of still separate groups are
-candidates, of which the bucket's largest group is never paired with itself. Counts from the sketch are never too low:
-n-grams below its threshold have bounded buckets, those above are salted.
+apart, and what links is joined; then only rows of still separate groups are
+candidates, of which the bucket's largest group is never paired with itself. A
+candidate of that last round must also pass a bound on its overlap: parity
+bitmaps of both sets differ in no more bits than the sets do in elements.
+
+Buckets are balanced by their measured number of rows, not by the sketch, which
+may be coarse where a corpus is much larger than it: what a bucket's rows need of
+the bucket comes by broadcast for the largest buckets (at most MAX_HOT of them),
+its neighbours are looked for in parts, and in the last round the rows of one side
+are dealt into parts and those of the other side meet each part.
 
 Nodes are 64-bit digests of sets and n-grams 58-bit hashes of their words.
 Null and empty texts have no shingles and link with nothing; a text with fewer
@@ -36,12 +43,17 @@ from .components import components
 from .scratch import Scratch
 
 WORDS, PERCENT = 5, 80
-SKETCH_BITS = 22
+#: the sketch has 2 ** SKETCH_BITS counters, and as many for each MORE_BYTES that a corpus has more, up to 2 ** MAX_BITS
+SKETCH_BITS, MAX_BITS, MORE_BYTES = 22, 24, 64 << 30
 SKETCH_SEGMENT = 1 << 15
 FRAGMENTS = 4
 ROUNDS = 2
 #: an n-gram is hot if the sketch has so many times the mean count, and at least HOT_LEAST
 HOT_TIMES, HOT_LEAST = 16, 4096
+#: a bucket of over so many rows is dealt into parts of so many; at most MAX_HOT buckets are, the limit rises with the corpus
+PART_ROWS, MAX_HOT = 4096, 100_000
+#: bits of a set's parity bitmap
+SIGN_BITS = 1024
 HASH_BITS = 58
 BATCH_CHARS = 500_000
 RESULT_ROWS = 1 << 17
@@ -62,11 +74,19 @@ def _node(s: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-def first_pass(docs: DataFrame) -> DataFrame:
+def sketch_bits(docs: DataFrame) -> int:
+    """By the size that the planner expects of the input: it changes the order of n-grams, not the result."""
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size >= 1 << 62:
+        return SKETCH_BITS  # the planner doesn't know
+    return SKETCH_BITS + min(MAX_BITS - SKETCH_BITS, max(0, size // MORE_BYTES).bit_length())
+
+
+def first_pass(docs: DataFrame, bits: int) -> DataFrame:
     """Rows of two kinds: a document's id, digest, set size and node; and a segment of the task's counts of n-grams."""
 
     def run(batches):
-        counts = np.zeros(1 << SKETCH_BITS, np.uint32)
+        counts = np.zeros(1 << bits, np.uint32)
         names = ["id", "digest", "n", "node", "segment", "counts"]
         kind = pa.int64()
         for b in batches:
@@ -77,7 +97,7 @@ def first_pass(docs: DataFrame) -> DataFrame:
                 size[i] = len(s)
                 if len(s):
                     nodes[i] = _node(s)
-                    held.append(s >> np.uint64(64 - SKETCH_BITS))
+                    held.append(s >> np.uint64(64 - bits))
                     total += len(s)
                 if total > 1 << 19:
                     counts += np.bincount(np.concatenate(held).astype(np.int64), minlength=len(counts)).astype(np.uint32)
@@ -94,8 +114,8 @@ def first_pass(docs: DataFrame) -> DataFrame:
     return docs.select("id", "text", "digest").mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, digest binary, n long, node long, segment int, counts binary")
 
 
-def sketch(parts: DataFrame) -> tuple[bytes, list[int], int]:
-    """The magnitude of every counter (a byte each, 2 ** SKETCH_BITS in all), the fragments' first keys, and the least hot magnitude."""
+def sketch(parts: DataFrame, bits: int) -> tuple[bytes, list[int], int]:
+    """The magnitude of every counter (a byte each, 2 ** bits in all), the fragments' first keys, and the least hot magnitude."""
 
     def merge(key, pdf):
         import pandas as pd
@@ -107,7 +127,7 @@ def sketch(parts: DataFrame) -> tuple[bytes, list[int], int]:
         mass = np.bincount(level, total.astype(float), 32)
         return pd.DataFrame({"segment": [key[0]], "level": [level.tobytes()], "mass": [mass.tolist()]})
 
-    level, mass = np.zeros(1 << SKETCH_BITS, np.uint8), np.zeros(32)
+    level, mass = np.zeros(1 << bits, np.uint8), np.zeros(32)
     for r in parts.select("segment", "counts").groupBy("segment").applyInPandas(merge, "segment int, level binary, mass array<double>").collect():
         level[r["segment"] * SKETCH_SEGMENT : (r["segment"] + 1) * SKETCH_SEGMENT] = np.frombuffer(r["level"], np.uint8)
         mass += np.array(r["mass"])
@@ -123,7 +143,7 @@ def sketch(parts: DataFrame) -> tuple[bytes, list[int], int]:
 
 def ordered(s: np.ndarray, level: np.ndarray) -> np.ndarray:
     """A set as sorted positions in the global order."""
-    at = (s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
+    at = (s >> np.uint64(65 - len(level).bit_length())).astype(np.int64)
     return np.sort(level[at].astype(np.uint64) << np.uint64(HASH_BITS) | s >> np.uint64(64 - HASH_BITS)).astype(np.int64)
 
 
@@ -191,7 +211,7 @@ def shared_tokens(index: DataFrame, hot: int) -> DataFrame:
     return dealt.mapInArrow(run, "token long, node long, n long, pos long")
 
 
-def plausible(index: DataFrame) -> DataFrame:
+def plausible(scratch: Scratch, index: DataFrame) -> DataFrame:
     """Index rows that may link with some other row of their token, by the sizes and positions in its bucket.
 
     Buckets are summed up by classes of sizes a factor of 1.25 wide; a partner is in
@@ -201,18 +221,38 @@ def plausible(index: DataFrame) -> DataFrame:
     rows = index.withColumn("class", size_class)
     classes = rows.groupBy("token", "class").agg(F.max(F.col("n") - F.col("pos")).alias("room"), F.min("n").alias("least"), F.count("*").alias("rows"))
     # sizes up to 2 ** 63 make under 200 classes
-    summed = classes.groupBy("token").agg(F.collect_list(F.struct("class", "room", "least", "rows")).alias("classes"))
+    summed = scratch.table(classes.groupBy("token").agg(F.collect_list(F.struct("class", "room", "least", "rows")).alias("classes"), F.sum("rows").alias("rows")), "classes")
+    hot = hot_tokens(scratch, summed, "hot-shared")
 
     def ok(c: Column) -> Column:
         least = needed(F.col("n"), F.greatest(c["least"], F.ceil(F.col("n") * PERCENT / 100)))
         near = (F.abs(c["class"] - F.col("class")) <= 1) & ((c["class"] != F.col("class")) | (c["rows"] > 1))
         return near & (F.col("n") - F.col("pos") >= least) & (c["room"] >= least)
 
-    return rows.join(summed, "token").where(F.exists("classes", ok)).select("token", "node", "n", "pos")
+    return with_bucket(rows, summed.drop("rows"), hot).where(F.exists("classes", ok)).select("token", "node", "n", "pos")
+
+
+def hot_tokens(scratch: Scratch, sizes: DataFrame, name: str) -> DataFrame | None:
+    """Of (token, rows) the buckets that are dealt into parts, with their number of parts; None if there are none."""
+    total = sizes.agg(F.sum("rows")).first()[0] or 0
+    most = max(PART_ROWS, total // MAX_HOT)  # so many rows at least, so no more than MAX_HOT buckets
+    if not sizes.where(F.col("rows") > most).limit(1).count():
+        return None
+    return scratch.table(sizes.where(F.col("rows") > most).select("token", F.ceil(F.col("rows") / most).cast("int").alias("parts")), name)
+
+
+def with_bucket(rows: DataFrame, per_token: DataFrame, hot: DataFrame | None) -> DataFrame:
+    """rows with what per_token has of their token (inner): for hot tokens by broadcast, for the others by a shuffle."""
+    if hot is None:
+        return rows.join(per_token, "token")
+    listed = F.broadcast(hot.select("token"))
+    big = per_token.join(listed, "token", "left_semi")
+    small = rows.join(listed, "token", "left_anti").join(per_token.join(listed, "token", "left_anti"), "token")
+    return rows.join(F.broadcast(big), "token").unionByName(small)
 
 
 def segments(spark: SparkSession, docs: DataFrame, level: bytes, pivots: list[int], bits: int, wanted: bytes) -> DataFrame:
-    """(id, node, fragment, tokens) of the documents whose id may be wanted."""
+    """(id, node, fragment, tokens) of the documents whose id may be wanted; a fragment of -1 has the set's parity bitmap."""
     shared = spark.sparkContext.broadcast((level, wanted))
     kind = docs.schema["id"].dataType.simpleString()
 
@@ -230,7 +270,7 @@ def segments(spark: SparkSession, docs: DataFrame, level: bytes, pivots: list[in
                     continue
                 own = ordered(s, magnitude)
                 cuts = np.searchsorted(own, pivots[1:])
-                for k, x in enumerate(np.split(own, cuts)):
+                for k, x in [(-1, sign(s)), *enumerate(np.split(own, cuts))]:
                     if len(x):
                         ids.append(b.column(0)[i].as_py())
                         nodes.append(_node(s))
@@ -246,6 +286,12 @@ def segments(spark: SparkSession, docs: DataFrame, level: bytes, pivots: list[in
     return docs.select("id", "text", _id_digest(F.col("id")).alias("digest")).mapInArrow(run, f"id {kind}, node long, fragment int, tokens array<long>")
 
 
+def sign(s: np.ndarray) -> np.ndarray:
+    """For each bit whether an odd number of elements fall on it: two sets' bits differ only where elements of one alone fall."""
+    odd = np.bincount((s % np.uint64(SIGN_BITS)).astype(np.int64), minlength=SIGN_BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _id_digest(col: Column) -> Column:
     return F.unhex(F.sha2(F.coalesce(col.cast("string"), F.lit("")).cast("binary"), 256))
 
@@ -280,23 +326,21 @@ def verified(pairs: DataFrame, parts: DataFrame, heads: DataFrame) -> DataFrame:
     return summed.where(F.col("common") * 100 >= (F.col("na") + F.col("nb") - F.col("common")) * PERCENT)
 
 
-def _chain(index: DataFrame, labels: DataFrame) -> DataFrame:
-    """Neighbours by size inside each token's bucket that are in separate groups and may link."""
-    salt = F.pmod(F.xxhash64("node"), F.greatest(F.lit(1), F.pow(F.lit(2.0), F.shiftright("token", HASH_BITS) - 12).cast("long")))
-    w = Window.partitionBy("token", "salt").orderBy("n", "node")
+def _chain(scratch: Scratch, index: DataFrame, labels: DataFrame, hot: DataFrame | None, signs: DataFrame) -> DataFrame:
+    """Neighbours by size inside each part of a token's bucket that are in separate groups and may link."""
+    w = Window.partitionBy("token", "part").orderBy("n", "node")
     here, last = F.struct("node", "n", "pos", "label"), "last"
-    rows = _labelled(index, labels).withColumn("salt", salt).select(here.alias("x"), F.lag(here).over(w).alias(last))
+    rows = _labelled(index, labels).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts"))).select(here.alias("x"), F.lag(here).over(w).alias(last))
     return _pairs(rows.where((F.col("x.label") != F.col("last.label")) & may_link("x", last)), "x", last)
 
 
-def _star(index: DataFrame, labels: DataFrame | None) -> DataFrame:
+def _star(scratch: Scratch, index: DataFrame, labels: DataFrame | None, hot: DataFrame | None, signs: DataFrame) -> DataFrame:
     """Each row of a token's bucket with the bucket's purest row, if that is in another group: the one with the most
     n-grams after the token, that is the fewest rare ones of its own. Near copies link with it if with any.
     """
     rows = _labelled(index, labels)
     pure = F.max_by(F.struct("node", "n", "pos", "label"), F.struct(F.col("n") - F.col("pos"), F.col("node"))).alias("center")
-    centers = rows.groupBy("token").agg(pure)
-    met = rows.join(centers, "token").select(F.struct("node", "n", "pos", "label").alias("x"), "center")
+    met = with_bucket(rows, rows.groupBy("token").agg(pure), hot).select(F.struct("node", "n", "pos", "label").alias("x"), "center")
     return _pairs(met.where((F.col("x.label") != F.col("center.label")) & may_link("x", "center")), "x", "center")
 
 
@@ -312,15 +356,29 @@ def _pairs(rows: DataFrame, x: str, y: str) -> DataFrame:
     return rows.select(side("node", False).alias("a"), side("node", True).alias("b"), side("n", False).alias("na"), side("n", True).alias("nb")).distinct()
 
 
-def _rest(index: DataFrame, labels: DataFrame) -> DataFrame:
-    """All pairs of separate groups that share a token and may link."""
+def _rest(scratch: Scratch, index: DataFrame, labels: DataFrame, hot: DataFrame | None, signs: DataFrame) -> DataFrame:
+    """Pairs of separate groups that share a token and may link, by sizes, positions and bitmaps.
+
+    A bucket's rows outside of its largest group are dealt into the bucket's parts,
+    all of its rows go to each part, and a pair is given out only if it may link.
+    """
     rows = _labelled(index, labels)
     groups = rows.groupBy("token", "label").agg(F.count("*").alias("rows"))
-    largest = groups.groupBy("token").agg(F.max_by("label", F.struct("rows", "label")).alias("largest"), F.count("*").alias("groups")).where("groups > 1")
-    small = rows.join(largest.select("token", "largest"), "token").where(F.col("label") != F.col("largest"))
-    x, y = small.alias("x"), rows.alias("y")
+    largest = groups.groupBy("token").agg(F.max_by("label", F.struct("rows", "label")).alias("largest"), F.count("*").alias("groups")).where("groups > 1").select("token", "largest")
+    apart_rows = scratch.table(with_bucket(rows, largest, hot).join(signs, "node"), "apart")
+    small = apart_rows.where(F.col("label") != F.col("largest")).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))
+    every = apart_rows.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1)))
+    x, y = small.alias("x"), every.alias("y")
+    same = (F.col("x.token") == F.col("y.token")) & (F.col("x.part") == F.col("y.part"))
     apart = (F.col("x.label") != F.col("y.label")) & ((F.col("y.label") == F.col("x.largest")) | (F.col("x.node") < F.col("y.node")))
-    return _pairs(x.join(y, (F.col("x.token") == F.col("y.token")) & apart & may_link("x", "y")), "x", "y")
+    return _pairs(x.join(y, same & apart & may_link("x", "y") & signs_allow("x", "y")), "x", "y")
+
+
+def signs_allow(a: str, b: str) -> Column:
+    """Linked sets differ in at most na + nb - 2 * needed elements, so their bitmaps in no more bits."""
+    na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
+    differ = sum((F.bit_count(F.col(f"{a}.sign")[k].bitwiseXOR(F.col(f"{b}.sign")[k])) for k in range(1, SIGN_BITS // 64)), F.bit_count(F.col(f"{a}.sign")[0].bitwiseXOR(F.col(f"{b}.sign")[0])))
+    return differ <= na + nb - 2 * needed(na, nb)
 
 
 def text_digest(text: Column) -> Column:
@@ -330,14 +388,16 @@ def text_digest(text: Column) -> Column:
 def _grouped(scratch: Scratch, slim: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Of slim (id, text, digest): its rows (id, digest, n, node), and each node's label of its group and component_id."""
     spark = slim.sparkSession
-    first = scratch.table(first_pass(slim), "first")
+    bits_ = sketch_bits(slim)
+    first = scratch.table(first_pass(slim, bits_), "first")
     sized = scratch.table(first.where("segment is null").select("id", "digest", "n", "node"), "sized")
-    level, pivots, hot = sketch(first.where("segment is not null"))
+    level, pivots, most = sketch(first.where("segment is not null"), bits_)
     scratch.drop("first")
-    shared = scratch.table(shared_tokens(index_rows(spark, slim, level), hot), "shared")
+    shared = scratch.table(shared_tokens(index_rows(spark, slim, level), most), "shared")
     scratch.release()
-    index = scratch.table(plausible(shared), "index")
+    index = scratch.table(plausible(scratch, shared), "index")
     scratch.drop("shared")
+    hot = hot_tokens(scratch, index.groupBy("token").agg(F.count("*").alias("rows")), "hot")
     scratch.release()
     heads = scratch.table(sized.where("node is not null").groupBy("node").agg(F.min("id").alias("head")), "heads")
     # one document stands for a node
@@ -348,9 +408,12 @@ def _grouped(scratch: Scratch, slim: DataFrame) -> tuple[DataFrame, DataFrame]:
         # no id tells rows without one apart: of those of a node one stays
         one = parts.where("id is null").join(wanted.where("id is null").select("node"), "node", "left_semi").select("id", "node", "fragment", "tokens").dropDuplicates(["node", "fragment"])
         parts = parts.where("id is not null").unionByName(scratch.table(one, "segments-null"))
+    signs = parts.where("fragment = -1").select("node", F.col("tokens").alias("sign")).dropDuplicates(["node"])
+    parts = parts.where("fragment >= 0")
+    index = index.withColumn("parts", F.lit(1)) if hot is None else index.join(F.broadcast(hot), "token", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     labels = links = tried = None
     for k in range(ROUNDS + 1):
-        pairs = (_star, _chain, _rest)[k](index, labels)
+        pairs = (_star, _chain, _rest)[k](scratch, index, labels, hot, signs)
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = scratch.table(pairs, f"pairs-{k}")

@@ -72,6 +72,56 @@ def test_ngram_join(spark, seed):
     assert got == groups(rows)
 
 
+def crowded(seed):
+    """Passages that many unlinked texts share, a large group of near copies, texts of shared lines only, and short ones."""
+    rng = random.Random(seed)
+    words = [f"w{k}" for k in range(400)]
+    lines = [" ".join(rng.choices(words, k=9)) for _ in range(12)]
+    passage = " ".join(rng.choices(words, k=40))
+    out = [passage + " " + " ".join(rng.choices(words, k=rng.randint(3, 30))) for _ in range(60)]
+    base = " ".join(rng.choices(words, k=60)).split()
+    for _ in range(50):
+        parts = list(base)
+        for _ in range(rng.randint(0, 3)):
+            parts[rng.randrange(len(parts))] = rng.choice(words)
+        out.append(" ".join(parts))
+    out += [" ".join(rng.sample(lines, rng.randint(4, 8))) for _ in range(60)]
+    out += [" ".join(rng.choices(["a", "b"], k=rng.randint(1, 12))) for _ in range(20)]
+    rng.shuffle(out)
+    return list(enumerate(out))
+
+
+@pytest.mark.parametrize("seed", [0, 1])
+def test_ngram_join_hot_buckets(spark, monkeypatch, seed):
+    """Every path that large inputs take, by lowered limits: hot buckets in parts, shuffled pairs, all component rounds."""
+    from condensa.llm import components as module
+
+    for name, value in (("PART_ROWS", 3), ("HOT_LEAST", 8), ("HOT_TIMES", 1), ("MAX_BROADCAST_PAIRS", 5), ("RESULT_ROWS", 50)):
+        monkeypatch.setattr(ngram_join, name, value)
+    monkeypatch.setattr(module, "CHUNK_EDGES", 7)
+    rows = crowded(seed)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.near_groups(spark, table(spark, rows).repartition(3)).collect()}
+    assert got == groups(rows)
+    assert len({c for _, c in got.values()}) < len(rows)
+
+
+def test_bitmaps_bound_differences():
+    rng = np.random.default_rng(2)
+    for n in (1, 10, 300, 3000):
+        a = rng.integers(0, 1 << 63, n).astype(np.uint64)
+        b = np.concatenate([a[: n // 2], rng.integers(0, 1 << 63, n // 3).astype(np.uint64)])
+        bits = sum(int(x).bit_count() for x in (ngram_join.sign(a) ^ ngram_join.sign(b)).view(np.uint64))
+        assert bits <= len(set(a.tolist()) ^ set(b.tolist()))
+        assert len(ngram_join.sign(a)) == ngram_join.SIGN_BITS // 64
+
+
+def test_sketch_grows_with_the_input(spark, monkeypatch):
+    df = spark.range(1000).selectExpr("id", "repeat('x', 50) text")
+    assert ngram_join.sketch_bits(df) == ngram_join.SKETCH_BITS
+    monkeypatch.setattr(ngram_join, "MORE_BYTES", 1000)
+    assert ngram_join.sketch_bits(df) == ngram_join.MAX_BITS
+
+
 def test_ngram_join_null_ids(spark):
     words = [[f"{c}{k}" for k in range(40)] for c in "abc"]
     rows = [(None, " ".join(words[0])), (None, " ".join([*words[0], "tail"])), (None, " ".join([*words[0], "tail"])), (4, " ".join(["head", *words[0]])), (None, " ".join(words[1])), (None, " ".join([*words[1], "tail"])), (9, " ".join(words[2])), (None, " ".join([*words[2], "tail"])), (None, None)]
