@@ -9,6 +9,7 @@ driver: it is a small dimension whose size is checked.
 
 from __future__ import annotations
 
+import dataclasses
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
@@ -170,8 +171,16 @@ def select_engine(level: Column, high_quality: Column | None = None) -> Column:
     return F.when(level == "none", "none").when(level == "light", SELECTION["light"]).when(level == "aggressive", strong).otherwise(SELECTION["balanced"])
 
 
-def compress(docs: DataFrame, rules: DataFrame, config: EngineConfig = EngineConfig(), hooks: list[Callable[[DataFrame], DataFrame]] = ()) -> DataFrame:
-    """Documents (doc_id, text, ...) with the result columns; blank and over-long ones (see rules.split_valid) come back as they are, with the reason as a warning."""
+Hook = Callable[[DataFrame], DataFrame]
+
+
+def compress(docs: DataFrame, rules: DataFrame, config: EngineConfig = EngineConfig(), hooks: list[Hook] = (), before: list[Hook] = ()) -> DataFrame:
+    """Documents (doc_id, text, ...) with the result columns; blank and over-long ones (see rules.split_valid) come back as they are, with the reason as a warning.
+
+    Hooks in before see the documents, those in hooks the results.
+    """
+    for hook in before:
+        docs = docs.transform(hook)
     accepted, rejected = rl.split_valid(docs, most=config.max_chars)
     out = REGISTRY[SELECTION[config.level]](accepted, rule_list(rules, config), config)
     same = none(rejected, [], config).withColumn("warnings", F.array("reason")).drop("reason")
@@ -181,15 +190,56 @@ def compress(docs: DataFrame, rules: DataFrame, config: EngineConfig = EngineCon
     return out
 
 
+def _by_level(text: Column, level: Column, rules: list[dict], config: EngineConfig) -> Column:
+    """(text, engine) that the level's engine makes of a text, each row by its own level, in one pass; of a null text null."""
+
+    @F.pandas_udf("text string, engine string")
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        ready = {lvl: _kernel(dataclasses.replace(config, level=lvl), rules) for lvl in SELECTION}
+
+        def one(t, lvl):
+            if t is None:
+                return None, None
+            if lvl == "none" or not t.strip(kernel.BLANK):
+                return t, "none"
+            engine = ready[lvl if lvl in ready else "balanced"]
+            return {"light": lambda: (engine.semantic(t), "semantic"), "aggressive": lambda: (engine.extreme(t), "extreme")}.get(lvl, lambda: engine.hybrid(t))()
+
+        for texts, levels in batches:
+            yield pd.DataFrame([one(t, lvl) for t, lvl in zip(texts, levels)], columns=["text", "engine"], dtype=object)
+
+    return run(text, level)
+
+
 def batch_compress(docs: DataFrame, rules: DataFrame, config: EngineConfig = EngineConfig()) -> DataFrame:
-    """Rows with a level column of their own: split by level, compressed, and put together again."""
-    import dataclasses
+    """Rows with a level column of their own (an unknown one counts as balanced), from one scan."""
+    made = docs.withColumn("_made", _by_level(F.col("text"), F.col("level"), rule_list(rules, config), config))
+    out = made.withColumn("_out", F.col("_made.text")).withColumn("_engine", F.col("_made.engine")).drop("_made")
+    return _result(out, "_out", F.col("_engine"), config).drop("_engine")
 
-    parts = [compress(docs.where(F.col("level") == level), rules, dataclasses.replace(config, level=level)) for level in SELECTION]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+
+#: levels of target models by name; others get the balanced one
+MODEL_LEVELS = {"small": "light", "medium": "balanced", "large": "balanced"}
+
+
+def optimise(docs: DataFrame, rules: DataFrame, model: str = "large", max_tokens: int | None = None, config: EngineConfig = EngineConfig()) -> DataFrame:
+    """Each text at the level that suits the target model, or with a token limit at the level that the needed reduction asks
+    for; one that is still over the limit gets the strongest engine's text if that is within it. Adds level and fits.
+    """
+    folded = rule_list(rules, config)
+    need = 1 - F.lit(float(max_tokens or 0)) / F.greatest(F.lit(1.0), F.ceil(F.length("text") / 4))
+    level = F.when(need > 0.5, "aggressive").when(need > 0.3, "balanced").otherwise("light") if max_tokens else F.lit(MODEL_LEVELS.get(model, "balanced"))
+    made = docs.withColumn("level", level)
+    made = made.withColumn("_made", _by_level(F.col("text"), F.col("level"), folded, config)).withColumn("_first", F.col("_made.text")).withColumn("_engine", F.col("_made.engine")).drop("_made")
+    if max_tokens:
+        over = tk.estimate("_first") > max_tokens
+        made = made.withColumn("_last", _by_level(F.when(over, F.col("text")), F.lit("aggressive"), folded, config)["text"])
+        better = F.coalesce(over & (tk.estimate("_last") <= max_tokens), F.lit(False))
+        made = made.withColumn("_out", F.when(better, F.col("_last")).otherwise(F.col("_first"))).withColumn("_engine", F.when(better, "extreme").otherwise(F.col("_engine"))).drop("_last")
+        made = made.withColumn("fits", tk.estimate("_out") <= max_tokens)
+    else:
+        made = made.withColumn("_out", F.col("_first")).withColumn("fits", F.lit(True))
+    return _result(made.drop("_first"), "_out", F.col("_engine"), config).drop("_engine")
 
 
 def decompress(docs: DataFrame, rules: DataFrame, text: str = "compressed_text") -> DataFrame:

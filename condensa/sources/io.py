@@ -46,14 +46,17 @@ def write_texts(results: DataFrame, path: str, kind: str = "parquet") -> None:
     out.write.mode("overwrite").format(kind).save(path)
 
 
-def export_metrics(metrics: DataFrame, path: str, kind: str = "json") -> None:
-    """csv: the raw rows; json: summary, comparisons and raw rows, each in a folder."""
+def export_metrics(metrics: DataFrame, path: str, kind: str = "json", minutes: int = 60) -> None:
+    """csv: the raw rows; json: summary, comparisons, time series and raw rows, each in a folder."""
     from ..operators import metrics as m
 
     if kind == "csv":
         metrics.write.mode("overwrite").option("header", True).csv(path)
         return
-    for name, rows in {"summary": m.summary(metrics), "engines": m.engines(metrics), "domains": m.domains(metrics), "usage": m.usage(metrics), "raw": metrics}.items():
+    timed = metrics.withColumn("ts", F.timestamp_seconds("timestamp"))
+    saved = F.sum(F.col("original_tokens") - F.col("compressed_tokens")).alias("tokens_saved")
+    series = m.series(timed, "ts", minutes, [F.count("*").alias("n"), F.avg("compression_ratio").alias("avg_ratio"), F.avg("quality_score").alias("avg_quality"), saved])
+    for name, rows in {"series": series, "summary": m.summary(metrics), "engines": m.engines(metrics), "domains": m.domains(metrics), "usage": m.usage(metrics), "raw": metrics}.items():
         rows.write.mode("overwrite").json(f"{path}/{name}")
 
 
@@ -61,6 +64,32 @@ def append(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").parquet(path)
 
 
+def retained(rows: DataFrame, ts: str, tie: str, most: int = 1000) -> DataFrame:
+    """The newest rows of a session store of bounded size: older ones are out first."""
+    return rows.orderBy(F.desc(ts), F.desc(tie)).limit(most)
+
+
+def append_retained(rows: DataFrame, path: str, ts: str, tie: str, most: int = 1000) -> None:
+    """Appends to a store that keeps its newest rows: the new table is written beside the old one, then takes its place."""
+    spark = rows.sparkSession
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if files.exists(folder):
+        rows = spark.read.schema(rows.schema).parquet(path).unionByName(rows)
+    staged = path.rstrip("/") + ".staged"
+    retained(rows, ts, tie, most).write.mode("overwrite").parquet(staged)
+    files.delete(folder, True)
+    if not files.rename(spark._jvm.org.apache.hadoop.fs.Path(staged), folder):
+        raise OSError(f"{staged} can't take the place of {path}")
+
+
+def write_log(results: DataFrame, path: str, least: str = "info") -> None:
+    """A JSON line for each result at or above a level, appended."""
+    from ..operators import metrics as m
+
+    m.structured_log(results, least).select("line").write.mode("append").text(path)
+
+
 def overwrite_rules(rules: DataFrame, path: str, kind: str = "parquet") -> None:
     """Replaces a rule table that rows may be derived from: written beside it, then read back over it."""
     staged = path.rstrip("/") + ".staged"
