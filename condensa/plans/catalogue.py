@@ -548,7 +548,16 @@ def overlap_groups_best(spark, sf_dir):
     return mt.best_of_groups(mt.find(docs(spark, sf_dir), rl.starter_rules(spark))).select("doc_id", "group", "id", "position")
 
 
-@query()
+def s_resolved(source: str = "m") -> str:
+    """Rows (doc_id, text, t): of each document its matches after the greedy resolution, as a list in order of position."""
+    return f"""(SELECT doc_id, any_value(text) AS text, list_reduce(list_transform(list({{'p': position, 'z': size, 'r': priority, 'i': id, 'c': confidence, 's': compressed, 'u': success_rate}} ORDER BY position, priority DESC, id), lambda x: [x]),
+      lambda a, x: CASE WHEN a[-1].p + a[-1].z <= x[1].p THEN a || x WHEN x[1].r > a[-1].r * 1.2e0 OR x[1].c > a[-1].c + 0.2e0 THEN a[:-2] || x ELSE a END) AS t FROM {source} GROUP BY doc_id)"""
+
+
+S_SPLICED = "array_to_string(list_transform(t, lambda x, i: substr(text, CASE WHEN i = 1 THEN 0 ELSE t[i - 1].p + t[i - 1].z END + 1, x.p - CASE WHEN i = 1 THEN 0 ELSE t[i - 1].p + t[i - 1].z END) || x.s), '') || substr(text, t[-1].p + t[-1].z + 1)"
+
+
+@query(f"WITH {S_MATCHES}, r AS {s_resolved()}, u AS (SELECT doc_id, unnest(t) AS x FROM r) SELECT doc_id, x.i AS id, x.p AS position, x.z::INT AS size FROM u")
 def resolved_matches(spark, sf_dir):
     return mt.resolved(docs(spark, sf_dir), rl.starter_rules(spark)).select("doc_id", "id", "position", "size")
 
@@ -561,6 +570,15 @@ def pairwise_winners(spark, sf_dir):
     return mt.pairwise_elimination(mt.find(docs(spark, sf_dir), rl.starter_rules(spark))).select("doc_id", "id", "position")
 
 
+@query(f"WITH {S_MATCHES}, r AS {s_resolved()} SELECT d.doc_id, md5(coalesce({S_SPLICED.replace('text', 'r.text')}, d.text)) AS rewritten FROM documents d LEFT JOIN r USING (doc_id)")
+def rule_rewrite(spark, sf_dir):
+    """Every text with its resolved matches applied, by a fold over the collected matches."""
+    d, rules = docs(spark, sf_dir).select("doc_id", "text"), rl.starter_rules(spark)
+    found = mt.as_array(mt.resolved(d, rules))
+    by_place = F.array_sort("matches", lambda a, b: a["position"] - b["position"])
+    return d.join(found, "doc_id", "left").select("doc_id", F.md5(F.when(F.col("matches").isNull(), F.col("text")).otherwise(mt.splice(F.col("text"), by_place))).alias("rewritten"))
+
+
 # --- engines --------------------------------------------------------------------------------------
 
 
