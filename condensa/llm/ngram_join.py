@@ -83,20 +83,20 @@ def sketch_bits(docs: DataFrame) -> int:
 
 
 def first_pass(docs: DataFrame, bits: int) -> DataFrame:
-    """Rows of two kinds: a document's id, digest, set size and node; and a segment of the task's counts of n-grams."""
+    """Rows of two kinds: a document's id, digest, set size, node and parity bitmap; and a segment of the task's counts of n-grams."""
 
     def run(batches):
         counts = np.zeros(1 << bits, np.uint32)
-        names = ["id", "digest", "n", "node", "segment", "counts"]
+        names = ["id", "digest", "n", "node", "sign", "segment", "counts"]
         kind = pa.int64()
         for b in batches:
             kind = b.schema.types[0]
-            size, nodes = [0] * b.num_rows, [None] * b.num_rows
+            size, nodes, signs = [0] * b.num_rows, [None] * b.num_rows, [None] * b.num_rows
             held, total = [], 0
             for i, s in _sets(b):
                 size[i] = len(s)
                 if len(s):
-                    nodes[i] = _node(s)
+                    nodes[i], signs[i] = _node(s), sign(s)
                     held.append(s >> np.uint64(64 - bits))
                     total += len(s)
                 if total > 1 << 19:
@@ -105,13 +105,13 @@ def first_pass(docs: DataFrame, bits: int) -> DataFrame:
             if held:
                 counts += np.bincount(np.concatenate(held).astype(np.int64), minlength=len(counts)).astype(np.uint32)
             n = b.num_rows
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(size, pa.int64()), pa.array(nodes, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(size, pa.int64()), pa.array(nodes, pa.int64()), pa.array(signs, pa.list_(pa.int64())), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=names)
         parts = [(k, counts[k * SKETCH_SEGMENT : (k + 1) * SKETCH_SEGMENT]) for k in range(len(counts) // SKETCH_SEGMENT)]
         parts = [(k, zlib.compress(x.tobytes(), 1)) for k, x in parts if x.any()]
         n = len(parts)
-        yield pa.RecordBatch.from_arrays([pa.nulls(n, kind), pa.nulls(n, pa.binary()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array([k for k, _ in parts], pa.int32()), pa.array([x for _, x in parts], pa.binary())], names=names)
+        yield pa.RecordBatch.from_arrays([pa.nulls(n, kind), pa.nulls(n, pa.binary()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.list_(pa.int64())), pa.array([k for k, _ in parts], pa.int32()), pa.array([x for _, x in parts], pa.binary())], names=names)
 
-    return docs.select("id", "text", "digest").mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, digest binary, n long, node long, segment int, counts binary")
+    return docs.select("id", "text", "digest").mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, digest binary, n long, node long, sign array<long>, segment int, counts binary")
 
 
 def sketch(parts: DataFrame, bits: int) -> tuple[bytes, list[int], int]:
@@ -221,22 +221,22 @@ def plausible(scratch: Scratch, index: DataFrame) -> DataFrame:
     rows = index.withColumn("class", size_class)
     classes = rows.groupBy("token", "class").agg(F.max(F.col("n") - F.col("pos")).alias("room"), F.min("n").alias("least"), F.count("*").alias("rows"))
     # sizes up to 2 ** 63 make under 200 classes
-    summed = scratch.table(classes.groupBy("token").agg(F.collect_list(F.struct("class", "room", "least", "rows")).alias("classes"), F.sum("rows").alias("rows")), "classes")
-    hot = hot_tokens(scratch, summed, "hot-shared")
+    summed = classes.groupBy("token").agg(F.collect_list(F.struct("class", "room", "least", "rows")).alias("classes"))
+    hot = hot_tokens(scratch, index.groupBy("token").agg(F.count("*").alias("rows")), "hot-shared")
 
     def ok(c: Column) -> Column:
         least = needed(F.col("n"), F.greatest(c["least"], F.ceil(F.col("n") * PERCENT / 100)))
         near = (F.abs(c["class"] - F.col("class")) <= 1) & ((c["class"] != F.col("class")) | (c["rows"] > 1))
         return near & (F.col("n") - F.col("pos") >= least) & (c["room"] >= least)
 
-    return with_bucket(rows, summed.drop("rows"), hot).where(F.exists("classes", ok)).select("token", "node", "n", "pos")
+    return with_bucket(rows, summed, hot).where(F.exists("classes", ok)).select("token", "node", "n", "pos")
 
 
 def hot_tokens(scratch: Scratch, sizes: DataFrame, name: str) -> DataFrame | None:
     """Of (token, rows) the buckets that are dealt into parts, with their number of parts; None if there are none."""
-    total = sizes.agg(F.sum("rows")).first()[0] or 0
-    most = max(PART_ROWS, total // MAX_HOT)  # so many rows at least, so no more than MAX_HOT buckets
-    if not sizes.where(F.col("rows") > most).limit(1).count():
+    total, largest = sizes.agg(F.sum("rows"), F.max("rows")).first()
+    most = max(PART_ROWS, (total or 0) // MAX_HOT)  # so many rows at least, so no more than MAX_HOT buckets
+    if (largest or 0) <= most:
         return None
     return scratch.table(sizes.where(F.col("rows") > most).select("token", F.ceil(F.col("rows") / most).cast("int").alias("parts")), name)
 
@@ -252,7 +252,7 @@ def with_bucket(rows: DataFrame, per_token: DataFrame, hot: DataFrame | None) ->
 
 
 def segments(spark: SparkSession, docs: DataFrame, level: bytes, pivots: list[int], bits: int, wanted: bytes) -> DataFrame:
-    """(id, node, fragment, tokens) of the documents whose id may be wanted; a fragment of -1 has the set's parity bitmap."""
+    """(id, node, fragment, tokens) of the documents whose id may be wanted."""
     shared = spark.sparkContext.broadcast((level, wanted))
     kind = docs.schema["id"].dataType.simpleString()
 
@@ -270,7 +270,7 @@ def segments(spark: SparkSession, docs: DataFrame, level: bytes, pivots: list[in
                     continue
                 own = ordered(s, magnitude)
                 cuts = np.searchsorted(own, pivots[1:])
-                for k, x in [(-1, sign(s)), *enumerate(np.split(own, cuts))]:
+                for k, x in enumerate(np.split(own, cuts)):
                     if len(x):
                         ids.append(b.column(0)[i].as_py())
                         nodes.append(_node(s))
@@ -365,7 +365,10 @@ def _rest(scratch: Scratch, index: DataFrame, labels: DataFrame, hot: DataFrame
     rows = _labelled(index, labels)
     groups = rows.groupBy("token", "label").agg(F.count("*").alias("rows"))
     largest = groups.groupBy("token").agg(F.max_by("label", F.struct("rows", "label")).alias("largest"), F.count("*").alias("groups")).where("groups > 1").select("token", "largest")
-    apart_rows = scratch.table(with_bucket(rows, largest, hot).join(signs, "node"), "apart")
+    met = scratch.table(with_bucket(rows, largest, hot), "met")
+    # equal sets have equal bitmaps: one stands for a node
+    known = signs.join(met.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("sign").alias("sign"))
+    apart_rows = met.join(known, "node")
     small = apart_rows.where(F.col("label") != F.col("largest")).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))
     every = apart_rows.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1)))
     x, y = small.alias("x"), every.alias("y")
@@ -391,6 +394,7 @@ def _grouped(scratch: Scratch, slim: DataFrame) -> tuple[DataFrame, DataFrame]:
     bits_ = sketch_bits(slim)
     first = scratch.table(first_pass(slim, bits_), "first")
     sized = scratch.table(first.where("segment is null").select("id", "digest", "n", "node"), "sized")
+    signs = scratch.table(first.where("node is not null").select("node", "sign"), "signs")
     level, pivots, most = sketch(first.where("segment is not null"), bits_)
     scratch.drop("first")
     shared = scratch.table(shared_tokens(index_rows(spark, slim, level), most), "shared")
@@ -408,8 +412,6 @@ def _grouped(scratch: Scratch, slim: DataFrame) -> tuple[DataFrame, DataFrame]:
         # no id tells rows without one apart: of those of a node one stays
         one = parts.where("id is null").join(wanted.where("id is null").select("node"), "node", "left_semi").select("id", "node", "fragment", "tokens").dropDuplicates(["node", "fragment"])
         parts = parts.where("id is not null").unionByName(scratch.table(one, "segments-null"))
-    signs = parts.where("fragment = -1").select("node", F.col("tokens").alias("sign")).dropDuplicates(["node"])
-    parts = parts.where("fragment >= 0")
     index = index.withColumn("parts", F.lit(1)) if hot is None else index.join(F.broadcast(hot), "token", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     labels = links = tried = None
     for k in range(ROUNDS + 1):
