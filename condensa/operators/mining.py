@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import lexicons as lx
-from ..functions.text import ltoks, ngrams
+from ..functions.profile import seen_again
+from ..functions.text import let, ltoks, ngram_hashes, ngrams
 
 
 def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -17,13 +18,10 @@ def top_words(docs: DataFrame, k: int = 10) -> DataFrame:
     return word_counts(docs).orderBy(F.desc("n"), "word").limit(k)
 
 
-def document_ngrams(docs: DataFrame, n: int, text: str = "text") -> DataFrame:
-    return docs.select("doc_id", F.explode(ngrams(ltoks(text), n)).alias("gram")).groupBy("doc_id", "gram").agg(F.count("*").alias("n"))
-
-
 def repeated(docs: DataFrame, n: int = 3) -> DataFrame:
-    """Per document the extra occurrences of its n-grams."""
-    return document_ngrams(docs, n).groupBy("doc_id").agg(F.sum(F.col("n") - 1).alias("repeats"), F.count_if(F.col("n") > 1).alias("repeated_grams"))
+    """Per document (of n words or more) the extra occurrences of its n-grams, and how many come again; nothing is shuffled."""
+    grams = docs.select("doc_id", ngram_hashes(ltoks("text"), n).alias("g")).where(F.size("g") > 0)
+    return grams.select("doc_id", (F.size("g") - F.size(F.array_distinct("g"))).cast("long").alias("repeats"), seen_again(F.col("g")).cast("long").alias("repeated_grams"))
 
 
 def boilerplate(docs: DataFrame) -> DataFrame:
@@ -44,10 +42,10 @@ def key_phrases(docs: DataFrame, k: int = 10, group: str = "lang") -> DataFrame:
 
 def learn_rules(docs: DataFrame, least: int = 3, sizes=(2, 3)) -> DataFrame:
     """Phrases worth a rule: occurrences, documents, a short form of initials, and characters saved."""
-    out = None
-    for n in sizes:
-        g = docs.select("doc_id", F.explode(ngrams(ltoks("text"), n)).alias("original")).groupBy("doc_id", "original").agg(F.count("*").alias("n"))
-        out = g if out is None else out.unionByName(g)
-    found = out.groupBy("original").agg(F.sum("n").alias("frequency"), F.count("*").alias("documents")).where(F.col("frequency") >= least)
+    grams = F.sort_array(F.concat(*[ngrams(F.col("words"), n) for n in sizes]))
+    # in sorted order a document's first occurrence of a phrase differs from the one before it: one grouping counts both
+    marked = let(grams, lambda g: F.transform(g, lambda x, i: F.struct(x.alias("original"), ((i == 0) | (x != F.get(g, i - 1))).alias("first"))))
+    rows = docs.select(ltoks("text").alias("words")).select(F.inline(marked))
+    found = rows.groupBy("original").agg(F.count("*").alias("frequency"), F.count_if("first").alias("documents")).where(F.col("frequency") >= least)
     initials = F.array_join(F.transform(F.split("original", " "), lambda w: F.left(w, F.lit(1))), "")
     return found.withColumn("compressed", initials).withColumn("chars_saved", F.col("frequency") * (F.length("original") - F.length("compressed"))).where("chars_saved > 0")

@@ -489,9 +489,8 @@ _S_KEPT = lambda n, m, least: f"CASE WHEN {m} > {least} THEN least(1e0, {s_share
 _S_ENT = rf"'\b([A-Z][a-z]+|[0-9]+)\b', 1"
 
 
-@query(
-    S_EXTREME
-    + rf""", v AS MATERIALIZED (SELECT doc_id, text, c, {s_toks('lower(text)')} AS a, {s_toks('lower(c)')} AS b, {s_toks('c')} AS tc, {s_sentences('text')} AS so, {s_sentences('c')} AS sc, CASE WHEN length(text) = 0 THEN 1e0 ELSE length(c)::DOUBLE / length(text) END AS r,
+#: CTEs that end in p: (doc_id and the composite score's parts) of rows (doc_id, text, c) named out
+S_QUALITY = rf"""v AS MATERIALIZED (SELECT doc_id, text, c, {s_toks('lower(text)')} AS a, {s_toks('lower(c)')} AS b, {s_toks('c')} AS tc, {s_sentences('text')} AS so, {s_sentences('c')} AS sc, CASE WHEN length(text) = 0 THEN 1e0 ELSE length(c)::DOUBLE / length(text) END AS r,
     list_distinct(regexp_extract_all({s_pad('text')}, {_S_ENT})) AS eo, list_distinct(regexp_extract_all({s_pad('c')}, {_S_ENT})) AS ec FROM out),
     v2 AS MATERIALIZED (SELECT *, {_s_concepts('a')} AS ko, {_s_concepts('b')} AS kc, lower(c) AS lc FROM v),
     w AS (SELECT *, CASE WHEN len(list_distinct(ko)) = 0 THEN 1e0 ELSE len(list_intersect(list_distinct(ko), list_distinct(kc)))::DOUBLE / len(list_distinct(ko)) END AS info FROM v2),
@@ -503,9 +502,11 @@ _S_ENT = rf"'\b([A-Z][a-z]+|[0-9]+)\b', 1"
     0.5e0 * {_S_KEPT('len(sc)', 'len(so)', 0)} + 0.3e0 * {_S_KEPT(_S_PARTS('c'), _S_PARTS('text'), 1)} + 0.2e0 * {_S_KEPT(s_count('c', '(?m)^ *[-*•] '), s_count('text', '(?m)^ *[-*•] '), 0)} AS structure,
     CASE WHEN len(tc) = 0 THEN 0e0 WHEN len(tc) < 2 THEN 0.5e0 ELSE greatest(0e0, least(1e0, 0.8e0 - CASE WHEN len(list_filter(tc, lambda w: regexp_matches(w, '^\p{{L}}$'))) > len(tc) * 0.3e0 THEN 0.3e0 ELSE 0e0 END - least(0.2e0, 0.05e0 * {s_count('c', r'[\p{L}\p{N}_][^\p{L}\p{N}_\s][\p{L}\p{N}_]')})
       - CASE WHEN {s_share('list_sum(list_transform(tc, lambda w: length(w)))', 'len(tc)')} < 2 THEN 0.2e0 WHEN {s_share('list_sum(list_transform(tc, lambda w: length(w)))', 'len(tc)')} > 12 THEN 0.1e0 ELSE 0e0 END)) END AS coherence,
-    CASE WHEN len(eo) = 0 THEN 1e0 ELSE len(list_intersect(eo, ec))::DOUBLE / len(eo) END AS entities FROM w)
-    SELECT doc_id, {", ".join(f"round({k}, 6) AS {k}" for k in q.WEIGHTS)}, round(10 * ({" + ".join(f"{w}::DOUBLE * {k}" for k, w in q.WEIGHTS.items())}), 5) AS composite FROM p"""
-)
+    CASE WHEN len(eo) = 0 THEN 1e0 ELSE len(list_intersect(eo, ec))::DOUBLE / len(eo) END AS entities FROM w)"""
+S_COMPOSITE = "10 * (" + " + ".join(f"{w}::DOUBLE * {k}" for k, w in q.WEIGHTS.items()) + ")"
+
+
+@query(S_EXTREME + f", {S_QUALITY} SELECT doc_id, {', '.join(f'round({k}, 6) AS {k}' for k in q.WEIGHTS)}, round({S_COMPOSITE}, 5) AS composite FROM p")
 def quality_components(spark, sf_dir):
     out = docs(spark, sf_dir).select("doc_id", "text", en.plain_extreme("text").alias("c"))
     scored = en.scored(out, "c")
