@@ -29,7 +29,8 @@ SIZES = range(2, 5)
 BITS = 18
 DIMENSIONS = 12
 LEARN = {1: 2000, 0: 2000}
-EPOCHS, RATE, DECAY = 12, 4.0, 1e-5
+#: steps of one text each: every text comes at least LEAST_EPOCHS times, a small sample as often as fills STEPS
+STEPS, LEAST_EPOCHS, RATE, DECAY = 24_000, 6, 4.0, 1e-5
 SEED = 7
 
 
@@ -71,8 +72,9 @@ def train(rows: list[tuple[labelled.Features, int]], counts: dict[int, int]) ->
     vectors = rng.uniform(-1, 1, (1 << BITS, DIMENSIONS)).astype(np.float32) / DIMENSIONS
     out_w, out_b = np.zeros((2, DIMENSIONS), np.float32), np.zeros(2)
     docs = [(ids, (times / max(times.sum(), 1)).astype(np.float32), y) for (ids, times), y in rows]
-    steps, step = EPOCHS * len(docs), 0
-    for _ in range(EPOCHS):
+    epochs = max(LEAST_EPOCHS, -(-STEPS // len(docs)))
+    steps, step = epochs * len(docs), 0
+    for _ in range(epochs):
         for k in rng.permutation(len(docs)):
             ids, share, y = docs[k]
             rate = RATE * (1 - step / steps) * of_class[y]

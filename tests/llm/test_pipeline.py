@@ -5,7 +5,7 @@ import random
 import corpus_pipeline
 from test_operators import LOWER, groups
 
-from condensa.llm import mixing, sentencepiece_wfst
+from condensa.llm import mixing, pipeline_query, sentencepiece_wfst
 
 
 def make(spark, path):
@@ -59,6 +59,11 @@ def test_stages(spark, tmp_path):
         machine = sentencepiece_wfst.compiled(f.read())
     assert sorted(r["doc_id"] for r in pieces) == seen[4]
     assert all(machine.decode(r["piece_ids"]) == (r["text"] or "") and r["n_pieces"] == len(r["piece_ids"]) for r in pieces)
+    # the whole run gives what the stages give one after another, and so does the query
+    key = lambda r: (r["doc_id"], r["text"] or "", tuple(r["piece_ids"]), r["n_pieces"])
+    want = sorted(map(key, pieces))
+    assert sorted(map(key, corpus_pipeline.run(spark, str(tmp_path)).collect())) == want
+    assert sorted(map(key, pipeline_query.QUERIES["pipeline"](spark, str(tmp_path)).collect())) == want
 
 
 def test_empty(spark, tmp_path):
