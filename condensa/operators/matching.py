@@ -214,14 +214,23 @@ def best_of_groups(matches: DataFrame, strategy: str = "hybrid") -> DataFrame:
 BIN = 64
 
 
-def pairwise_elimination(matches: DataFrame) -> DataFrame:
-    """Matches that no overlapping better one (by priority, then length, then id) beats."""
+#: what makes a match the better one, by strategy; ties go by priority, length, id and place
+BETTER = {
+    "priority": lambda m: [F.col(f"{m}.priority").cast("double")],
+    "length": lambda m: [F.col(f"{m}.size").cast("double")],
+    "confidence": lambda m: [F.round(f"{m}.confidence", 9)],
+    "compression": lambda m: [(F.length(f"{m}.original_text") - F.length(f"{m}.compressed_text")).cast("double")],
+}
+
+
+def pairwise_elimination(matches: DataFrame, strategy: str = "priority") -> DataFrame:
+    """Matches that no overlapping better one beats."""
     bins = F.sequence(F.floor(F.col("position") / BIN), F.floor((F.col("position") + F.col("size") - 1) / BIN))
     binned = matches.withColumn("_bin", F.explode(bins))
     m, o = binned.alias("m"), binned.alias("o")
     over = (F.col("m.doc_id") == F.col("o.doc_id")) & (F.col("m._bin") == F.col("o._bin")) & (F.col("o.position") < F.col("m.position") + F.col("m.size")) & (F.col("m.position") < F.col("o.position") + F.col("o.size"))
-    better = F.struct(F.col("o.priority"), F.col("o.size"), -F.col("o.id"), -F.col("o.position")) > F.struct(F.col("m.priority"), F.col("m.size"), -F.col("m.id"), -F.col("m.position"))
-    losers = m.join(o, over & better, "left_semi").select("doc_id", "id", "position").distinct()
+    rank = lambda x: F.struct(*BETTER[strategy](x), F.col(f"{x}.priority"), F.col(f"{x}.size"), -F.col(f"{x}.id"), -F.col(f"{x}.position"))
+    losers = m.join(o, over & (rank("o") > rank("m")), "left_semi").select("doc_id", "id", "position").distinct()
     return matches.join(losers, ["doc_id", "id", "position"], "left_anti")
 
 

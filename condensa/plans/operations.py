@@ -22,8 +22,8 @@ from ..operators import metrics as me
 from ..operators import rules as rl
 from ..operators import vectors as ve
 from .catalogue import (
-    BASE, RULE_VALUES, S_COMPLEXITY, S_ANALYZER, S_DENSITY, S_ESTIMATE, S_EXTREME, S_FORMAL, S_MATCHES, S_METRICS, S_PHRASE_RED, S_READING, S_SCORES, S_VERBOSE, S_WORDS,
-    _rounded, _s_content, docs, metrics_table, r6, s_any, s_avg_words, s_count, s_fold, s_grams, s_in, s_jaccard, s_list, s_nocc, s_nsub, s_pad, s_sentences, s_share, s_sum, s_toks, s_trim, s_unpad, table,
+    BASE, RULE_VALUES, S_COMPLEXITY, S_ANALYZER, S_DENSITY, S_ESTIMATE, S_EXTREME, S_FORMAL, S_MATCHES, S_METRICS, S_PHRASE_RED, S_POTENTIAL, S_READING, S_SCORES, S_SENSITIVITY, S_SPLICED, S_VERBOSE, S_WORDS,
+    _rounded, _s_content, docs, metrics_table, r6, s_any, s_avg_words, s_count, s_fold, s_grams, s_in, s_jaccard, s_list, s_nocc, s_nsub, s_pad, s_resolved, s_sentences, s_share, s_sum, s_toks, s_trim, s_unpad, table,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -172,6 +172,31 @@ def text_validity(spark, sf_dir):
     return accepted.select("doc_id", F.lit("accepted").alias("verdict")).unionByName(rejected.select("doc_id", F.col("reason").alias("verdict")))
 
 
+_S_SCORE = "CASE strategy WHEN 'length' THEN %s.size::DOUBLE WHEN 'confidence' THEN round(%s.confidence, 9) ELSE (length(%s.original_text) - length(%s.compressed))::DOUBLE END"
+_S_RANK = lambda m: f"row({_S_SCORE.replace('%s', m)}, {m}.priority, {m}.size, -{m}.id, -{m}.position)"
+
+
+@query(
+    f"""WITH {S_MATCHES} SELECT strategy, x.doc_id, x.id, x.position FROM m x, (VALUES ('length'), ('confidence'), ('compression')) t(strategy)
+    WHERE NOT EXISTS (SELECT 1 FROM m o WHERE o.doc_id = x.doc_id AND o.position < x.position + x.size AND x.position < o.position + o.size AND {_S_RANK('o')} > {_S_RANK('x')})"""
+)
+def pairwise_strategies(spark, sf_dir):
+    found = mt.find(docs(spark, sf_dir), rl.starter_rules(spark))
+    return union(mt.pairwise_elimination(found, s).select(F.lit(s).alias("strategy"), "doc_id", "id", "position") for s in ("length", "confidence", "compression"))
+
+
+@query(
+    f"""WITH {S_MATCHES}, r AS {s_resolved()}, v AS (SELECT doc_id, list_avg(list_transform(t, lambda x: x.c)) AS sure, length({S_SPLICED})::DOUBLE / length(text) AS r FROM r)
+    SELECT doc_id, round(10 * (0.4e0 * (1 - abs(r - 0.6e0)) + 0.3e0 * sure + 0.2e0 * CASE WHEN r > 0.2e0 THEN 1e0 ELSE 5 * r END + 0.1e0 * 0.5e0), 6) AS quality FROM v"""
+)
+def final_quality(spark, sf_dir):
+    """The final score of texts with their resolved matches applied: mean confidence, ratio, and a time score of its least."""
+    d = docs(spark, sf_dir).select("doc_id", "text")
+    m = mt.resolved(d, rl.starter_rules(spark)).groupBy("doc_id").agg(F.avg("confidence").alias("sure"), F.sum(F.length("compressed_text") - F.length("original_text")).alias("more"))
+    r = (F.length("text") + F.col("more")) / F.length("text")
+    return d.join(m, "doc_id").select("doc_id", r6(q.final(r, 0.6, F.col("sure"), time_score=0.0)).alias("quality"))
+
+
 # --- tokens and formats ----------------------------------------------------------------------
 
 _S_WE = lambda x: f"CASE WHEN len({s_toks(x)}) = 0 THEN 0 ELSE greatest(1, floor(len({s_toks(x)}) * 1.3e0))::BIGINT END"
@@ -481,6 +506,19 @@ def recommended_strategy(spark, sf_dir):
     return out.select("doc_id", "s.level", "s.engine", F.array_join("s.reasons", ", ").alias("reasons"))
 
 
+@query(
+    BASE
+    + f""", s AS (SELECT doc_id, text, {S_SENSITIVITY} AS sens, {S_POTENTIAL} AS pot, {S_READING} AS k, {", ".join(f"{v} AS {d}" for d, v in S_SCORES.items())} FROM d), p AS (SELECT *, {_S_DOMAIN} AS domain FROM s)
+    SELECT doc_id, CASE WHEN sens > 0.7e0 THEN 'semantic' WHEN pot > 0.8e0 AND sens < 0.4e0 THEN 'extreme' ELSE 'semantic' END AS light, CASE WHEN sens > 0.7e0 THEN 'semantic' ELSE 'extreme' END AS aggressive,
+    round(greatest(0.5e0, least(0.95e0, (0.7e0 + CASE WHEN k > 0.8e0 THEN 0.1e0 WHEN k < 0.3e0 THEN -0.1e0 ELSE 0e0 END) * CASE domain WHEN 'finance' THEN 0.95e0 WHEN 'support' THEN 0.9e0 WHEN 'logistics' THEN 0.85e0 ELSE 1e0 END + CASE WHEN length(text) > 2000 THEN -0.05e0 WHEN length(text) < 200 THEN 0.1e0 ELSE 0e0 END)), 6) AS ratio FROM p"""
+)
+def strategies_by_level(spark, sf_dir):
+    """The strategy of each text on the light and the aggressive level, and what its domain lets a rewrite leave."""
+    p = en.profiled(docs(spark, sf_dir))
+    s, c = F.col("quality_sensitivity"), F.col("compression_potential")
+    return p.select("doc_id", pr.strategy(s, c, F.lit("light")).alias("light"), pr.strategy(s, c, F.lit("aggressive")).alias("aggressive"), r6(pr.estimated_ratio("text", pr.domain_of("text"))).alias("ratio"))
+
+
 # --- quality ---------------------------------------------------------------------------------------------
 
 _S_SENTENCES = f"CASE WHEN len(so) = 0 THEN 1e0 ELSE greatest(0.2e0, least(1e0, (len(sc)::DOUBLE / len(so) + CASE WHEN len(sc) > 0 AND {s_avg_words('so')} > 0 THEN {s_avg_words('sc')} / {s_avg_words('so')} ELSE 1e0 END) / 2)) END"

@@ -199,3 +199,31 @@ def test_compress_keeps_every_row(spark, tmp_path):
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     made = {r["doc_id"]: r for r in catalogue.QUERIES["extreme_compress"](spark, str(tmp_path)).collect()}
     assert sorted(made) == [1, 2, 3, 4, 5] and made[2]["engine_used"] == "extreme" and len(made[2]["compressed_text"]) < len(long)
+
+
+def test_model_embeddings(spark):
+    """A model is loaded once a task and sees every text once, nulls as empty texts."""
+
+    def load():
+        return lambda texts: [[float(len(t)), 1.0] for t in texts]
+
+    df = spark.createDataFrame([(1, "abc"), (2, "abc"), (3, None), (4, "")], "doc_id long, text string")
+    out = {r["doc_id"]: list(r["embedding"]) for r in ve.embed(df, load).collect()}
+    assert out == {1: [3.0, 1.0], 2: [3.0, 1.0], 3: [0.0, 1.0], 4: [0.0, 1.0]}
+
+
+def test_timers(spark):
+    from condensa.timing import CacheCounts, Timers
+
+    ticks = iter([0.0, 1.0, 1.0, 4.0])
+    timers = Timers(clock=lambda: next(ticks))
+    with timers.stage("scan"):
+        pass
+    with timers.stage("rewrite"):
+        pass
+    rows = {r["stage"]: r for r in timers.bottlenecks(spark).collect()}
+    assert rows["rewrite"]["share"] == 0.75 and rows["rewrite"]["rank"] == 1 and rows["scan"]["seconds"] == 1.0
+    counts = CacheCounts()
+    for hit in (True, True, False):
+        counts.record(hit)
+    assert counts.stats() == {"hits": 2, "misses": 1, "hit_rate": pytest.approx(2 / 3)}
