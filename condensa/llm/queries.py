@@ -49,6 +49,18 @@ def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_groups(spark, _table(spark, sf_dir, "documents"))
 
 
+#: all pairs that share a shingle, and who is reached over links; for tables that the SQL engine holds
+SQL_OP8 = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')] ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) END) AS sh FROM w),
+u AS (SELECT doc_id, len(sh) AS n, hash(unnest(sh)) AS g FROM s),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common, any_value(a.n) AS na, any_value(b.n) AS nb FROM u a JOIN u b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+k AS (SELECT a, b FROM c WHERE 100 * common >= 80 * (na + nb - common)), l AS (SELECT a, b FROM k UNION ALL SELECT b, a FROM k),
+r AS (SELECT doc_id, doc_id AS root FROM s UNION SELECT l.b, r.root FROM r JOIN l ON l.a = r.doc_id)
+SELECT r.doc_id, any_value(len(s.sh))::BIGINT AS n_shingles, min(root) AS component_id FROM r JOIN s USING (doc_id) GROUP BY r.doc_id
+"""
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = exact_dedup.duplicate_groups(spark, _table(spark, sf_dir, "documents"))
     return groups.withColumn("text_sha256", F.lower(F.hex("text_sha256")))
@@ -131,4 +143,4 @@ FROM e GROUP BY conv_id
 """
 
 QUERIES = {"op1_mixing": op1_mixing, "op2_secret_scan": op2_secret_scan, "op3_warc": op3_warc, "op4_quality_classifier": op4_quality_classifier, "op5_sentencepiece": op5_sentencepiece, "op6_toxicity": op6_toxicity, "op7_media": op7_media, "op8_ngram_join": op8_ngram_join, "op9_exact_dedup": op9_exact_dedup, "op10_chat_formatting": op10_chat_formatting}
-ORACLE_SQL = {"op1_mixing": SQL_OP1, "op3_warc": SQL_OP3, "op9_exact_dedup": SQL_OP9, "op10_chat_formatting": SQL_OP10}
+ORACLE_SQL = {"op1_mixing": SQL_OP1, "op3_warc": SQL_OP3, "op8_ngram_join": SQL_OP8, "op9_exact_dedup": SQL_OP9, "op10_chat_formatting": SQL_OP10}
