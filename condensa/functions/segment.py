@@ -9,30 +9,40 @@ from .. import lexicons as lx
 from .text import LEFT, RIGHT, any_sub, any_sub_token, col, let, ltoks, n_sub, ngrams, trimmed
 
 SEGMENT = "array<struct<idx:int,text:string,type:string,compressible:boolean>>"
-STATE = f"struct<held:array<string>,code:boolean,out:{SEGMENT}>"
+#: a line that opens or closes code, without its line end
+FENCE = r"(?dm)^ *```[^\n]*"
+#: the line end of a line and the empty lines after it
+EMPTY_LINES = r"\n(?:[ \t\x0B\f\r]*\n)+"
 
 
 def segments(x, fence_mode: str = "correct") -> Column:
     """Blocks between empty lines and fences, in order, as code or text.
 
-    ``correct`` labels what stands between fences as code; ``reference`` flips the
-    label at a fence before the block above it is closed.
+    The text is split at fences, so that every second part is code, and the other
+    parts at empty lines. ``correct`` labels what stands between fences as code;
+    ``reference`` flips the label at a fence before the block above it is closed, so
+    a block that reaches a fence gets the other label.
     """
-    flush = lambda s, code: F.when(
-        F.size(s["held"]) > 0,
-        F.concat(s["out"], F.array(F.struct(F.size(s["out"]).alias("idx"), F.array_join(s["held"], "\n").alias("text"), F.when(code, "code").otherwise("text").alias("type"), (~code).alias("compressible")))),
-    ).otherwise(s["out"])
-    state = lambda held, code, out: F.struct(held.alias("held"), code.alias("code"), out.alias("out"))
-    none = F.array().cast("array<string>")
-
-    def step(s, line):
-        fence, empty = F.startswith(F.ltrim(line), F.lit("```")), trimmed(line) == ""
-        label = s["code"] if fence_mode == "correct" else F.when(fence, ~s["code"]).otherwise(s["code"])
-        closed = state(none, F.when(fence, ~s["code"]).otherwise(s["code"]), flush(s, label))
-        return F.when(fence | (empty & ~s["code"]), closed).otherwise(state(F.concat(s["held"], F.array(line)), s["code"], s["out"])).cast(STATE)
-
-    start = F.struct(none.alias("held"), F.lit(False).alias("code"), F.array().cast(SEGMENT).alias("out")).cast(STATE)
-    return F.aggregate(F.split(F.coalesce(col(x), F.lit("")), "\n"), start, step, lambda s: flush(s, s["code"]))
+    block = lambda text, code: F.struct(text.alias("text"), code.alias("code"))
+    none = F.array().cast("array<struct<text:string,code:boolean>>")
+    flipped = F.lit(fence_mode == "reference")
+
+    def part(n: Column):
+        def of(p: Column, i: Column) -> Column:
+            last = i == n - 1
+            # without the end of the fence's own line, and of the line before the next fence
+            body = F.when(i == 0, p).otherwise(p.substr(F.lit(2), F.length(p)))
+            inner = F.when(last, body).otherwise(F.regexp_replace(body, r"\n\z", ""))
+            code = F.when(F.when(last, p == "").otherwise(body == ""), none).otherwise(F.array(block(inner, last | ~flipped)))
+            runs = F.filter(F.transform(F.split(F.concat(F.lit("\n"), inner, F.lit("\n")), EMPTY_LINES, -1), lambda b: F.regexp_replace(b, r"^\n|\n\z", "")), lambda b: b != "")
+            reaches = ~last & (inner != "") & ~inner.rlike(r"(?:\A|\n)[ \t\x0B\f\r]*\z") & flipped
+            text = let(runs, lambda r: F.transform(r, lambda b, k: block(b, reaches & (k == F.size(r) - 1))))
+            return F.when(i % 2 == 1, code).otherwise(text)
+
+        return of
+
+    blocks = let(F.split(F.coalesce(col(x), F.lit("")), FENCE, -1), lambda parts: F.flatten(F.transform(parts, part(F.size(parts)))))
+    return F.transform(blocks, lambda b, k: F.struct(k.alias("idx"), b["text"].alias("text"), F.when(b["code"], "code").otherwise("text").alias("type"), (~b["code"]).alias("compressible"))).cast(SEGMENT)
 
 
 def paragraphs(x) -> Column:

@@ -270,3 +270,32 @@ def test_resolved_columns_agree(spark):
     rules = rl.starter_rules(spark)
     one = docs.select("doc_id", F.inline(mt.resolve(mt.matches_in(F.col("text"), RULES)))).select("doc_id", "id", "position")
     assert sorted(map(tuple, one.collect())) == sorted(map(tuple, mt.resolved(docs, rules).select("doc_id", "id", "position").collect()))
+
+
+def reference_segments(text):
+    """The quirk: a fence flips the label before the block above it is closed."""
+    out, held, code = [], [], False
+    for line in text.split("\n"):
+        fence = line.lstrip(" ").startswith("```")
+        if fence or (not code and not line.strip(" \t\n\x0b\f\r")):
+            now = not code if fence else code
+            if held:
+                out.append(("\n".join(held), "code" if now else "text"))
+            held, code = [], now
+        else:
+            held.append(line)
+    return out + ([("\n".join(held), "code" if code else "text")] if held else [])
+
+
+def test_segments_of_odd_texts(spark):
+    """Fences at both ends, side by side, unclosed, empty lines of blanks, carriage returns: both label modes."""
+    rng = random.Random(8)
+    lines = ["```", "```py", "  ```", "", " ", "\t", "a", " b", "c\r", "`", "x ```", "\u2028d"]
+    rows = [(i, "\n".join(rng.choice(lines) for _ in range(rng.randint(0, 9)))) for i in range(500)]
+    df = spark.createDataFrame(rows + [(-1, None)], "doc_id long, text string")
+    by = dict(rows)
+    for r in df.select("doc_id", sg.segments("text").alias("a"), sg.segments("text", "reference").alias("b")).collect():
+        t = by.get(r["doc_id"], "")
+        assert [(s["text"], s["type"] == "code") for s in r["a"]] == plain_segments(t), repr(t)
+        assert [(s["text"], s["type"]) for s in r["b"]] == reference_segments(t), repr(t)
+        assert [s["idx"] for s in r["a"]] == list(range(len(r["a"])))
