@@ -16,6 +16,8 @@ a name that no column of the table has.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -60,9 +62,10 @@ def counted(texts: list) -> list[labelled.Features]:
     return out
 
 
-def train(rows: list[tuple[labelled.Features, int]], counts: dict[int, int]) -> tuple[np.ndarray, float]:
+def train(rows: Iterable[tuple[labelled.Features, int]], counts: dict[int, int]) -> tuple[np.ndarray, float]:
     """The projected vector (logit for class 1 over class 0) of every bucket, and the bias."""
-    labels = [y for _, y in rows]
+    docs = [(ids, (times / max(times.sum(), 1)).astype(np.float32), y) for (ids, times), y in rows]
+    labels = [y for _, _, y in docs]
     learnt = {k: labels.count(k) for k in (0, 1)}
     if not all(learnt.values()):
         share = min(max(counts.get(1, 0) / max(sum(counts.values()), 1), 1e-6), 1 - 1e-6)
@@ -71,7 +74,6 @@ def train(rows: list[tuple[labelled.Features, int]], counts: dict[int, int]) ->
     rng = np.random.default_rng(SEED)
     vectors = rng.uniform(-1, 1, (1 << BITS, DIMENSIONS)).astype(np.float32) / DIMENSIONS
     out_w, out_b = np.zeros((2, DIMENSIONS), np.float32), np.zeros(2)
-    docs = [(ids, (times / max(times.sum(), 1)).astype(np.float32), y) for (ids, times), y in rows]
     epochs = max(LEAST_EPOCHS, -(-STEPS // len(docs)))
     steps, step = epochs * len(docs), 0
     for _ in range(epochs):
@@ -105,7 +107,7 @@ def scores(texts: list, logit: np.ndarray, bias: float) -> np.ndarray:
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
-    return train(*labelled.sample(docs, labels, "quality", LEARN, counted))
+    return labelled.learn(docs, labels, "quality", LEARN, counted, train)
 
 
 def add_score(spark: SparkSession, docs: DataFrame, model: tuple[np.ndarray, float], name: str, text_col: str = "text") -> DataFrame:

@@ -54,7 +54,7 @@ MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 #: results kept by a worker, in each of two generations (longer stretches are composed anew each time), and arcs of its acceptor
-CACHE_STRETCHES, CACHE_CHARS, CACHE_PAIRS = 400_000, 32, 1_000_000
+CACHE_STRETCHES, CACHE_CHARS, CACHE_PAIRS = 250_000, 32, 500_000
 BATCH_CHARS = 1_000_000
 
 
@@ -156,9 +156,11 @@ class Transducer:
     def __init__(self, model: dict):
         self.model = model
         self.texts = [p for p, _, _ in model["pieces"]]
+        #: inside the machines a blank stands for the meta blank, so that most texts take a byte for a character
+        self.keys = [p.replace(META, " ") for p in self.texts]
         self.merge_trained = model["type"] == BPE
-        self.score = {p: s for p, s, kind in model["pieces"] if kind in (NORMAL, USER)}
-        self.id = {p: i for i, (p, _, kind) in enumerate(model["pieces"]) if kind in (NORMAL, USER)}
+        self.score = {p: s for p, (_, s, kind) in zip(self.keys, model["pieces"]) if kind in (NORMAL, USER)}
+        self.id = {p: i for i, (p, (_, _, kind)) in enumerate(zip(self.keys, model["pieces"])) if kind in (NORMAL, USER)}
         self.byte = {int(p[3:5], 16): i for i, (p, _, kind) in enumerate(model["pieces"]) if kind == BYTE}
         self.unknown = next((i for i, (_, _, kind) in enumerate(model["pieces"]) if kind == UNKNOWN), 0)
         self.longest = max(map(len, self.id), default=1)
@@ -179,18 +181,18 @@ class Transducer:
 
     def _cut_points(self) -> re.Pattern | None:
         """A pattern whose matches split a normalised text where no piece spans the border."""
-        if any(META in p.lstrip(META) for p in self.id):
+        if any(" " in p.lstrip(" ") for p in self.id):
             return None
         apart = set("\n\t.,;:!?\"'()[]{}|#$%&*+=-_/\\@~^<>0123456789")
         while True:
-            odd = {c for p in self.id for x, y in zip(p, p[1:]) if (x in apart) != (y in apart) and META not in (x, y) for c in (x, y) if c in apart}
+            odd = {c for p in self.id for x, y in zip(p, p[1:]) if (x in apart) != (y in apart) and " " not in (x, y) for c in (x, y) if c in apart}
             if not odd:
                 break
             apart -= odd
         if not apart:
-            return re.compile(f"{META}*[^{META}]+|{META}+")
+            return re.compile(" *[^ ]+| +")
         some = "".join(map(re.escape, sorted(apart)))
-        return re.compile(f"{META}*(?:[^{META}{some}]+|[{some}]+)|{META}+")
+        return re.compile(f" *(?:[^ {some}]+|[{some}]+)| +")
 
     def _trie(self) -> tuple:
         """Nodes (children by character, id of the piece that ends here or -1, weight of its closing arc)."""
@@ -203,11 +205,16 @@ class Transducer:
         return root
 
     def normalise(self, text: str | None) -> str:
+        return self._normal(text).replace(" ", META)
+
+    def _normal(self, text: str | None) -> str:
+        """The normalised text with blanks for meta blanks."""
         text = self.normaliser.run(text or "")
         if self.model["squeeze"]:
             text = re.sub(" +", " ", text).strip(" ")
-        text = text.replace(" ", META)
-        return META + text if text and self.model["dummy_prefix"] else text
+        if META in text:
+            text = text.replace(META, " ")
+        return " " + text if text and self.model["dummy_prefix"] else text
 
     def merged(self, text: str) -> list[str]:
         """The pieces that merging gives: the pair with the best score first, the leftmost of equals."""
@@ -230,8 +237,8 @@ class Transducer:
             self.built = 1
             for row in self.stable:
                 row.clear()
-        b = self.texts[piece]
-        known = self.stable[last][piece] = self.merged(b) == [b] if last < 0 else self.merged(self.texts[last] + b) == [self.texts[last], b]
+        b = self.keys[piece]
+        known = self.stable[last][piece] = self.merged(b) == [b] if last < 0 else self.merged(self.keys[last] + b) == [self.keys[last], b]
         return known
 
     def fallback_arc(self, char: str) -> tuple[int, ...]:
@@ -321,7 +328,7 @@ class Transducer:
 
     def encode(self, text: str | None) -> np.ndarray:
         """The text's piece ids."""
-        normal = self.normalise(text)
+        normal = self._normal(text)
         if not normal:
             return np.zeros(0, "<i4")
         if self.cut is None:

@@ -14,6 +14,8 @@ column gets a name that no column of the table has.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -49,28 +51,27 @@ def presence(texts: list) -> list[labelled.Features]:
     return out
 
 
-def train(rows: list[tuple[labelled.Features, int]], counts: dict[int, int]) -> tuple[np.ndarray, float]:
-    """The weight of every bucket (ratio times coefficient), and the intercept."""
-    weight = np.zeros(1 << BITS, np.float32)
-    y = np.array([label for _, label in rows], float)
-    total = sum(counts.values())
+def train(rows: Iterable[tuple[labelled.Features, int]], counts: dict[int, int]) -> tuple[np.ndarray, float]:
+    """The weight of every bucket (ratio times coefficient), and the intercept. The rows are gone through twice."""
+    weight, total = np.zeros(1 << BITS, np.float32), sum(counts.values())
+    seen, labels = {k: np.zeros(1 << BITS, np.int32) for k in (0, 1)}, []
+    for (ids, _), label in rows:
+        seen[label][ids] += 1
+        labels.append(label)
+    y = np.array(labels, float)
     if not len(y) or y.min() == y.max():
         share = min(max(counts.get(1, 0) / total if total else 0.0, 1e-6), 1 - 1e-6)
         return weight, float(np.log(share / (1 - share)))
-    docs = [ids for (ids, _), _ in rows]
-    seen = {k: np.zeros(1 << BITS) for k in (0, 1)}
-    for ids, label in zip(docs, y):
-        seen[int(label)][ids] += 1
     p, q = seen[1] + SMOOTHING, seen[0] + SMOOTHING
     ratio = np.log(p / p.sum()) - np.log(q / q.sum())
     used = (seen[0] + seen[1] >= LEAST_TEXTS) & (np.abs(ratio) >= LEAST_RATIO)
     number = np.cumsum(used) - 1
-    kept = [number[ids[used[ids]]] for ids in docs]
-    row = np.repeat(np.arange(len(docs)), [len(k) for k in kept])
+    kept = [number[ids[used[ids]]].astype(np.int32) for (ids, _), _ in rows]
+    row = np.repeat(np.arange(len(kept), dtype=np.int32), [len(k) for k in kept])
     col = np.concatenate(kept)
     r = ratio[used]
     scale = r[col]
-    n, m = len(docs), len(r)
+    n, m = len(kept), len(r)
     # logistic regression by accelerated gradient steps; the rows of each class weigh as in the whole
     share = {k: counts[k] / total / max((y == k).sum(), 1) for k in (0, 1)}
     rows_weight = np.where(y == 1, share[1], share[0])
@@ -108,7 +109,7 @@ def scores(texts: list, weight: np.ndarray, intercept: float) -> np.ndarray:
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
-    return train(*labelled.sample(docs, labels, "toxic", LEARN, presence))
+    return labelled.learn(docs, labels, "toxic", LEARN, presence, train)
 
 
 def add_score(spark: SparkSession, docs: DataFrame, model: tuple[np.ndarray, float], name: str, text_col: str = "text") -> DataFrame:
