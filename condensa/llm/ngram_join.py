@@ -50,10 +50,11 @@ FRAGMENTS = 4
 ROUNDS = 2
 #: an n-gram is hot if the sketch has so many times the mean count, and at least HOT_LEAST
 HOT_TIMES, HOT_LEAST = 16, 4096
-#: a bucket of over so many rows is dealt into parts of so many; at most MAX_HOT buckets are, the limit rises with the corpus
-PART_ROWS, MAX_HOT = 4096, 100_000
+#: a bucket of over so many rows is dealt into parts of so many; at most MAX_HOT buckets are (MAX_SUMMED where each brings
+#: a summary of up to 6 KB), so the limit rises with the corpus
+PART_ROWS, MAX_HOT, MAX_SUMMED = 512, 100_000, 10_000
 #: bits of a set's parity bitmap
-SIGN_BITS = 1024
+SIGN_BITS = 512
 HASH_BITS = 58
 BATCH_CHARS = 500_000
 RESULT_ROWS = 1 << 17
@@ -222,7 +223,7 @@ def plausible(scratch: Scratch, index: DataFrame) -> DataFrame:
     classes = rows.groupBy("token", "class").agg(F.max(F.col("n") - F.col("pos")).alias("room"), F.min("n").alias("least"), F.count("*").alias("rows"))
     # sizes up to 2 ** 63 make under 200 classes
     summed = classes.groupBy("token").agg(F.collect_list(F.struct("class", "room", "least", "rows")).alias("classes"))
-    hot = hot_tokens(scratch, index.groupBy("token").agg(F.count("*").alias("rows")), "hot-shared")
+    hot = hot_tokens(scratch, index.groupBy("token").agg(F.count("*").alias("rows")), "hot-shared", MAX_SUMMED)
 
     def ok(c: Column) -> Column:
         least = needed(F.col("n"), F.greatest(c["least"], F.ceil(F.col("n") * PERCENT / 100)))
@@ -232,10 +233,10 @@ def plausible(scratch: Scratch, index: DataFrame) -> DataFrame:
     return with_bucket(rows, summed, hot).where(F.exists("classes", ok)).select("token", "node", "n", "pos")
 
 
-def hot_tokens(scratch: Scratch, sizes: DataFrame, name: str) -> DataFrame | None:
+def hot_tokens(scratch: Scratch, sizes: DataFrame, name: str, buckets: int) -> DataFrame | None:
     """Of (token, rows) the buckets that are dealt into parts, with their number of parts; None if there are none."""
     total, largest = sizes.agg(F.sum("rows"), F.max("rows")).first()
-    most = max(PART_ROWS, (total or 0) // MAX_HOT)  # so many rows at least, so no more than MAX_HOT buckets
+    most = max(PART_ROWS, (total or 0) // buckets)  # no more than so many buckets have more rows
     if (largest or 0) <= most:
         return None
     return scratch.table(sizes.where(F.col("rows") > most).select("token", F.ceil(F.col("rows") / most).cast("int").alias("parts")), name)
@@ -393,15 +394,15 @@ def _grouped(scratch: Scratch, slim: DataFrame) -> tuple[DataFrame, DataFrame]:
     spark = slim.sparkSession
     bits_ = sketch_bits(slim)
     first = scratch.table(first_pass(slim, bits_), "first")
-    sized = scratch.table(first.where("segment is null").select("id", "digest", "n", "node"), "sized")
-    signs = scratch.table(first.where("node is not null").select("node", "sign"), "signs")
+    sized = scratch.table(first.where("segment is null").select("id", "digest", "n", "node", "sign"), "sized")
+    signs = sized.where("node is not null").select("node", "sign")
     level, pivots, most = sketch(first.where("segment is not null"), bits_)
     scratch.drop("first")
     shared = scratch.table(shared_tokens(index_rows(spark, slim, level), most), "shared")
     scratch.release()
     index = scratch.table(plausible(scratch, shared), "index")
     scratch.drop("shared")
-    hot = hot_tokens(scratch, index.groupBy("token").agg(F.count("*").alias("rows")), "hot")
+    hot = hot_tokens(scratch, index.groupBy("token").agg(F.count("*").alias("rows")), "hot", MAX_HOT)
     scratch.release()
     heads = scratch.table(sized.where("node is not null").groupBy("node").agg(F.min("id").alias("head")), "heads")
     # one document stands for a node
