@@ -53,6 +53,8 @@ HOT_TIMES, HOT_LEAST = 16, 4096
 #: a bucket of over so many rows is dealt into parts of so many; at most MAX_HOT buckets are (MAX_SUMMED where each brings
 #: a summary of up to 6 KB), so the limit rises with the corpus
 PART_ROWS, MAX_HOT, MAX_SUMMED = 512, 100_000, 10_000
+#: pairs of one node that one task verifies for each fragment
+PAIR_ROWS = 256
 #: bits of a set's parity bitmap
 SIGN_BITS = 512
 HASH_BITS = 58
@@ -315,12 +317,14 @@ def verified(pairs: DataFrame, parts: DataFrame, heads: DataFrame) -> DataFrame:
     ends = [degree.select(F.col("node").alias(k), F.struct("pairs", F.col("node").alias("node"), "id").alias(f"end_{k}")) for k in ("a", "b")]
     turn = F.col("end_a.pairs") > F.col("end_b.pairs")
     pick = lambda x, y: F.when(turn, F.col(y)).otherwise(F.col(x))
-    known = pairs.join(ends[0], "a").join(ends[1], "b").select(pick("a", "b").alias("a"), pick("b", "a").alias("b"), pick("na", "nb").alias("na"), pick("nb", "na").alias("nb"), pick("end_a.id", "end_b.id").alias("id_a"), pick("end_b.id", "end_a.id").alias("id_b"))
+    known = pairs.join(ends[0], "a").join(ends[1], "b").select(pick("a", "b").alias("a"), pick("b", "a").alias("b"), pick("na", "nb").alias("na"), pick("nb", "na").alias("nb"), pick("end_a.id", "end_b.id").alias("id_a"), pick("end_b.id", "end_a.id").alias("id_b"), F.ceil(F.greatest("end_a.pairs", "end_b.pairs") / PAIR_ROWS).cast("int").alias("parts"))
     # pairs go to the segments while their list is small enough to broadcast, so that only segments that they name move
     near = F.broadcast if pairs.count() <= MAX_BROADCAST_PAIRS else lambda df: df
-    left = parts.join(near(known), (F.col("node") == F.col("a")) & F.col("id").eqNullSafe(F.col("id_a"))).select("a", "b", "na", "nb", "fragment", F.col("tokens").alias("a_tokens"))
-    right = parts.join(near(known.select("b", "id_b").distinct()), (F.col("node") == F.col("b")) & F.col("id").eqNullSafe(F.col("id_b")), "left_semi").select(F.col("node").alias("b"), "fragment", F.col("tokens").alias("b_tokens"))
-    both = left.join(right, ["b", "fragment"])
+    left = parts.join(near(known), (F.col("node") == F.col("a")) & F.col("id").eqNullSafe(F.col("id_a"))).select("a", "b", "na", "nb", "fragment", F.pmod(F.xxhash64("a"), F.col("parts")).alias("part"), F.col("tokens").alias("a_tokens"))
+    # a node of many pairs meets them in parts, its segments copied to each
+    right = parts.join(near(known.select("b", "id_b", "parts").distinct()), (F.col("node") == F.col("b")) & F.col("id").eqNullSafe(F.col("id_b")))
+    right = right.select(F.col("node").alias("b"), "fragment", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1)).alias("part"), F.col("tokens").alias("b_tokens"))
+    both = left.join(right, ["b", "fragment", "part"])
     # a repeated row of a document brings its segments again, with the same count
     counted = both.select("a", "b", "na", "nb", "fragment", F.size(F.array_intersect("a_tokens", "b_tokens")).alias("common")).groupBy("a", "b", "na", "nb", "fragment").agg(F.max("common").alias("common"))
     summed = counted.groupBy("a", "b", "na", "nb").agg(F.sum("common").alias("common"))

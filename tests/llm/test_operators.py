@@ -95,7 +95,7 @@ def test_ngram_join_hot_buckets(spark, monkeypatch):
     """Every path that large inputs take, by lowered limits: hot buckets in parts, shuffled pairs, all component rounds."""
     from condensa.llm import components as module
 
-    for name, value in (("PART_ROWS", 3), ("HOT_LEAST", 8), ("HOT_TIMES", 1), ("MAX_BROADCAST_PAIRS", 5), ("RESULT_ROWS", 50)):
+    for name, value in (("PART_ROWS", 3), ("PAIR_ROWS", 3), ("HOT_LEAST", 8), ("HOT_TIMES", 1), ("MAX_BROADCAST_PAIRS", 5), ("RESULT_ROWS", 50)):
         monkeypatch.setattr(ngram_join, name, value)
     monkeypatch.setattr(module, "CHUNK_EDGES", 20)
     rows = crowded(1)
