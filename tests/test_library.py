@@ -45,7 +45,7 @@ def value(spark, text, f):
         (pr.repeated_ngrams, "a b a b a b", 2 * 2 + 3 * 2 + 4),
         (pr.complexity, None, 0.0),
         (lambda x: q.coherence(x), "", 0.0),
-        (lambda x: F.to_json(sg.code_blocks(x)), "x\n```py\nz\n``` and `q`", '[{"language":"py","code":"```py\\nz\\n```","fenced":true},{"language":"","code":"`q`","fenced":false}]'),
+        (lambda x: F.to_json(sg.code_blocks(x)), "x\n```py\nz\n``` and `q`", '[{"position":2,"language":"py","code":"```py\\nz\\n```","fenced":true},{"position":18,"language":"","code":"`q`","fenced":false}]'),
     ],
 )
 def test_values(spark, f, text, want):
