@@ -13,8 +13,10 @@ near copies are not expanded into pairs: a round verifies every row of an
 n-gram's bucket with the purest one, another neighbours by size that are still
 apart, and what links is joined; then only rows of still separate groups are
 candidates, of which the bucket's largest group is never paired with itself. A
-candidate of that last round must also pass a bound on its overlap: parity
-bitmaps of both sets differ in no more bits than the sets do in elements.
+candidate of any round must also pass a bound on its overlap: parity bitmaps of
+both sets differ in no more bits than the sets do in elements. Only documents of
+candidates that pass are cut into segments, round by round, as sets take several
+times the space of their texts.
 
 Buckets are balanced by their measured number of rows, not by the sketch, which
 may be coarse where a corpus is much larger than it: what a bucket's rows need of
@@ -35,6 +37,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -55,7 +58,7 @@ HOT_TIMES, HOT_LEAST = 16, 4096
 PART_ROWS, MAX_HOT, MAX_SUMMED = 512, 100_000, 10_000
 #: pairs of one node that one task verifies for each fragment
 PAIR_ROWS = 256
-#: bits of a set's parity bitmap
+#: bits of a set's parity bitmap; a set of more elements has a wide one too, of a power of two with a bit for each element
 SIGN_BITS = 512
 HASH_BITS = 58
 BATCH_CHARS = 500_000
@@ -86,20 +89,22 @@ def sketch_bits(docs: DataFrame) -> int:
 
 
 def first_pass(docs: DataFrame, bits: int) -> DataFrame:
-    """Rows of two kinds: a document's id, digest, set size, node and parity bitmap; and a segment of the task's counts of n-grams."""
+    """Rows of two kinds: a document's id, digest, set size, node and parity bitmaps; and a segment of the task's counts of n-grams."""
 
     def run(batches):
         counts = np.zeros(1 << bits, np.uint32)
-        names = ["id", "digest", "n", "node", "sign", "segment", "counts"]
+        names = ["id", "digest", "n", "node", "sign", "wide", "segment", "counts"]
         kind = pa.int64()
         for b in batches:
             kind = b.schema.types[0]
-            size, nodes, signs = [0] * b.num_rows, [None] * b.num_rows, [None] * b.num_rows
+            size, nodes, signs, wide = [0] * b.num_rows, [None] * b.num_rows, [None] * b.num_rows, [None] * b.num_rows
             held, total = [], 0
             for i, s in _sets(b):
                 size[i] = len(s)
                 if len(s):
                     nodes[i], signs[i] = _node(s), sign(s)
+                    if len(s) > SIGN_BITS:
+                        wide[i] = sign(s, 1 << (len(s) - 1).bit_length()).tobytes()
                     held.append(s >> np.uint64(64 - bits))
                     total += len(s)
                 if total > 1 << 19:
@@ -108,13 +113,13 @@ def first_pass(docs: DataFrame, bits: int) -> DataFrame:
             if held:
                 counts += np.bincount(np.concatenate(held).astype(np.int64), minlength=len(counts)).astype(np.uint32)
             n = b.num_rows
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(size, pa.int64()), pa.array(nodes, pa.int64()), pa.array(signs, pa.list_(pa.int64())), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(size, pa.int64()), pa.array(nodes, pa.int64()), pa.array(signs, pa.list_(pa.int64())), pa.array(wide, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=names)
         parts = [(k, counts[k * SKETCH_SEGMENT : (k + 1) * SKETCH_SEGMENT]) for k in range(len(counts) // SKETCH_SEGMENT)]
         parts = [(k, zlib.compress(x.tobytes(), 1)) for k, x in parts if x.any()]
         n = len(parts)
-        yield pa.RecordBatch.from_arrays([pa.nulls(n, kind), pa.nulls(n, pa.binary()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.list_(pa.int64())), pa.array([k for k, _ in parts], pa.int32()), pa.array([x for _, x in parts], pa.binary())], names=names)
+        yield pa.RecordBatch.from_arrays([pa.nulls(n, kind), pa.nulls(n, pa.binary()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.list_(pa.int64())), pa.nulls(n, pa.binary()), pa.array([k for k, _ in parts], pa.int32()), pa.array([x for _, x in parts], pa.binary())], names=names)
 
-    return docs.select("id", "text", "digest").mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, digest binary, n long, node long, sign array<long>, segment int, counts binary")
+    return docs.select("id", "text", "digest").mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, digest binary, n long, node long, sign array<long>, wide binary, segment int, counts binary")
 
 
 def sketch(parts: DataFrame, bits: int) -> tuple[bytes, list[int], int]:
@@ -154,9 +159,8 @@ def prefix_size(n: int) -> int:
     return n - -(-PERCENT * n // 100) + 1
 
 
-def index_rows(spark: SparkSession, docs: DataFrame, level: bytes) -> DataFrame:
-    """(token, node, n, pos) of every document's prefix."""
-    shared = spark.sparkContext.broadcast(level)
+def index_rows(docs: DataFrame, shared: Broadcast) -> DataFrame:
+    """(token, node, n, pos) of every document's prefix; shared has the magnitudes."""
 
     def run(batches):
         magnitude = np.frombuffer(shared.value, np.uint8)
@@ -254,15 +258,14 @@ def with_bucket(rows: DataFrame, per_token: DataFrame, hot: DataFrame | None) ->
     return rows.join(F.broadcast(big), "token").unionByName(small)
 
 
-def segments(spark: SparkSession, docs: DataFrame, level: bytes, pivots: list[int], bits: int, wanted: bytes) -> DataFrame:
+def segments(docs: DataFrame, shared: Broadcast, pivots: list[int], bits: int, wanted: Broadcast) -> DataFrame:
     """(id, node, fragment, tokens) of the documents whose id may be wanted."""
-    shared = spark.sparkContext.broadcast((level, wanted))
     kind = docs.schema["id"].dataType.simpleString()
 
     def run(batches):
-        magnitude = np.frombuffer(shared.value[0], np.uint8)
+        magnitude = np.frombuffer(shared.value, np.uint8)
         for b in batches:
-            b = b.filter(pa.array(exact_dedup.member(b.column(2).to_pylist(), bits, shared.value[1])))
+            b = b.filter(pa.array(exact_dedup.member(b.column(2).to_pylist(), bits, wanted.value)))
             ids, nodes, fragments, tokens, size = [], [], [], [], 0
 
             def out():
@@ -289,9 +292,9 @@ def segments(spark: SparkSession, docs: DataFrame, level: bytes, pivots: list[in
     return docs.select("id", "text", _id_digest(F.col("id")).alias("digest")).mapInArrow(run, f"id {kind}, node long, fragment int, tokens array<long>")
 
 
-def sign(s: np.ndarray) -> np.ndarray:
+def sign(s: np.ndarray, bits: int = SIGN_BITS) -> np.ndarray:
     """For each bit whether an odd number of elements fall on it: two sets' bits differ only where elements of one alone fall."""
-    odd = np.bincount((s % np.uint64(SIGN_BITS)).astype(np.int64), minlength=SIGN_BITS) & 1
+    odd = np.bincount((s % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
@@ -371,9 +374,7 @@ def _rest(scratch: Scratch, index: DataFrame, labels: DataFrame, hot: DataFrame
     groups = rows.groupBy("token", "label").agg(F.count("*").alias("rows"))
     largest = groups.groupBy("token").agg(F.max_by("label", F.struct("rows", "label")).alias("largest"), F.count("*").alias("groups")).where("groups > 1").select("token", "largest")
     met = scratch.table(with_bucket(rows, largest, hot), "met")
-    # equal sets have equal bitmaps: one stands for a node
-    known = signs.join(met.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("sign").alias("sign"))
-    apart_rows = met.join(known, "node")
+    apart_rows = met.join(signs.select("node", "sign").join(met.select("node").distinct(), "node", "left_semi"), "node")
     small = apart_rows.where(F.col("label") != F.col("largest")).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))
     every = apart_rows.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1)))
     x, y = small.alias("x"), every.alias("y")
@@ -389,6 +390,47 @@ def signs_allow(a: str, b: str) -> Column:
     return differ <= na + nb - 2 * needed(na, nb)
 
 
+def differ(x: bytes, y: bytes) -> int:
+    """Bits in which two bitmaps differ; a longer one is folded to the length of the other, which keeps its parities."""
+    a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    while len(a) != len(b):
+        a, b = (a, b) if len(a) > len(b) else (b, a)
+        a = a[: len(a) // 2] ^ a[len(a) // 2 :]
+    return int(np.bitwise_count(a ^ b).sum())
+
+
+def bounded(pairs: DataFrame, signs: DataFrame) -> DataFrame:
+    """Of pairs (a, b, na, nb) those whose bitmaps allow a link; signs: (node, sign, wide)."""
+
+    def run(batches):
+        for b in batches:
+            x, y, most = (b.column(k).to_pylist() for k in (4, 5, 6))
+            keep = [u is None or v is None or differ(u, v) <= m for u, v, m in zip(x, y, most)]
+            yield pa.RecordBatch.from_arrays(b.columns[:4], names=["a", "b", "na", "nb"]).filter(pa.array(keep, pa.bool_()))
+
+    for k in ("a", "b"):
+        pairs = pairs.join(signs.select(F.col("node").alias(k), F.struct(F.col("sign"), F.col("wide")).alias(f"known_{k}")), k)
+    ends = [F.struct(F.col(f"n{k}").alias("n"), F.col(f"known_{k}.sign").alias("sign")).alias(f"end_{k}") for k in ("a", "b")]
+    near = pairs.select("a", "b", "na", "nb", "known_a.wide", F.col("known_b.wide").alias("wide_b"), *ends).where(signs_allow("end_a", "end_b"))
+    near = near.select("a", "b", "na", "nb", "wide", "wide_b", (F.col("na") + F.col("nb") - 2 * needed(F.col("na"), F.col("nb"))).alias("most"))
+    return near.mapInArrow(run, "a long, b long, na long, nb long")
+
+
+def _ends(scratch: Scratch, slim: DataFrame, pairs: DataFrame, heads: DataFrame, shared: Broadcast, pivots: list[int], k: int) -> tuple[DataFrame, DataFrame]:
+    """The nodes of pairs with the one document (node, id) that stands for each, and these documents' segments."""
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    wanted = scratch.table(heads.join(nodes, "node", "left_semi").select("node", F.col("head").alias("id")), f"wanted-{k}")
+    bits, table = exact_dedup.bloom_filter(wanted.select(_id_digest(F.col("id"))), wanted.count(), 1)
+    given = slim.sparkSession.sparkContext.broadcast(table)
+    parts = scratch.table(segments(slim, shared, pivots, bits, given), f"segments-{k}")
+    given.destroy()
+    if wanted.where("id is null").limit(1).count():
+        # no id tells rows without one apart: of those of a node one stays
+        one = parts.where("id is null").join(wanted.where("id is null").select("node"), "node", "left_semi").select("id", "node", "fragment", "tokens").dropDuplicates(["node", "fragment"])
+        parts = parts.where("id is not null").unionByName(scratch.table(one, f"segments-null-{k}"))
+    return wanted, parts
+
+
 def text_digest(text: Column) -> Column:
     return F.unhex(F.md5(text.cast("binary")))
 
@@ -398,34 +440,32 @@ def _grouped(scratch: Scratch, slim: DataFrame) -> tuple[DataFrame, DataFrame]:
     spark = slim.sparkSession
     bits_ = sketch_bits(slim)
     first = scratch.table(first_pass(slim, bits_), "first")
-    sized = scratch.table(first.where("segment is null").select("id", "digest", "n", "node", "sign"), "sized")
-    signs = sized.where("node is not null").select("node", "sign")
+    rows = first.where("segment is null")
+    sized = scratch.table(rows.select("id", "digest", "n", "node"), "sized")
+    # one document and its bitmaps stand for a node, as equal sets have equal bitmaps
+    heads = scratch.table(rows.where("node is not null").groupBy("node").agg(F.min("id").alias("head"), F.first("sign").alias("sign"), F.first("wide").alias("wide")), "heads")
+    signs = heads.select("node", "sign", "wide")
     level, pivots, most = sketch(first.where("segment is not null"), bits_)
     scratch.drop("first")
-    shared = scratch.table(shared_tokens(index_rows(spark, slim, level), most), "shared")
+    given = spark.sparkContext.broadcast(level)
+    shared = scratch.table(shared_tokens(index_rows(slim, given), most), "shared")
     scratch.release()
     index = scratch.table(plausible(scratch, shared), "index")
     scratch.drop("shared")
     hot = hot_tokens(scratch, index.groupBy("token").agg(F.count("*").alias("rows")), "hot", MAX_HOT)
     scratch.release()
-    heads = scratch.table(sized.where("node is not null").groupBy("node").agg(F.min("id").alias("head")), "heads")
-    # one document stands for a node
-    wanted = scratch.table(heads.join(index.select("node").distinct(), "node", "left_semi").withColumnRenamed("head", "id"), "wanted")
-    bits, table = exact_dedup.bloom_filter(wanted.select(_id_digest(F.col("id"))), wanted.count(), 1)
-    parts = scratch.table(segments(spark, slim, level, pivots, bits, table), "segments")
-    if wanted.where("id is null").limit(1).count():
-        # no id tells rows without one apart: of those of a node one stays
-        one = parts.where("id is null").join(wanted.where("id is null").select("node"), "node", "left_semi").select("id", "node", "fragment", "tokens").dropDuplicates(["node", "fragment"])
-        parts = parts.where("id is not null").unionByName(scratch.table(one, "segments-null"))
     index = index.withColumn("parts", F.lit(1)) if hot is None else index.join(F.broadcast(hot), "token", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     labels = links = tried = None
     for k in range(ROUNDS + 1):
         pairs = (_star, _chain, _rest)[k](scratch, index, labels, hot, signs)
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = scratch.table(pairs, f"pairs-{k}")
+        pairs = scratch.table(bounded(pairs, signs), f"pairs-{k}")
         tried = pairs.select("a", "b") if tried is None else tried.unionByName(pairs.select("a", "b"))
+        wanted, parts = _ends(scratch, slim, pairs, heads, given, pivots, k)
         found = scratch.table(verified(pairs, parts, wanted).select(F.col("a").alias("u"), F.col("b").alias("v")), f"links-{k}")
+        for name in (f"wanted-{k}", f"segments-{k}", f"segments-null-{k}"):
+            scratch.drop(name)
         scratch.release()
         links = found if links is None else links.unionByName(found)
         last = {} if k == ROUNDS else {"rounds": 3}

@@ -121,6 +121,38 @@ def test_sketch_grows_with_the_input(spark, monkeypatch):
     assert ngram_join.sketch_bits(df) == ngram_join.MAX_BITS
 
 
+def test_ngram_join_wide_bitmaps():
+    rng = np.random.default_rng(6)
+    for k, extra in ((600, 0), (900, 200), (1000, 100), (5000, 900)):
+        a = np.unique(rng.integers(0, 1 << 63, k).astype(np.uint64))
+        b = np.unique(np.concatenate([a[: k * 9 // 10], rng.integers(0, 1 << 63, extra + k // 10).astype(np.uint64)]))
+        wide = [ngram_join.sign(x, 1 << (len(x) - 1).bit_length()).tobytes() for x in (a, b)]
+        apart = len(np.setxor1d(a, b))
+        assert 0 < ngram_join.differ(*wide) <= apart and ngram_join.differ(*wide) % 2 == apart % 2 and ngram_join.differ(wide[0], wide[0]) == 0
+        assert ngram_join.differ(wide[0], ngram_join.sign(a).tobytes()) == 0
+
+
+@pytest.mark.parametrize("words", [40, 400])
+def test_ngram_join_segments_of_near_pairs_only(spark, monkeypatch, words):
+    """Texts that share rare passages but can't link are not cut into segments."""
+    rng = random.Random(words)
+    passage = {(i, j): " ".join(f"v{rng.randrange(100_000)}" for _ in range(words)) for i in range(6) for j in range(i)}
+    texts = [" ".join(passage[max(i, j), min(i, j)] for j in range(6) if j != i) for i in range(6)]
+    rows = [*enumerate(texts), (6, texts[2] + " more words"), (7, texts[2])]
+    held, whole = {}, Scratch.table
+
+    def counted(self, df, name):
+        out = whole(self, df, name)
+        if name.startswith("segments"):
+            held[name] = {r["id"] for r in out.select("id").distinct().collect()}
+        return out
+
+    monkeypatch.setattr(Scratch, "table", counted)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.near_groups(spark, table(spark, rows)).collect()}
+    assert got == groups(rows)
+    assert held and set().union(*held.values()) == {2, 6}
+
+
 def test_ngram_join_null_ids(spark):
     words = [[f"{c}{k}" for k in range(40)] for c in "abc"]
     rows = [(None, " ".join(words[0])), (None, " ".join([*words[0], "tail"])), (None, " ".join([*words[0], "tail"])), (4, " ".join(["head", *words[0]])), (None, " ".join(words[1])), (None, " ".join([*words[1], "tail"])), (9, " ".join(words[2])), (None, " ".join([*words[2], "tail"])), (None, None)]
