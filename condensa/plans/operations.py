@@ -23,7 +23,7 @@ from ..operators import rules as rl
 from ..operators import vectors as ve
 from .catalogue import (
     BASE, RULE_VALUES, S_COMPLEXITY, S_ANALYZER, S_DENSITY, S_ESTIMATE, S_EXTREME, S_FORMAL, S_MATCHES, S_METRICS, S_PHRASE_RED, S_POTENTIAL, S_READING, S_SCORES, S_SENSITIVITY, S_SPLICED, S_VERBOSE, S_WORDS,
-    _rounded, _s_content, docs, metrics_table, r6, s_any, s_avg_words, s_count, s_fold, s_grams, s_in, s_jaccard, s_list, s_nocc, s_nsub, s_pad, s_resolved, s_sentences, s_share, s_sum, s_toks, s_trim, s_unpad, table,
+    _rounded, _s_content, docs, metrics_table, r6, s_any, s_avg_words, s_count, s_fold, s_grams, s_in, s_jaccard, s_list, s_nocc, s_nsub, s_pad, s_resolved, s_sentences, s_share, s_sum, s_toks, s_trim, s_unpad, spread, table,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -630,7 +630,7 @@ def rule_similarity_search(spark, sf_dir):
     SELECT s_suppkey, len(v)::INT AS size, round(list_sum(list_transform(v, lambda e: (e / norm)::FLOAT::DOUBLE)), 4) AS total, round((v[1] / norm)::FLOAT::DOUBLE, 5) AS first, round((v[length('Supplier#')] / norm)::FLOAT::DOUBLE, 5) AS ninth FROM n"""
 )
 def fallback_embeddings(spark, sf_dir):
-    s = ve.embed(table(spark, sf_dir, "supplier"), text="s_name")
+    s = ve.embed(spread(table(spark, sf_dir, "supplier"), "s_suppkey"), text="s_name")
     e = F.col("embedding")
     return s.select("s_suppkey", F.size(e).alias("size"), F.round(F.aggregate(e, F.lit(0.0), lambda a, x: a + x.cast("double")), 4).alias("total"), F.round(e[0].cast("double"), 5).alias("first"), F.round(e[8].cast("double"), 5).alias("ninth"))
 

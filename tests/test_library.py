@@ -1,6 +1,7 @@
 """The library's operators against hand-computed values and plain Python."""
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -201,6 +202,21 @@ def test_compress_keeps_every_row(spark, tmp_path):
     assert sorted(made) == [1, 2, 3, 4, 5] and made[2]["engine_used"] == "extreme" and len(made[2]["compressed_text"]) < len(long)
 
 
+def test_char_embedding(spark):
+    """Against plain Python, and without work that grows with the square of the size."""
+    texts = ["", None, "A", "Supplier#000000001", "Été 😀 x", "ß" * 500, "ab\n\u0000c", " "]
+    for size in (1, 5, 384):
+        rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, t string").select("i", sm.char_embedding("t", size).alias("e")).collect()
+        for r in rows:
+            codes = [float(ord(c)) for c in (texts[r["i"]] or "").lower()[:size]]
+            norm = sum(c * c for c in codes) ** 0.5
+            assert r["e"] == pytest.approx([c / norm if norm else 0.0 for c in codes] + [0.0] * (size - len(codes)), rel=1e-6)
+    many = spark.range(20_000).select(sm.char_embedding(F.concat(F.lit("Supplier#"), F.col("id").cast("string")), 384).alias("e"))
+    began = time.time()
+    assert many.where(F.size("e") == 384).select(F.round(F.aggregate(F.transform("e", lambda x: (x * x).cast("double")), F.lit(0.0), lambda a, x: a + x), 4).alias("n")).where("n = 1").count() == 20_000
+    assert time.time() - began < 60
+
+
 def test_model_embeddings(spark):
     """A model is loaded once a task and sees every text once, nulls as empty texts."""
 
